@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import decontaminate, langid, secrets, simhash, toxicity
-from candlespark.llm.common import learning_bucket, read_table
+from candlespark.llm import bpe, decontaminate, exactdedup, langid, secrets, simhash, toxicity
+from candlespark.llm.common import LOWER, UPPER, learning_bucket, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_held_out(docs, 4, 2), model, keep=["doc_id", "held_out"])
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode(read_table(spark, sf_dir, "documents"), path, keep=["doc_id"], ids=False)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,5 +58,15 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": f"""
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
+        g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
+        FROM n JOIN g USING (norm)
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -192,7 +192,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     source = docs.select(*dict.fromkeys([*keep, text]))
-    schema = source.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = source.select(*keep).schema.add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
