@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import bpe, decontaminate, exactdedup, langid, secrets, simhash, toxicity
+from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, secrets, sharding, simhash, toxicity
 from candlespark.llm.common import LOWER, UPPER, learning_bucket, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_held_out(docs, 4, 2), model, keep=["doc_id", "held_out"])
 
 
+def op2_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_tree_shards(read_table(spark, sf_dir, "documents"), 40)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +75,8 @@ ORACLE: dict[str, str] = {
     """,
 }
 
+ORACLE["op4_license_scan"] = licenses.oracle()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
