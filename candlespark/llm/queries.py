@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, secrets, sharding, simhash, toxicity
+from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, secrets, sharding, simhash, toxicity
 from candlespark.llm.common import LOWER, UPPER, learning_bucket, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_contamination(read_table(spark, sf_dir, "documents"), automata, keep=["doc_id"])
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.classify_lines(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

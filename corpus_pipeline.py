@@ -1,10 +1,72 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of
+``documents``, with ``n_chars`` following the text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from candlespark.llm import bpe, decontaminate, langid, linededup, simhash
+from candlespark.llm.common import read_table, shared_folder
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no text or no letter) go; the others stay as they are."""
+    model = langid.train(docs)
+    told = langid.predict_languages(docs, model, keep=docs.columns)
+    return told.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-equal lines the first stays; a document keeps its other lines."""
+    return _with_length(linededup.dedup_lines(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the smallest id stays."""
+    first = simhash.near_duplicates(docs).select(F.col("component_id").alias("__keep")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+
+
+def remove_benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents lose their benchmark spans; clean ones are untouched."""
+    automata = decontaminate.build(read_table(spark, sf_dir, "benchmark"))
+    return _with_length(decontaminate.decontaminate(docs, automata))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token ids of every document, with the digests of ids and of the decoded text."""
+    import public_tokenizers
+
+    return bpe.encode(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), keep=[c for c in docs.columns if c != "text"])
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", remove_benchmark_spans),
+    ("bpe", encode_tokens),
+]
+
+#: No SQL: learned models, similarity components and BPE merges are beyond it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; what is between them is written to the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
