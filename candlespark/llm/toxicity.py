@@ -177,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text:
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col("__toxic") == value, int(min(1.0, SAMPLE_PER_LABEL / n) * 1_000_000)).otherwise(share)
-    drawn = known.where(draw < share)
+    # ids and labels only, at most 3 * SAMPLE_PER_LABEL rows: small enough to broadcast whatever the input
+    drawn = known.where(draw < share).limit(3 * SAMPLE_PER_LABEL)
     short = docs.where(F.octet_length(text) < SAMPLE_BYTES).select(id_col, text)
-    rows = short.join(drawn, id_col).select(text, "__toxic").limit(3 * SAMPLE_PER_LABEL).collect()
+    rows = short.join(F.broadcast(drawn), id_col).select(text, "__toxic").limit(3 * SAMPLE_PER_LABEL).collect()
     return fit([r[0] for r in rows], [int(r[1]) for r in rows])
 
 
