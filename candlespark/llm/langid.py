@@ -31,26 +31,33 @@ BITS = 12
 SAMPLE_PER_LANG, SAMPLE_TOTAL, SAMPLE_BYTES = 400, 2000, 100_000
 
 
-def _letters_table() -> np.ndarray:
+def word_bytes(digits: bool = False) -> np.ndarray:
+    """A table from bytes to what stands for them: letters in lower case, bytes past ASCII, maybe digits; else a space."""
     table = np.full(256, 32, np.uint8)
-    table[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
-    table[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+    table[ord("a") : ord("z") + 1] = table[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
     table[128:] = np.arange(128, 256)
+    if digits:
+        table[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
     return table
 
 
-_TABLE = _letters_table()
+_LETTERS = word_bytes()
 
 
-def normalised(raw: np.ndarray) -> np.ndarray:
-    """Lower-case A-Z and the upper-case letters U+00C0 to U+00DE; other ASCII becomes a space."""
-    out = _TABLE[raw]
+def lowered(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes through ``table``, with U+00C0 to U+00DE in lower case too."""
+    out = table[raw]
     if len(out) > 1:
         upper = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
         out[1:][upper] += 0x20
     return out
 
 
+def normalised(raw: np.ndarray) -> np.ndarray:
+    """Letters in lower case, everything else in ASCII a space."""
+    return lowered(raw, _LETTERS)
+
+
 def gram_ids(text: np.ndarray) -> Iterator[np.ndarray]:
     """For each order n the table slot of the n bytes that end at each position."""
     padded = np.concatenate([np.full(max(ORDERS) - 1, 32, np.uint8), text]).astype(np.uint32)

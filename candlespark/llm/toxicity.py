@@ -1,6 +1,6 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word is the bag of its byte n-grams (3 to 5 bytes, with both word ends marked), so a
+A word (a run of letters and digits without a digit in it) is the bag of its byte n-grams (3 to 5 bytes, with both word ends marked), so a
 misspelling that was never seen shares most vectors with its model. A window of words is the
 average of its words' averaged subword vectors; the softmax scores windows and a document's
 score is that of its worst window, which keeps one insult in a long text from being averaged
@@ -22,22 +22,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.llm.common import pieces, utf8
-from candlespark.llm.langid import normalised
+from candlespark.llm.langid import lowered, word_bytes
 
 ORDERS = (3, 4, 5)
+_WORD_BYTES = word_bytes(digits=True)
 BITS = 17
 DIM = 8
 WINDOW = 5
-#: Learned from at most about this many documents of each label, of under SAMPLE_BYTES.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 800, 20_000
-ROUNDS, STEPS = 3, 30
+#: Learned from at most about this many documents of label 0 and of label 1, of under SAMPLE_BYTES.
+SAMPLE_PER_LABEL, SAMPLE_BYTES = (1400, 700), 20_000
+ROUNDS, STEPS = 3, 50
+#: Slots seen in fewer documents of the sample carry no weight.
+MIN_DOCUMENTS = 3
 THRESHOLD = 0.7
 
 
 def subwords(text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the positions where an n-gram inside one marked word begins, and its table slots.
 
-    ``text`` is normalised and every word has a space before and after it.
+    ``text`` is lower-cased and every word has a space before and after it.
     """
     blank = np.concatenate([[0], np.cumsum(text == 32)])
     wide = np.concatenate([text, np.full(max(ORDERS), 32, np.uint8)]).astype(np.uint64)
@@ -55,7 +58,11 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """(text, starts, document of each word, rank in its document): texts set apart by spaces."""
     n = len(at) - 1
     text = np.full(len(raw) + n + 1, 32, np.uint8)
-    text[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(at))] = normalised(raw)
+    text[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(at))] = lowered(raw, _WORD_BYTES)
+    edge = np.concatenate([[True], (text[1:] != 32) & (text[:-1] == 32)])
+    run = np.cumsum(edge) - 1
+    digit = np.unique(run[(text >= 48) & (text <= 57)])
+    text[np.isin(run, digit)] = 32  # numbers, addresses and keys are no words
     starts = np.flatnonzero((text[1:] != 32) & (text[:-1] == 32)) + 1
     doc = np.searchsorted(at + np.arange(n + 1) + 1, starts, "right") - 1
     first = np.searchsorted(doc, np.arange(n))
@@ -64,15 +71,16 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Value of each subword slot and the bias, both as differences of the two softmax logits."""
+    """Value of each subword slot and the bias, as differences of the two softmax logits, and that of a text without words."""
 
     slots: np.ndarray
     bias: float
+    empty: float
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Probability of the toxic label for each text; a text without words gets that of an empty bag."""
+        """Probability of the toxic label for each text; a text without words gets the prior."""
         text, starts, doc, rank = words_of(raw, at)
-        out = np.full(len(at) - 1, self.bias)
+        out = np.full(len(at) - 1, self.empty)
         if len(starts):
             word = _word_values(text, starts, self.slots)
             window = rank // WINDOW
@@ -94,11 +102,15 @@ def _word_values(text: np.ndarray, starts: np.ndarray, slots: np.ndarray) -> np.
     return total / np.maximum(count, 1)
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
-    """Learn embeddings and softmax together from whole labelled texts; with one label only, a constant."""
-    base = float(np.clip(np.mean(toxic), 1e-3, 1 - 1e-3)) if texts else 1e-3
+def fit(texts: list[str], toxic: list[int], prior: float | None = None, seed: int = 7) -> ToxicityModel:
+    """Learn embeddings and softmax together from whole labelled texts; with one label only, a constant.
+
+    ``prior`` is the share of label 1 among all labelled documents, the score of a text without words.
+    """
+    share_1 = float(np.mean(toxic)) if prior is None and texts else prior or 0.0
+    empty = float(np.log(np.clip(share_1, 1e-3, 0.5) / (1 - np.clip(share_1, 1e-3, 0.5))))
     if len(set(toxic)) < 2:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(base / (1 - base))))
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), empty, empty)
     raw = [t.encode("utf-8", "replace") for t in texts]
     at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     text, starts, doc, rank = words_of(np.frombuffer(b"".join(raw), np.uint8), at)
@@ -119,6 +131,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     of_word, slot = of_word[order], slot[order]
     size = np.maximum(np.bincount(of_word, minlength=len(names)), 1)
     used, slot = np.unique(slot, return_inverse=True)
+    seen = np.unique(doc * len(names) + word)  # (document, word)
+    by_word = np.concatenate([[0], np.cumsum(np.bincount(of_word, minlength=len(names)))])
+    many = np.diff(by_word)[seen % len(names)]
+    pairs = np.repeat(seen // len(names), many) * len(used) + slot[np.arange(many.sum()) + np.repeat(by_word[seen % len(names)] - np.cumsum(many) + many, many)]
+    rare = np.bincount(np.unique(pairs) % len(used), minlength=len(used)) < MIN_DOCUMENTS
 
     window = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rank[1:] // WINDOW != rank[:-1] // WINDOW)])) - 1
     owner = doc[np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))]
@@ -154,6 +171,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            table[rare] = 0
         bias = b[1] - b[0]
         worth = np.bincount(of_word, (table @ (head[1] - head[0]))[slot], n_words) / size
         mean = np.bincount(window, worth[word]) / length
@@ -163,11 +181,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
         chosen = (label[owner] == 0) | (mean >= best[owner])
     slots = np.zeros(1 << BITS, np.float32)
     slots[used] = table @ (head[1] - head[0])
-    return ToxicityModel(slots, float(bias))
+    return ToxicityModel(slots, float(bias), empty)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> ToxicityModel:
-    """Fit on about SAMPLE_PER_LABEL whole texts of each label, chosen by a hash of the id."""
+    """Fit on about SAMPLE_PER_LABEL whole texts by label, chosen by a hash of the id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
@@ -176,18 +194,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text:
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(29)), F.lit(1_000_000))
     share = F.lit(0)
     for value, n in counts.items():
-        share = F.when(F.col("__toxic") == value, int(min(1.0, SAMPLE_PER_LABEL / n) * 1_000_000)).otherwise(share)
-    # ids and labels only, at most 3 * SAMPLE_PER_LABEL rows: small enough to broadcast whatever the input
-    drawn = known.where(draw < share).limit(3 * SAMPLE_PER_LABEL)
+        share = F.when(F.col("__toxic") == value, int(min(1.0, SAMPLE_PER_LABEL[value] / n) * 1_000_000)).otherwise(share)
+    # ids and labels only, at most `most` rows: small enough to broadcast whatever the input
+    most = 2 * sum(SAMPLE_PER_LABEL)
+    drawn = known.where(draw < share).limit(most)
     short = docs.where(F.octet_length(text) < SAMPLE_BYTES).select(id_col, text)
-    rows = short.join(F.broadcast(drawn), id_col).select(text, "__toxic").limit(3 * SAMPLE_PER_LABEL).collect()
-    return fit([r[0] for r in rows], [int(r[1]) for r in rows])
+    rows = short.join(F.broadcast(drawn), id_col).select(text, "__toxic").limit(most).collect()
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    return fit([r[0] for r in rows], [int(r[1]) for r in rows], prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The ``keep`` columns (default: all) with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
-    Null and empty texts, and texts without a word, get the score of an empty bag. Rows are
+    Null and empty texts, and texts without a word, get the share of label 1 among the labels. Rows are
     independent, so repeated rows agree. Columns named score or predicted in the input are
     replaced. An empty table gives an empty table.
     """

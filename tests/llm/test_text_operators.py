@@ -1,0 +1,395 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import struct
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, secrets, sharding, simhash, toxicity
+from candlespark.llm.components import connected_components
+from tests.llm.conftest import prose
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+# --- language ---------------------------------------------------------------------------------
+
+
+def _languages():
+    rng = random.Random(1)
+    stock = {"en": "the and of that with this have from they which".split(), "de": "der und die nicht ist ein mit für auch über".split(), "fr": "le les des une dans est pour qui avec être".split(), "es": "el los que una por para con está más años".split()}
+    make = lambda lang: " ".join(rng.choice(stock[lang]) for _ in range(40))
+    return make, [(make(lang), lang) for lang in stock for _ in range(40)]
+
+
+def test_language_models_learn_and_reject(spark):
+    make, known = _languages()
+    model = langid.fit(*map(list, zip(*known)))
+    assert model.members == (("de", "en"), ("es", "fr")) and len(model.pairs) == 2
+    texts = [(k, make(lang), lang) for k, lang in enumerate(["en", "de", "fr", "es"] * 5)]
+    df = spark.createDataFrame([*texts, (90, None, "en"), (91, "", "en"), (92, "123 !?", "en"), (93, "x" * 300_000, "en"), (93, "x" * 300_000, "en")], "doc_id long, text string, lang string")
+    out = langid.predict_languages(df, model)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and out.count() == 25
+    assert all(got[k]["lang_pred"] == lang for k, _, lang in texts)
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (90, 91, 92)) and got[93]["lang_pred"] != "und"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.predict_languages(df.limit(0), model).count() == 0
+    trained = langid.train(df.where("doc_id < 90"))
+    assert trained.families == ("germanic", "romance")
+    empty = langid.train(df.limit(0))
+    assert langid.predict_languages(df, empty, keep=["doc_id"]).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_unlisted_languages_are_families_of_their_own():
+    model = langid.fit(["aaa bbb"] * 3 + ["ccc ddd"] * 3, ["x1"] * 3 + ["x2"] * 3)
+    assert model.families == ("only:x1", "only:x2")
+
+
+# --- toxicity ---------------------------------------------------------------------------------
+
+
+def test_toxicity_sees_unseen_misspellings_in_long_texts(spark):
+    rng = random.Random(5)
+    bad = ["grumblefrotz", "snarkwibble"]
+    clean = [prose(rng, 80) for _ in range(150)]
+    toxic = [t.replace(" ", f" {rng.choice(bad)}{rng.choice(['', 's', 'er', 'y'])} ", 1) for t in (prose(rng, 80) for _ in range(60))]
+    model = toxicity.fit(clean + toxic, [0] * 150 + [1] * 60)
+    test = [(1, prose(rng, 4000) + " grumblefrotzed " + prose(rng, 4000)), (2, prose(rng, 400)), (3, None), (4, ""), (5, "!!"), (6, "Snarkwibblez"), (6, "Snarkwibblez")]
+    df = spark.createDataFrame([(*r, "old") for r in test], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, model).collect()}
+    assert [k for k, r in got.items() if r["predicted"]] == [1, 6] and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[3]["score"] == got[4]["score"] == got[5]["score"]
+    assert toxicity.score_toxicity(df.limit(0), model).count() == 0
+    assert toxicity.fit([], []).scores(np.zeros(0, np.uint8), np.array([0, 0]))[0] < 0.1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert 0 <= toxicity.train(df, labels).scores(np.zeros(0, np.uint8), np.array([0, 0]))[0] <= 1
+
+
+# --- secrets ----------------------------------------------------------------------------------
+
+
+def _length(n):
+    return bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")
+
+
+def test_secret_spans(spark):
+    import base64
+    import re
+
+    der = b"\x02\x01\x00" + b"\x02" + _length(300) + bytes(range(1, 151)) * 2
+    der = b"\x30" + _length(len(der)) + der
+    jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"signature"))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+    texts = {
+        1: 'é API_KEY: "abcdef12" token=short secret = x',
+        2: f"AKIA{'A1' * 8} AKIA12 {'0f' * 12} {'0f' * 11}f",
+        3: f"a {jwt} b",
+        4: f"a {base64.b64encode(der).decode()} b",
+        5: "-----BEGIN KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(der).decode())) + "\n-----END KEY-----",
+        6: f"é {base64.b64encode(ssh).decode()}",
+        7: der.hex(),
+        8: "A" * 60 + " eyJhbGc.x.y",
+        9: None,
+        10: "",
+        11: "pass ſecret=longvalue PASSWD='abc.def-123'",
+        12: "z" * 500_000 + " token=abcdefgh",
+    }
+    df = spark.createDataFrame([(k, v, "mine") for k, v in texts.items()], "doc_id long, text string, spans string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    base = {
+        "assign": (re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    for k, text in texts.items():
+        spans = sorted((m.start(), i, f"{kind}:{m.start()}:{m.end()}") for i, (kind, (rx, ok)) in enumerate(base.items()) for m in rx.finditer(text or "") if ok(m))
+        want = ",".join(s for *_, s in spans)
+        assert got[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), (k, want, got[k]["spans"])
+        assert [s for s in got[k]["spans"].split(",") if s.split(":")[0] in base] == [s for *_, s in spans]
+    kinds = lambda k: {s.split(":")[0] for s in got[k]["spans"].split(",")} - {""}
+    assert kinds(3) == {"jwt"} and kinds(4) == kinds(5) == {"der"} and kinds(6) == {"ssh"} and kinds(7) == {"hex", "der"} and kinds(8) == set()
+    assert got[6]["spans"].startswith("ssh:2:")
+    assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+# --- decontamination ---------------------------------------------------------------------------
+
+
+def _brute_hits(text, items, window=13):
+    words = decontaminate.words_of((text or "").encode())
+    hit, found = [False] * len(words), set()
+    for item, body in items:
+        w = decontaminate.words_of((body or "").encode())
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            for i in range(len(words) - n + 1):
+                if words[i : i + n] == w[k : k + n]:
+                    hit[i : i + n] = [True] * n
+                    found.add(str(item))
+    return len(words), sum(hit), found
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = ["aa", "bb", "cc", "dd"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rng.choice([3, 9, 13, 14, 20, 40]))) for k in range(25)] + [(50, "aa BB"), (51, None), (52, ""), (53, "!!"), (54, text(5))]
+    items += [(60, items[3][1])]
+    texts = [(k, text(rng.choice([0, 5, 30, 80]))) for k in range(30)] + [(40, None), (41, "x " * 50 + items[5][1] + " y" * 400), (42, "x " * 50 + items[5][1].upper().replace(" ", ", ")), (42, "aa\x7fbb")]
+    df = spark.createDataFrame([(*t, "m") for t in texts], "doc_id long, text string, n_hit string")
+    automata = decontaminate.build(spark.createDataFrame(items, "item_id long, text string"))
+    got = decontaminate.scan_contamination(df, automata, keep=["doc_id"]).collect()
+    want = []
+    for k, t in texts:
+        n, h, found = _brute_hits(t, items)
+        want.append((k, n, h, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), h > 0 and 20 * h >= n))
+    assert sorted(map(tuple, got)) == sorted(want)
+    many = decontaminate.Automaton([(str(k), decontaminate.words_of((t or "").encode())) for k, t in items])
+    assert len(many.step) < 4 * sum(len((t or "").split()) for _, t in items) + 4
+    out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(df.where("doc_id >= 40"), automata).collect()}
+    assert out[40] is None
+    assert decontaminate.build(spark.createDataFrame([], "item_id long, text string"))[0].shortest == 0
+
+
+def test_spans_are_removed_from_contaminated_texts_only(monkeypatch):
+    item = " ".join(f"w{k}" for k in range(20))
+    a = [decontaminate.Automaton([("1", decontaminate.words_of(item.encode()))])]
+    assert decontaminate.remove_spans(f"keep This! {item}. And that", a) == "keep This! . And that"
+    long = "x " * 500 + item
+    assert decontaminate.remove_spans(long, a) == long
+
+
+def test_benchmark_groups_give_the_same_answer(spark, monkeypatch):
+    items = spark.createDataFrame([(k, prose(random.Random(k), 30)) for k in range(10)], "item_id long, text string")
+    df = spark.createDataFrame([(k, "a b " + prose(random.Random(k), 30)) for k in range(12)], "doc_id long, text string")
+    one = rows(decontaminate.scan_contamination(df, decontaminate.build(items)))
+    monkeypatch.setattr(decontaminate, "GROUP_WORDS", 50)
+    parts = decontaminate.build(items)
+    assert len(parts) > 3 and rows(decontaminate.scan_contamination(df, parts)) == one
+
+
+# --- SimHash -----------------------------------------------------------------------------------
+
+
+def _simhash(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_components(docs, corpus):
+    got = rows(simhash.near_duplicates(docs))
+    fp = [(k, _simhash(t)) for k, t in corpus]
+    parent = {f: f for _, f in fp}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in list(parent):
+        for y in list(parent):
+            if (x ^ y).bit_count() <= 4:
+                parent[root(x)] = root(y)
+    least = {}
+    for k, f in fp:
+        least[root(f)] = min(k, least.get(root(f), k))
+    assert got == sorted(((k, f - (1 << 64) * (f >> 63), least[root(f)]) for k, f in fp), key=repr)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_anchors_cover_every_link(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    f = rng.integers(0, 2**63, 1500, dtype=np.uint64) * np.uint64(2)
+    g = f.copy()
+    for i in range(len(g)):
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            g[i] ^= np.uint64(1) << np.uint64(b)
+    seen = [set() for _ in f]
+    for r, a in zip(*simhash.anchors(f)):
+        seen[r].add(a)
+    met = np.zeros(len(f), bool)
+    for r, a in zip(*simhash.anchors(g)):
+        met[r] |= a in seen[r]
+    assert met.all()
+    # groups in several blocks give the same links' components
+    values = np.unique(np.concatenate([f[:150], g[:150], [np.uint64(x) for x in range(200)]]))
+    df = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
+    one = rows(connected_components(simhash.fingerprint_links(df)))
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    assert rows(connected_components(simhash.fingerprint_links(df))) == one
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 400)] + [(7, 7), (None, 3), (500, 501), (500, 501)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 400)} | {500: 500, 501: 500}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- exact dedup --------------------------------------------------------------------------------
+
+
+def test_exact_dedup(docs, corpus, spark):
+    low = lambda t: (t or "").translate(str.maketrans(exactdedup.ascii_lower.__globals__["UPPER"], exactdedup.ascii_lower.__globals__["LOWER"]))
+    size, keep = Counter(low(t) for _, t in corpus), {}
+    for k, t in corpus:
+        keep[low(t)] = max(k, keep.get(low(t), k))
+    want = sorted(((k, keep[low(t)], size[low(t)], k == keep[low(t)], hashlib.sha256(low(t).encode()).hexdigest()) for k, t in corpus), key=repr)
+    assert rows(exactdedup.duplicate_classes(docs)) == want
+    assert exactdedup.duplicate_classes(docs.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b")], "doc_id long, text string")
+    assert {r["group_size"] for r in exactdedup.duplicate_classes(nulls).collect()} == {1, 2}
+
+
+def test_false_suspects_do_no_harm(docs, monkeypatch):
+    want = rows(exactdedup.duplicate_classes(docs))
+    monkeypatch.setattr(exactdedup, "_layout", lambda n: (1, 1))  # four fingerprints in all
+    assert rows(exactdedup.duplicate_classes(docs)) == want
+
+
+def test_rice_codes_round_trip():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 1000):
+        v = np.unique(rng.integers(0, 2**40, n).astype(np.uint64))
+        for low in (25, 30, 39, 45):
+            assert (exactdedup.rice_decode(*exactdedup.rice_encode(v, low), len(v), low) == v).all()
+
+
+# --- sharding ------------------------------------------------------------------------------------
+
+
+def test_shards(spark, docs, corpus):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, prose(rng, rng.randint(1, 60)), "hot" if k % 3 else f"s{k}", "en" if k % 2 else None) for k in range(3000)], "doc_id long, text string, source string, lang string")
+    out = sharding.kd_tree_shards(df, 40).collect()
+    size = Counter()
+    slots = {}
+    for r in out:
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(size.values()) / 40
+    biggest = max(r["size"] for r in out)
+    assert len(out) == 3000 and set(size) == set(range(40)) and all(abs(n - mean) < 2 * biggest for n in size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(r["grown_shard"] is None and r["law"] == "bytes" for r in out)
+    few = sharding.kd_tree_shards(docs, 40).collect()
+    import zlib
+
+    texts = dict(corpus)
+    assert len(few) == len(corpus) and all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in few)
+    assert sharding.kd_tree_shards(docs.limit(0), 7).count() == 0
+    same = spark.createDataFrame([(5, "x")] * 50, "doc_id long, text string")
+    assert len({r["shard"] for r in sharding.kd_tree_shards(same, 4).collect()}) == 1
+
+
+# --- licenses ------------------------------------------------------------------------------------
+
+
+def test_licenses(spark):
+    t = licenses.TEMPLATES
+    long = t["mit/grant"].split()
+    edited = " ".join(long[:20] + ["changed"] + long[21:])
+    filler = prose(random.Random(1), 200)
+    texts = [(1, t["mit/line"]), (2, f"{filler} {t['gpl-3.0/line'].upper()} {filler}"), (3, edited), (4, "Licensed under the Apache License"), (5, None), (6, ""), (7, "one two"), (8, prose(random.Random(2), 50_000) + "\n" + t["isc/grant"])]
+    texts += [(100 + k, f"{'pad ' * k}{body}{' pad' * (k % 5)}") for k, body in enumerate(t.values())] + [(9, filler), (1, t["mit/line"])]
+    df = spark.createDataFrame([(*x, "own") for x in texts], "doc_id long, text string, license string")
+    got = rows(licenses.scan_licenses(df))
+    import duckdb
+
+    documents = df.select("doc_id", "text").toPandas()  # noqa: F841  read by name below
+    want = sorted((tuple(r) for r in duckdb.sql(licenses.oracle()).fetchall()), key=repr)
+    assert got == want and {r[0] for r in got} >= {1, 2, 3, 8} | {100 + k for k in range(len(t))} and not {r[0] for r in got} & {4, 5, 6, 7, 9}
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(df, {"tiny": "too short"})
+
+
+# --- BPE -----------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(docs, corpus, spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "PACK_BYTES", 3000)
+    extra = [(200, "a<|endoftext|> b  <|endoftext|>"), (201, "  x\n\n y's  "), (202, "日本語 ՘ ₏x ٣"), (203, "\U0001f600   z\x00\x1c a b"), (204, "<|endoftext|"), (205, None)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    tok = Tokenizer.from_file(path)
+    out = bpe.encode(df, path).collect()
+    texts = dict([*corpus, *extra])
+    assert sorted(r["doc_id"] for r in out) == sorted(k for k, _ in [*corpus, *extra])
+    for r in out:
+        want = tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert list(r["ids"]) == want and r["n_tokens"] == len(want) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(tok.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(df, path, keep=["doc_id"]), path).collect()}
+    assert all(back[k] == (t or "") for k, t in [*corpus, *extra])
+    assert bpe.encode(df.limit(0), path).count() == 0
+
+
+# --- lines ---------------------------------------------------------------------------------------
+
+
+def _line_classes(corpus, k=linededup.SHINGLE):
+    seen = [(d, n, line.decode()) for d, t in corpus for n, line in linededup.lines_of(None if t is None else t.encode())]
+    sets = {x: {x[i : i + k] for i in range(max(1, len(x) - k + 1))} for x in {s[2] for s in seen}}
+    parent = {x: x for x in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    names = sorted(sets)
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                parent[root(x)] = root(y)
+    first = {}
+    for d, n, line in sorted(seen):
+        first.setdefault(root(line), (d, n))
+    return sorted((d, n, *first[root(line)]) for d, n, line in seen)
+
+
+@pytest.mark.parametrize("block", [16384, 3])
+def test_fuzzy_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rng = random.Random(11)
+    base = [prose(rng, 40) for _ in range(8)]
+    vary = lambda x: " ".join(w if rng.random() > 0.01 else "zzz" for w in x.split())
+    texts = [(k, "\n".join(vary(base[(k + j) % 8]) if rng.random() < 0.5 else base[(k + j) % 8] for j in range(3))) for k in range(30)]
+    texts += [(40, None), (41, ""), (42, "\n \n"), (43, "  short \r\nSHORT\nx"), (44, "été " * 30), (45, prose(rng, 5000)), (30, "short")]
+    df = spark.createDataFrame([(*t, "own") for t in texts], "doc_id long, text string, root string").repartition(3)
+    got = linededup.classify_lines(df).collect()
+    want = _line_classes(texts)
+    assert sorted((r["doc_id"], r["line_no"], r["keep_id"], r["keep_line_no"]) for r in got) == want
+    assert all(r["kept"] == ((r["doc_id"], r["line_no"]) == (r["keep_id"], r["keep_line_no"])) for r in got)
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    lost = {(d, n) for d, n, a, b in want if (d, n) != (a, b)}
+    for d, t in texts:
+        assert out[d] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in lost))
+    assert linededup.classify_lines(df.limit(0)).count() == 0
+
+
+def test_band_recall():
+    """Pairs at the threshold meet in a band about as often as the band settings say."""
+    rng = random.Random(12)
+    met = 0
+    for _ in range(60):
+        x = prose(rng, 120)
+        n = len(x) - linededup.SHINGLE + 1
+        cut = int(n * 0.1)  # about 0.8 similar
+        y = x[cut:] + prose(rng, 60)[: cut // 3]
+        a, b = linededup.band_keys([x.encode(), y.encode()])
+        met += bool((a == b).any())
+    assert met >= 58
