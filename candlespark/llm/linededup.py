@@ -244,11 +244,15 @@ def classify_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     roots = connected_components(line_links(docs, text, threshold)).withColumnRenamed("node", "line")
     lines = source.mapInArrow(occurrences, schema).join(roots, "line", "left")
     lines = lines.select(F.col(id_col).alias("__id"), "line_no", F.coalesce("root", "line").alias("root"))
-    first = lines.groupBy("root").agg(F.min(F.struct("__id", "line_no")).alias("first"), F.count("*").alias("n_lines"))
-    out = lines.join(first, "root").withColumn("kept", F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("line_no") == F.col("first.line_no")))
+    many = lines.groupBy("root").agg(F.min(F.struct("__id", "line_no")).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1")
+    # cut, so that the join has a plain shuffle on both sides and adaptive execution can split a hot line
+    out = lines.join(cut(many), "root", "left")
+    first = lambda c: F.when(F.col("n_lines").isNull(), F.col(c)).otherwise(F.col(f"first.{c}"))  # noqa: E731  no group: the line itself
+    out = out.select("__id", "line_no", "root", F.coalesce("n_lines", F.lit(1).cast("long")).alias("n_lines"), first("__id").alias("keep_id"), first("line_no").alias("keep_line_no"))
+    out = out.withColumn("kept", F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("line_no") == F.col("keep_line_no")))
     return out.select(
         F.col("__id").alias(id_col), "line_no", F.lower(F.hex("root")).alias("component"), "n_lines",
-        F.col("first.__id").alias("keep_id"), F.col("first.line_no").alias("keep_line_no"), "kept",
+        "keep_id", "keep_line_no", "kept",
     )
 
 
