@@ -37,6 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlespark.llm.common import map_arrow
+
 PACK_BYTES = 24 << 20
 #: Documents for each bucket of words, and the least and most buckets.
 BUCKET_DOCS, MIN_BUCKETS, MAX_BUCKETS = 1000, 64, 4096
@@ -237,12 +239,12 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: list[
         types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32())}
         return pa.table({c: rows[c] for c in keep} | {k: pa.array(v, types[k]) for k, v in out.items()})
 
-    sent = source.mapInArrow(send_words, "bucket int, pack long, n int, size long, words binary")
-    answers = sent.repartition("bucket").mapInArrow(encode_buckets, "pack long, bucket int, n int, m long, counts binary, ids binary")
+    sent = map_arrow(source, send_words, "bucket int, pack long, n int, size long, words binary")
+    answers = map_arrow(sent.repartition("bucket"), encode_buckets, "pack long, bucket int, n int, m long, counts binary, ids binary")
     held = source.select(*keep).schema
     for name, kind in (("__pack", "long"), ("__words", "integer"), ("__buckets", "binary"), ("__n", "long"), ("__numbers", "binary"), ("__sum", "binary")):
         held = held.add(name, kind)
-    texts = source.mapInArrow(send_texts, held)
+    texts = map_arrow(source, send_texts, held)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema), *(f"{k} {v}" for k, v in kinds.items())])
     return texts.groupBy("__pack").cogroup(answers.groupBy("pack")).applyInArrow(join_back, schema)
 
@@ -263,4 +265,4 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids: str = "ids", name: str =
             texts = [None if v is None else b"".join(map(pieces.__getitem__, v)).decode("utf-8", "replace") for v in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, name])
 
-    return tokens.mapInArrow(answer, tokens.select(*names).schema.add(name, "string"))
+    return map_arrow(tokens, answer, tokens.select(*names).schema.add(name, "string"))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlespark.llm.common import map_arrow
+
 WINDOW = 13
 #: Contaminated: hit words times this reach the words of the document.
 SHARE = 20
@@ -187,7 +189,7 @@ def scan_contamination(docs: DataFrame, automata: list[Automaton], text: str = "
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(v, k) for v, k in zip(out, kinds.values())], [*keep, *kinds])
 
-    return source.mapInArrow(answer, schema)
+    return map_arrow(source, answer, schema)
 
 
 def remove_spans(text: str, automata: list[Automaton], share: int = SHARE) -> str:
@@ -223,4 +225,4 @@ def decontaminate(docs: DataFrame, automata: list[Automaton], text: str = "text"
             columns = [pa.array(values, batch.column(c).type) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(answer, docs.schema)
+    return map_arrow(docs, answer, docs.schema)

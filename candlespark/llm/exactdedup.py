@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import ascii_lower, cut
+from candlespark.llm.common import ascii_lower, cut, map_arrow
 
 #: Fingerprint bits beyond log2 of the number of texts: a unique text is a false suspect with probability 2**-SLACK at most.
 SLACK = 12
@@ -102,7 +102,7 @@ def duplicate_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id
         kinds = {"owner": pa.int32(), "part": pa.int32(), "n": pa.int32(), "unary": pa.binary(), "rest": pa.binary()}
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
 
-    messages = narrow.select("part", "h").mapInArrow(send, "owner int, part int, n int, unary binary, rest binary")
+    messages = map_arrow(narrow.select("part", "h"), send, "owner int, part int, n int, unary binary, rest binary")
 
     # 2: owners to partitions: a bit for each fingerprint, set where another partition has it too
     def answer(table: pa.Table) -> pa.Table:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import pieces, segment_sums, utf8
+from candlespark.llm.common import map_arrow, pieces, segment_sums, utf8
 
 #: Families by ISO 639 code; a language that is not listed is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -211,4 +211,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
                 columns = [part.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(answer, schema)
+    return map_arrow(source, answer, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut, mix64, pieces
+from candlespark.llm.common import cut, map_arrow, mix64, pieces
 from candlespark.llm.components import connected_components
 
 SHINGLE = 7
@@ -126,7 +126,7 @@ def _short(ids: list[bytes]) -> np.ndarray:
 def _distinct(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[dict[bytes, bytes]]:
     """The distinct lines of each piece of the texts, by id."""
     for batch in batches:
-        for part in pieces(batch, text, 1 << 20):
+        for part in pieces(batch, text):
             found: dict[bytes, bytes] = {}
             for value in part.column(text).cast(pa.large_binary()):
                 for _, line in lines_of(value.as_py()):
@@ -172,7 +172,7 @@ def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
         names = [int.from_bytes(hashlib.blake2b(m, digest_size=8).digest(), "little", signed=True) for m in out]
         return pa.table({"bucket": pa.array(names, pa.int64()), "members": pa.array(out, pa.binary())})
 
-    sent = source.mapInArrow(send, "range int, keys binary, ids binary")
+    sent = map_arrow(source, send, "range int, keys binary, ids binary")
     found = cut(sent.groupBy("range").applyInArrow(buckets, "bucket long, members binary").dropDuplicates(["bucket"]))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
             for low in range(0, len(ids), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(name[low : low + 200_000]), pa.array(ids[low : low + 200_000])], ["bucket", "short"])
 
-    belongs = found.mapInArrow(members, "bucket long, short long")
+    belongs = map_arrow(found, members, "bucket long, short long")
 
     def all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines in _distinct(batches, text):
@@ -193,7 +193,7 @@ def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
     slot = F.shiftrightunsigned("short", 64 - FILTER_BITS) + 1
     bits = belongs.select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("bit"))
     screen = bits.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map"))
-    candidates = source.mapInArrow(all_lines, "short long, id binary, line binary").withColumn("page", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
+    candidates = map_arrow(source, all_lines, "short long, id binary, line binary").withColumn("page", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
     is_set = F.expr("shiftright(cast(conv(hex(substring(map, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1") == 1
     texts = candidates.join(F.broadcast(screen), "page").where(is_set).select("short", "id", "line").dropDuplicates(["id"])
 
@@ -216,7 +216,7 @@ def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
             yield links()
 
     whole = belongs.join(texts, "short").select("bucket", "id", "line").repartition("bucket").sortWithinPartitions("bucket")
-    return whole.mapInArrow(verify, "a binary, b binary").distinct()
+    return map_arrow(whole, verify, "a binary, b binary").distinct()
 
 
 def classify_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -232,7 +232,7 @@ def classify_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text, 8 << 20):
+            for part in pieces(batch, text, 2 << 20):
                 rows, numbers, ids = [], [], []
                 for k, value in enumerate(part.column(text).cast(pa.large_binary())):
                     for n, line in lines_of(value.as_py()):
@@ -242,7 +242,7 @@ def classify_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary())], [id_col, "line_no", "line"])
 
     roots = connected_components(line_links(docs, text, threshold)).withColumnRenamed("node", "line")
-    lines = source.mapInArrow(occurrences, schema).join(roots, "line", "left")
+    lines = map_arrow(source, occurrences, schema).join(roots, "line", "left")
     lines = lines.select(F.col(id_col).alias("__id"), "line_no", F.coalesce("root", "line").alias("root"))
     many = lines.groupBy("root").agg(F.min(F.struct("__id", "line_no")).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1")
     # cut, so that the join has a plain shuffle on both sides and adaptive execution can split a hot line

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from candlespark.llm.common import map_arrow
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "der", "ssh")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_BASE64 = 6, 20, 24, 40
@@ -185,4 +187,4 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
             columns = [batch.column(c) for c in keep] + [pa.array(v, pa.int64() if n.startswith("n_") else pa.string()) for n, v in zip(names, out)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
-    return source.mapInArrow(answer, schema)
+    return map_arrow(source, answer, schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut
+from candlespark.llm.common import cut, map_arrow
 from candlespark.llm.components import connected_components
 
 RADIUS = 4
@@ -182,7 +182,7 @@ def add_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             texts = [v.as_py() or b"" for v in batch.column(text).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fingerprints(texts).view(np.int64))], [*keep, "fp"])
 
-    return source.mapInArrow(answer, schema)
+    return map_arrow(source, answer, schema)
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): a spanning set of the links between the distinct values of ``fp``."""
-    spread = fps.select("fp").distinct().mapInArrow(_replicate, "anchor long, fp long")
+    spread = map_arrow(fps.select("fp").distinct(), _replicate, "anchor long, fp long")
     # groups over BLOCK members are cut into blocks by a hash; each pair of blocks is a task's group
     size = spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     wide = size.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
@@ -236,7 +236,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     grid = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, F.col("o")).alias("p"), F.greatest(x, F.col("o")).alias("q")))
     dealt = sized.withColumn("o", own).select("anchor", "fp", F.explode(grid).alias("g")).select("anchor", "g.p", "g.q", "fp")
     grouped = dealt.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
-    return grouped.mapInArrow(_compare, "a long, b long").distinct()
+    return map_arrow(grouped, _compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import pieces, utf8
+from candlespark.llm.common import map_arrow, pieces, utf8
 from candlespark.llm.langid import lowered, word_bytes
 
 ORDERS = (3, 4, 5)
@@ -219,9 +219,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text):
                 score = m.scores(*utf8(part.column(text)))
                 columns = [part.column(c) for c in keep] + [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
 
-    return source.mapInArrow(answer, schema)
+    return map_arrow(source, answer, schema)
