@@ -91,7 +91,7 @@ _window_query("windows_rolling", 300, 3600, 300, 0, RANGE)
 _window_query("windows_sparse_e_gt_w", 900, 1800, 7200, 0, RANGE)
 _window_query("windows_anchor", 900, 3600, 1800, 900, RANGE)
 _window_query("windows_explicit_overrun", 3600, 14_400, 3600, 0, ExplicitRange(DAY0 - 172_800, DAY0 + 35 * 86_400))
-_window_query("windows_minute", 60, 900, 60, 0, ExplicitRange(DAY0, DAY0 + 10 * 86_400))
+_window_query("windows_minute", 60, 900, 60, 0, RANGE)
 _window_query("windows_two_block", 300, 86_400, 300, 0, RANGE, plan="blocks")
 _window_query("windows_two_block_wide", 900, 604_800, 900, 0, RANGE, on_grid=True)
 _window_query("windows_two_block_sparse", 300, 3600, 7200, 0, RANGE, plan="blocks")

@@ -86,3 +86,18 @@ def test_columns_are_required(spark):
     with pytest.raises(ConfigError):
         compute_windows(df, candle_profile("f", "1m"), window="1m", emit_every="1m")
     assert FIELDS[0] == "timestamp"
+
+
+def test_minute_windows_cover_the_whole_month(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from candlespark.catalog import DAY0, queries
+
+    events = [(k, DAY0 + day * 86_400 + k * 37, 10.0 + k, "purchase" if k % 2 else "view") for k, day in enumerate([0, 0, 3, 9, 10, 10, 20, 29, 29])]
+    df = spark.createDataFrame(events, "event_id long, s long, value double, event_type string")
+    df.select("event_id", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)").alias("ts"), "value", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    by_minute = {}
+    for _, s, value, kind in events:
+        by_minute.setdefault(s - s % 60, []).append((value, kind == "purchase"))
+    rows = [(m, v[0][0], max(x for x, _ in v), min(x for x, _ in v), v[-1][0], float(sum(p for _, p in v))) for m, v in by_minute.items()]
+    assert _got(queries()["windows_minute"](spark, str(tmp_path))) == windows(rows, 60, 900, 60, 0, DAY0, DAY0 + 31 * 86_400)
