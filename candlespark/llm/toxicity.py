@@ -1,7 +1,9 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word (a run of letters and digits without a digit in it) is the bag of its byte n-grams (3 to 5 bytes, with both word ends marked), so a
-misspelling that was never seen shares most vectors with its model. A window of words is the
+A word (a run of letters and digits with a letter in it) is the bag of its byte n-grams (3 to 5 bytes, with both word ends marked), so a
+misspelling that was never seen shares most vectors with its model. Inside a word a digit stands
+for the letter that it looks like, and digits before or after a word that look like none are left
+out; numbers and long runs with many digits are no words. A window of words is the
 average of its words' averaged subword vectors; the softmax scores windows and a document's
 score is that of its worst window, which keeps one insult in a long text from being averaged
 away. Embeddings and softmax are learned together on document labels: after each round, only
@@ -26,6 +28,12 @@ from candlespark.llm.langid import lowered, word_bytes
 
 ORDERS = (3, 4, 5)
 _WORD_BYTES = word_bytes(digits=True)
+#: Digits that stand for letters (0134578 as oieastb); 2, 6 and 9 stay as they are.
+_LOOK_ALIKE = np.arange(256, dtype=np.uint8)
+_LOOK_ALIKE[list(b"0134578")] = list(b"oieastb")
+_UNLIKE = list(b"269")
+#: A run of at least this many bytes and digits is a key, not a word.
+KEY_BYTES, KEY_DIGITS = 20, 3
 BITS = 17
 DIM = 8
 WINDOW = 5
@@ -59,10 +67,18 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     n = len(at) - 1
     text = np.full(len(raw) + n + 1, 32, np.uint8)
     text[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(at))] = lowered(raw, _WORD_BYTES)
-    edge = np.concatenate([[True], (text[1:] != 32) & (text[:-1] == 32)])
-    run = np.cumsum(edge) - 1
-    digit = np.unique(run[(text >= 48) & (text <= 57)])
-    text[np.isin(run, digit)] = 32  # numbers, addresses and keys are no words
+    digit = (text >= 48) & (text <= 57)
+    if digit.any():
+        run = np.cumsum(np.concatenate([[True], (text[1:] != 32) & (text[:-1] == 32)])) - 1
+        digits, size = np.bincount(run[digit], minlength=run[-1] + 1), np.bincount(run[text != 32], minlength=run[-1] + 1)
+        at_digit = np.flatnonzero(digit)
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(at_digit) > 1]))
+        many = np.diff(np.append(begin, len(at_digit)))
+        affix = (text[at_digit[begin] - 1] == 32) | (text[at_digit[begin + many - 1] + 1] == 32)
+        unlike = np.logical_or.reduceat(np.isin(text[at_digit], _UNLIKE), begin)
+        text[at_digit[np.repeat(affix & unlike, many)]] = 32
+        text[((digits == size) | (size >= KEY_BYTES) & (digits >= KEY_DIGITS))[run]] = 32
+        text = _LOOK_ALIKE[text]
     starts = np.flatnonzero((text[1:] != 32) & (text[:-1] == 32)) + 1
     doc = np.searchsorted(at + np.arange(n + 1) + 1, starts, "right") - 1
     first = np.searchsorted(doc, np.arange(n))
