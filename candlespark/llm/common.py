@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -73,6 +74,11 @@ def learning_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
+def drawn(hash64: Column, share: float) -> Column:
+    """Whether a signed 64-bit hash falls into ``share`` of its range; no share above 1e-19 rounds to nothing."""
+    return hash64 <= F.lit(min((1 << 63) - 1, math.ceil(share * 2.0**64) - (1 << 63))).cast("long")
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z; every other code point unchanged."""
     return F.translate(col, UPPER, LOWER)

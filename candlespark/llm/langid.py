@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import map_arrow, pieces, segment_sums, utf8
+from candlespark.llm.common import drawn, map_arrow, pieces, segment_sums, utf8
 
 #: Families by ISO 639 code; a language that is not listed is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -171,7 +171,7 @@ def fit(texts: list[str], langs: list[str], families: Mapping[str, str] = FAMILI
 
 
 def train(docs: DataFrame, learn: F.Column | None = None, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on a bounded sample: of each language about SAMPLE_PER_LANG whole texts under SAMPLE_BYTES, chosen by a hash of the id."""
+    """Fit on a bounded sample: of each language about SAMPLE_PER_LANG whole texts under SAMPLE_BYTES, chosen by a hash of the id (of the text where there is none)."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     if learn is not None:
         known = known.where(learn)
@@ -179,11 +179,11 @@ def train(docs: DataFrame, learn: F.Column | None = None, text: str = "text", la
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     if not counts:
         return LanguageModel()
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1_000_000))
-    share = F.lit(0)
+    draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text)), F.lit(17))
+    share = F.lit(False)
     for name, n in counts.items():
-        share = F.when(F.col(lang) == name, int(min(1.0, SAMPLE_PER_LANG / n) * 1_000_000)).otherwise(share)
-    rows = known.where(draw < share).select(text, lang).limit(SAMPLE_TOTAL).collect()
+        share = F.when(F.col(lang) == name, drawn(draw, SAMPLE_PER_LANG / n)).otherwise(share)
+    rows = known.where(share).select(text, lang).limit(SAMPLE_TOTAL).collect()
     return fit([r[0] for r in rows], [r[1] for r in rows])
 
 

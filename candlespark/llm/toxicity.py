@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import map_arrow, pieces, utf8
+from candlespark.llm.common import drawn, map_arrow, pieces, utf8
 from candlespark.llm.langid import lowered, word_bytes
 
 ORDERS = (3, 4, 5)
@@ -207,15 +207,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text:
         known = known.where(learn)
     known = known.groupBy(id_col).agg(F.max(label).alias("__toxic"))
     counts = {int(r[0]): r[1] for r in known.groupBy("__toxic").count().collect()}
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(29)), F.lit(1_000_000))
-    share = F.lit(0)
+    draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(29))
+    share = F.lit(False)
     for value, n in counts.items():
-        share = F.when(F.col("__toxic") == value, int(min(1.0, SAMPLE_PER_LABEL[value] / n) * 1_000_000)).otherwise(share)
+        share = F.when(F.col("__toxic") == value, drawn(draw, SAMPLE_PER_LABEL[value] / n)).otherwise(share)
     # ids and labels only, at most `most` rows: small enough to broadcast whatever the input
     most = 2 * sum(SAMPLE_PER_LABEL)
-    drawn = known.where(draw < share).limit(most)
+    sample = known.where(share).limit(most)
     short = docs.where(F.octet_length(text) < SAMPLE_BYTES).select(id_col, text)
-    rows = short.join(F.broadcast(drawn), id_col).select(text, "__toxic").limit(most).collect()
+    rows = short.join(F.broadcast(sample), id_col).select(text, "__toxic").limit(most).collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([r[0] for r in rows], [int(r[1]) for r in rows], prior)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, secrets, sharding, simhash, toxicity
+from candlespark.llm import bpe, common, decontaminate, exactdedup, langid, licenses, linededup, secrets, sharding, simhash, toxicity
 from candlespark.llm.components import connected_components
 from tests.llm.conftest import prose
 
@@ -52,6 +52,27 @@ def test_unlisted_languages_are_families_of_their_own():
     assert model.families == ("only:x1", "only:x2")
 
 
+def test_a_share_of_a_huge_table_is_not_rounded_to_nothing(spark, monkeypatch):
+    # the hashes of these two ids are among the lowest 4e-7 of all; ids 1 and 2 are not
+    texts = [(6474332, "the and of", "en"), (1, "the of", "en"), (12196270, "der und die", "de"), (2, "die der", "de")]
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANG", 2 * 4e-7)  # of 2 rows: as 400 of 1e9
+    model = langid.train(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert model.members == (("de", "en"),)
+    from pyspark.sql import functions as F
+
+    for n in (4 * 10**8, 5 * 10**9, 10**13):
+        top = -(1 << 63) + (400 * 2**64) // n
+        df = spark.createDataFrame([(-(1 << 63),), (top - 2**22,), (top + 2**22,), ((1 << 63) - 1,)], "h long")
+        assert [r[0] for r in df.select(common.drawn(F.col("h"), 400 / n)).collect()] == [True, True, False, False]
+        assert df.where(common.drawn(F.col("h"), 1.0)).count() == df.where(common.drawn(F.col("h"), 1400.0)).count() == 4
+
+
+def test_rows_without_ids_are_learned(spark):
+    make, known = _languages()
+    model = langid.train(spark.createDataFrame([(None, *r) for r in known], "doc_id long, text string, lang string"))
+    assert model.members == (("de", "en"), ("es", "fr"))
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 
 
