@@ -8,7 +8,8 @@ kinds: a base64 or hex candidate counts only when its decoded bytes parse, as
 * ``der``: a DER SEQUENCE whose nested lengths fill it exactly and which holds an INTEGER or OID;
 * ``ssh``: an OpenSSH private key (its magic) or a public key blob whose length-prefixed fields fill it.
 
-PEM armour is read too: its lines are joined before decoding. Scanning is on UTF-8 bytes;
+Hex is decoded in either case. Lines of PEM armour, and lines that wrap one base64 run (all but
+the first and the last of one width), are joined before decoding. Scanning is on UTF-8 bytes;
 offsets are reported in code points, end exclusive.
 """
 
@@ -34,9 +35,14 @@ _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _STEMS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{%d,}" % MIN_HEX)
-_JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_ANY_HEX = re.compile(rb"[0-9A-Fa-f]{%d,}" % MIN_HEX)
+#: A lookahead, as the part before a token may look like a header; {"alg":""} has 14 characters.
+_JWT = re.compile(rb"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{3,40})-----\s+([A-Za-z0-9+/=\s]{%d,}?)-----END \1-----" % MIN_BASE64)
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+#: The end of a line that may begin a wrapped key: a DER SEQUENCE, the magic of OpenSSH or a length begins with M, b or A.
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[MbA][A-Za-z0-9+/_-]{15,}(?=[ \t\r]*\n)")
+_NEXT_LINE = re.compile(rb"[ \t\r]*\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -118,6 +124,33 @@ def _confirmed(data: bytes | None) -> str | None:
     return "ssh" if is_ssh_key(data) else "der" if is_der_key(data) else None
 
 
+def _wrapped_spans(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64 that is wrapped over lines without armour."""
+    done = 0
+    for seed in _WRAPPED.finditer(raw):
+        if seed.start() < done:
+            continue
+        runs, width = [seed.span()], None
+        while m := _NEXT_LINE.match(raw, runs[-1][1]):
+            size = m.end(1) - m.start(1)
+            if len(runs) > 1 and size > width:
+                break
+            runs.append(m.span(1))
+            if width is not None and size < width:
+                break
+            width = size
+        # the last run, or the last two, may be words of the text that follows
+        for n in range(len(runs), max(1, len(runs) - 3), -1):
+            joined = b"".join(raw[s:e] for s, e in runs[:n])
+            if len(joined) >= MIN_BASE64 and (kind := _confirmed(_from_base64(joined))):
+                yield kind, runs[0][0], runs[n - 1][1]
+                done = runs[n - 1][1]
+                break
+        else:
+            if len(runs) > 2 and seed.end() - seed.start() == width:
+                done = runs[-2][1]  # the inside of a block of another kind
+
+
 def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes of every base and structural secret of a UTF-8 text."""
     found: list[tuple[str, int, int]] = []
@@ -126,18 +159,21 @@ def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
         found += [("assign", *m.span()) for m in _ASSIGN.finditer(raw) if len(m[1]) >= MIN_VALUE]
     if b"AKIA" in raw:
         found += [("access", *m.span()) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= MIN_ACCESS]
-    for m in _HEX.finditer(raw):
-        found.append(("hex", *m.span()))
-        if (m.end() - m.start()) % 2 == 0 and (kind := _confirmed(bytes.fromhex(m[0].decode()))):
-            found.append((kind, *m.span()))
-    if b"eyJ" in raw:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(raw) if _is_signed_header(m[1]) and _from_base64(m[2]) is not None]
+    found += [("hex", *m.span()) for m in _HEX.finditer(raw)]
+    for start, end in {m.span() for rx in (_HEX, _ANY_HEX) for m in rx.finditer(raw)}:
+        if (end - start) % 2 == 0 and (kind := _confirmed(bytes.fromhex(raw[start:end].decode()))):
+            found.append((kind, start, end))
+    if b"." in raw:
+        found += [("jwt", m.start(1), m.end(3)) for m in _JWT.finditer(raw) if _is_signed_header(m[1]) and _from_base64(m[2]) is not None]
     armoured = []
     if b"-----BEGIN " in raw:
         for m in _PEM.finditer(raw):
             if kind := _confirmed(_from_base64(re.sub(rb"\s+", b"", m[2]))):
                 found.append((kind, *m.span()))
                 armoured.append(m.span())
+    wrapped = [x for x in _wrapped_spans(raw) if not any(s <= x[1] < e for s, e in armoured)]
+    found += wrapped
+    armoured += [x[1:] for x in wrapped]
     for m in _BASE64.finditer(raw):
         if not any(s <= m.start() < e for s, e in armoured) and (kind := _confirmed(_from_base64(m[0]))):
             found.append((kind, *m.span()))

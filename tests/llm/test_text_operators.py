@@ -160,6 +160,35 @@ def test_secret_spans(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_in_other_spellings():
+    import base64
+    import re
+
+    der = b"\x02\x01\x00" + b"\x02" + _length(300) + bytes(range(1, 151)) * 2
+    der = b"\x30" + _length(len(der)) + der
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+    private = b"openssh-key-v1\x00" + bytes(range(200))
+    for data, kind in ((der, "der"), (ssh, "ssh")):
+        mixed = "".join(c.upper() if k % 3 else c for k, c in enumerate(data.hex()))
+        for text in (data.hex().upper(), mixed):
+            assert (kind, 2, 2 + len(text)) in secrets.spans(f"x {text} y")
+    url = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for header in (b'{ "alg":"HS256"}', b'{\n "typ": "JWT", "alg": "RS256"}', b'\n{"alg":"none"}', b' {"alg":"x"}', b'{"alg":"HS256"}'):
+        token = f"{url(header)}.{url(b'payload')}.{url(b'signature')}"
+        for before in ("", "token_of_a_long_name.", "é "):
+            assert secrets.spans(before + token + " z") == [("jwt", len(before), len(before) + len(token))]
+    assert secrets.spans(f"{url(b'[1, 2, 3, 4, 5]')}.{url(b'x' * 9)}.y some_long_module.function_name.attribute") == []
+    for data, kind in ((der, "der"), (ssh, "ssh"), (private, "ssh")):
+        for width in (20, 64, 76):
+            lines = re.findall(f".{{1,{width}}}", base64.b64encode(data).decode())
+            for end in ("\n", "\r\n", "\n    "):
+                text = end.join(lines)
+                for before, after in (("", ""), ("key: ", ""), ("Averylongwordwithoutspaces\n", "\nThe text goes on"), ("see\n", "\nThe\nend"), ("a ", " user@host")):
+                    if len(lines) > 1:
+                        assert secrets.spans(before + text + after) == [(kind, len(before), len(before) + len(text))], (kind, width, end, before)
+    assert secrets.spans("\n".join(["MIIB" + "Q" * 60] * 20_000)) == []
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
