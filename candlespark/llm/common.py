@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """``df`` with ``__row``, a number of its own for each row, as written to the shared folder: it stays when a task is run again."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, and workers that give freed memory back when a task ends.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut, map_arrow, mix64, pieces
+from candlespark.llm.common import cut, map_arrow, mix64, pieces, with_rows
 from candlespark.llm.components import connected_components
 
 SHINGLE = 7
@@ -261,7 +261,13 @@ def _kept_lines(text: Column, dropped: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns, the text without its dropped lines; a text that loses none is untouched, null stays null."""
-    lost = classify_lines(docs, text, id_col, threshold).where("not kept").groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__dropped"))
-    joined = docs.join(lost, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    """All rows and columns, the text without its dropped lines; a text that loses none is untouched, null stays null.
+
+    A row loses only its own lines: rows of a null or repeated id are documents of their own. Of
+    linked lines the first by (id, row as written, line number) stays.
+    """
+    rows = with_rows(docs)
+    keyed = rows.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__key"), text)
+    lost = classify_lines(keyed, text, "__key", threshold).where("not kept").groupBy(F.col("__key.row").alias("__row")).agg(F.collect_set("line_no").alias("__dropped"))
+    joined = rows.join(lost, "__row", "left")
     return joined.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(_kept_lines(F.col(text), F.col("__dropped")))).select(docs.columns)

@@ -451,6 +451,13 @@ def test_fuzzy_lines(spark, monkeypatch, block):
     assert linededup.classify_lines(df.limit(0)).count() == 0
 
 
+def test_rows_of_null_and_repeated_ids_lose_only_their_own_lines(spark):
+    texts = [(None, "X"), (None, "a\nX"), (None, "u\nunique"), (5, "p\nfirst"), (5, "p\nsecond"), (5, "q\nX\nthird"), (6, "second\nfourth"), (7, None)]
+    out = linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    assert out.columns == ["doc_id", "text"]
+    assert rows(out) == sorted([(None, "X"), (None, "a"), (None, "u\nunique"), (5, "p\nfirst"), (5, "second"), (5, "q\nthird"), (6, "fourth"), (7, None)], key=repr)
+
+
 def test_band_recall():
     """Pairs at the threshold meet in a band about as often as the band settings say."""
     rng = random.Random(12)
