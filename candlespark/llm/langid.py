@@ -8,12 +8,13 @@ built and whole texts of any length are scored in fixed memory.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlespark.llm.common import drawn, map_arrow, pieces, segment_sums, utf8
@@ -27,8 +28,10 @@ FAMILIES: Mapping[str, str] = {
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BITS = 12
-#: Labelled texts learned from: at most about this many of each language and in all, and bytes of each.
-SAMPLE_PER_LANG, SAMPLE_TOTAL, SAMPLE_BYTES = 400, 2000, 100_000
+#: Labelled texts learned from: about this many of each language and in all, and the characters of each.
+SAMPLE_PER_LANG, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 2000, 100_000
+#: No language gets fewer to make room for others.
+LEAST_PER_LANG = 20
 
 
 def word_bytes(digits: bool = False) -> np.ndarray:
@@ -171,19 +174,26 @@ def fit(texts: list[str], langs: list[str], families: Mapping[str, str] = FAMILI
 
 
 def train(docs: DataFrame, learn: F.Column | None = None, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on a bounded sample: of each language about SAMPLE_PER_LANG whole texts under SAMPLE_BYTES, chosen by a hash of the id (of the text where there is none)."""
+    """Fit on a bounded sample, chosen by a hash of the id (of the text where there is none).
+
+    Each language has about SAMPLE_PER_LANG texts, or its part of SAMPLE_TOTAL where there are
+    many, but LEAST_PER_LANG at least. Of a long text the first SAMPLE_CHARS are learned.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     if learn is not None:
         known = known.where(learn)
-    known = known.where(F.octet_length(text) < SAMPLE_BYTES)
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     if not counts:
         return LanguageModel()
     draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text)), F.lit(17))
+    each = min(SAMPLE_PER_LANG, max(LEAST_PER_LANG, SAMPLE_TOTAL / len(counts)))
     share = F.lit(False)
     for name, n in counts.items():
-        share = F.when(F.col(lang) == name, drawn(draw, SAMPLE_PER_LANG / n)).otherwise(share)
-    rows = known.where(share).select(text, lang).limit(SAMPLE_TOTAL).collect()
+        share = F.when(F.col(lang) == name, drawn(draw, each / n)).otherwise(share)
+    # the rank only matters where many rows have one id
+    sample = known.where(share).select(F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.col(lang).alias("lang"), draw.alias("draw"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    rows = sample.withColumn("rank", rank).where(F.col("rank") <= math.ceil(2 * each)).select("text", "lang").collect()
     return fit([r[0] for r in rows], [r[1] for r in rows])
 
 

@@ -67,6 +67,14 @@ def test_a_share_of_a_huge_table_is_not_rounded_to_nothing(spark, monkeypatch):
         assert df.where(common.drawn(F.col("h"), 1.0)).count() == df.where(common.drawn(F.col("h"), 1400.0)).count() == 4
 
 
+def test_every_language_keeps_rows_of_the_sample(spark):
+    letters = "bcdfghjklmnp"
+    texts = [(100 * k + j, " ".join(x + rng.choice("aeiou") for _ in range(20)), f"x{x}") for k, x in enumerate(letters) for rng in [random.Random(k)] for j in range(400)]
+    long = [(9000 + j, "zi zo zu " * 12_000, "xz") for j in range(3)]
+    model = langid.train(spark.createDataFrame(texts + long, "doc_id long, text string, lang string").coalesce(1))
+    assert model.families == tuple(f"only:x{x}" for x in (*letters, "z"))
+
+
 def test_rows_without_ids_are_learned(spark):
     make, known = _languages()
     model = langid.train(spark.createDataFrame([(None, *r) for r in known], "doc_id long, text string, lang string"))
