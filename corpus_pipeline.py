@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlespark.llm import bpe, decontaminate, langid, linededup, simhash
-from candlespark.llm.common import read_table, shared_folder
+from candlespark.llm.common import read_table, shared_folder, with_rows
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -32,9 +32,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays."""
-    first = simhash.near_duplicates(docs).select(F.col("component_id").alias("__keep")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    """Of each SimHash component one row stays: the first by (id, row as written), null ids last."""
+    rows = with_rows(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    found = simhash.near_duplicates(rows.select(key.alias("__key"), "text"), id_col="__key")
+    first = found.where("__key.row = component_id.row").select(F.col("__key.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def remove_benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,16 @@ def test_stages_in_order(spark, tmp_path):
     assert whole == {k: r["ids_sha256"] for k, r in tokens.items()}
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    rng = random.Random(22)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    texts = [(None, a), (None, a), (None, b), (4, b), (5, c), (5, c), (5, d), (6, d), (3, d)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(None, a), (4, b), (5, c), (3, d)], key=repr)
+
+
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 11)} and set(oracle_sql()) <= set(queries())
 
