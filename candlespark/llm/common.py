@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,13 +30,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    One is made only where the session names none and runs on this machine alone; on a cluster
+    a folder of one machine would lose rows, so that ends in an error.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
@@ -47,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def with_rows(df: DataFrame) -> DataFrame:
     """``df`` with ``__row``, a number of its own for each row, as written to the shared folder: it stays when a task is run again."""
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "rows")
     df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -87,6 +103,26 @@ def drawn(hash64: Column, share: float) -> Column:
     return hash64 <= F.lit(min((1 << 63) - 1, math.ceil(share * 2.0**64) - (1 << 63))).cast("long")
 
 
+#: Bits of the largest screen: 16 MiB. It serves up to one key in eight bits; with more keys, all rows pass.
+SCREEN_BITS, SCREEN_SHARE = 27, 8
+
+
+def screened(rows: DataFrame, keys: DataFrame, hash64: str, n_keys: int) -> DataFrame:
+    """The rows whose ``hash64`` may be among that of ``keys``, before the join that decides: most others go without a shuffle.
+
+    The screen is a bitmap of bounded size, which is broadcast; it grows with the number of keys
+    up to that bound. Beyond it no screen is made, which costs a shuffle and changes no result.
+    """
+    bits = max(15, math.ceil(math.log2(SCREEN_SHARE * max(1, n_keys))))
+    if bits > SCREEN_BITS:
+        return rows
+    slot = F.shiftrightunsigned(hash64, 64 - bits) + 1
+    bucket, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    screen = keys.select(bucket.alias("__page"), bit.alias("__bit")).groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    set_bit = F.expr("shiftright(cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int), cast(__bit % 8 as int)) & 1") == 1
+    return rows.withColumn("__page", bucket).withColumn("__bit", bit).join(F.broadcast(screen), "__page").where(set_bit).select(rows.columns)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z; every other code point unchanged."""
     return F.translate(col, UPPER, LOWER)

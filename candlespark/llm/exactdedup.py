@@ -10,7 +10,8 @@
    itself after a map-side pre-aggregation, so a group of copies of any size arrives as one row
    from each task.
 
-A false alarm (two texts, one fingerprint) only costs its shuffle; no result depends on hashes.
+A false alarm (two texts, one fingerprint) only costs its shuffle: groups are of equal texts. Rows
+find their group again by a 64-bit hash and the SHA-256 of their text.
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import ascii_lower, cut, map_arrow
+from candlespark.llm.common import ascii_lower, cut, map_arrow, screened
 
 #: Fingerprint bits beyond log2 of the number of texts: a unique text is a false suspect with probability 2**-SLACK at most.
 SLACK = 12
 #: Texts that one owner is to handle, and the least number of owners.
 OWNER_TEXTS, MIN_OWNERS = 1 << 20, 64
-#: Bits of the filter that keeps unique texts out of the shuffle of suspects: 1 MiB, whatever the input.
-FILTER_BITS = 23
 
 
 def rice_encode(values: np.ndarray, low_bits: int) -> tuple[bytes, bytes]:
@@ -132,14 +131,9 @@ def duplicate_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     schema = narrow.select("id", "h", "sha").schema.add("suspect", "boolean")
     marked = cut(narrow.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInArrow(mark, schema))
 
-    # 3: suspects' texts. A bitmap of fixed size keeps the others out before the shuffle.
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1
-    bucket = F.bitmap_bucket_number(slot)
-    held = marked.where("suspect").select(bucket.alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-    screen = held.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))  # at most 2**FILTER_BITS bits
-    texts = hashed.select("id", "norm", F.xxhash64("norm").alias("h")).withColumn("bucket", bucket).withColumn("bit", F.bitmap_bit_position(slot))
-    set_bit = F.expr("shiftright(cast(conv(hex(substring(map, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1") == 1
-    suspects = texts.join(F.broadcast(screen), "bucket").where(set_bit)
+    # 3: suspects' texts. A bitmap keeps most others out before the shuffle.
+    held = marked.where("suspect").select("h")
+    suspects = screened(hashed.select("norm", "id", F.xxhash64("norm").alias("h")), held, "h", held.count())
     classes = suspects.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = classes.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
     alone = marked.where("not suspect").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))

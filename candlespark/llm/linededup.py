@@ -9,8 +9,8 @@
    that shares several bands is one bucket.
 3. The lines of buckets, and only those, are shuffled and compared. Within a bucket a
    breadth-first search over the lines not yet reached computes exact Jaccard similarities, so
-   no link between different lines is lost and no list of pairs is made. Buckets over ``BLOCK``
-   lines are dealt out as pairs of blocks.
+   no link between different lines is lost and no list of pairs is made. Buckets of more than
+   one block are dealt out as pairs of blocks, so no task depends on the size of a bucket.
 4. Links are joined into components; each keeps the line that comes first by (id, line number).
 """
 
@@ -24,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import cut, map_arrow, mix64, pieces, with_rows
+from candlespark.llm.common import cut, map_arrow, mix64, pieces, screened, with_rows
 from candlespark.llm.components import connected_components
 
 SHINGLE = 7
 ROWS, BANDS = 4, 12
 THRESHOLD = 0.8
-BLOCK = 16384
-#: Documents for each range of band keys, and the least number of ranges.
-RANGE_DOCS, MIN_RANGES = 4000, 64
-FILTER_BITS = 23
+#: Lines of a bucket that are a block: 1 / BLOCKS of them, within these bounds. Tasks compare pairs of blocks.
+LEAST_BLOCK, BLOCK, BLOCKS = 256, 16384, 16
+#: Bytes of text for each range of band keys, and the least number of ranges.
+RANGE_BYTES, MIN_RANGES = 8 << 20, 64
+#: Lines whose similarities are computed together, where buckets are smaller.
+VERIFY_LINES = 2000
 
 _MULTIPLIERS = (mix64(np.arange(1, ROWS * BANDS + 1)) | np.uint64(1)).astype(np.uint32)
 
@@ -48,12 +50,20 @@ def lines_of(text: bytes | None) -> Iterator[tuple[int, bytes]]:
 
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes, offsets): shingles of consecutive code points; a shorter line is one shingle."""
-    gap = "\0" * SHINGLE
-    points = np.frombuffer((gap.join(x.decode("utf-8", "replace") for x in lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(x.decode("utf-8", "replace")) for x in lines), np.int64, len(lines))
+    gap = b"\0" * SHINGLE
+    raw = gap.join([*lines, b""])
+    if raw.isascii():
+        points = np.frombuffer(raw, np.uint8)
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    else:
+        texts = [x.decode("utf-8", "replace") for x in lines]
+        points = np.frombuffer("".join(x + "\0" * SHINGLE for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.zeros(len(points), np.uint64)
+    wide = points.astype(np.uint64) + np.uint64(1)
     for k in range(SHINGLE):
-        code[: len(points) - k] = code[: len(points) - k] * np.uint64(0x100000001B3) + points[k:] + np.uint64(1)
+        code[: len(points) - k] *= np.uint64(0x100000001B3)
+        code[: len(points) - k] += wide[k:]
     many = np.maximum(1, sizes - SHINGLE + 1)
     begin = np.cumsum(sizes + SHINGLE) - (sizes + SHINGLE)
     at = np.concatenate([[0], np.cumsum(many)])
@@ -76,43 +86,60 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return keys
 
 
-def jaccard_links(lines: list[bytes], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct lines, by exact Jaccard similarity of their shingle sets."""
+def jaccard_links(lines: list[bytes], threshold: float = THRESHOLD, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): a spanning forest of the links among distinct lines of one ``group``, by exact Jaccard similarity of their shingle sets.
+
+    Breadth-first search in all groups at once: in each round every group that has lines left to
+    reach compares one reached line with all of those.
+    """
+    group = np.zeros(len(lines), np.int64) if group is None else group
     hashes, at = shingle_hashes(lines)
-    sets = [np.unique(hashes[s:e]) for s, e in zip(at[:-1], at[1:])]
-    if len(sets) == 2:
-        a, b = sets
-        shared = len(a) + len(b) - len(np.union1d(a, b))
-        return [(0, 1)] if shared >= threshold * (len(a) + len(b) - shared) else []
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(lines)), np.diff(at))
+    hashes ^= mix64(group)[owner]  # no shingle is shared between groups
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate([[True], np.diff(hashes[order]) != 0])
+    fresh, dense = np.empty(len(order), bool), np.empty(len(order), np.int64)
+    fresh[order] = new | np.concatenate([[True], np.diff(owner[order]) != 0])
+    dense[order] = np.cumsum(new) - 1
+    dense, owner = dense[fresh], owner[fresh]
+    sizes = np.bincount(owner, minlength=len(lines))
     edge = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(int(dense.max()) + 1, bool)
-    rest = np.arange(len(sets))
-    flat, flat_at = dense, edge
-    links: list[tuple[int, int]] = []
-    queue: list[int] = []
-    while len(rest) and (queue or len(rest) > 1):
-        if queue:
-            x = queue.pop()
-        else:
-            x = int(rest[0])
-            rest, flat, flat_at = _without(rest, flat, flat_at, np.arange(len(rest)) != 0)
-        mine = dense[edge[x] : edge[x + 1]]
+    mark = np.zeros(int(new.sum()), bool)
+    rest = np.argsort(group, kind="stable")  # not yet reached, by group
+    flat, of = _parts(rest, edge, dense)
+    queues: dict[int, list[int]] = {}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(rest):
+        own = group[rest]
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        pivot = np.array([queues[g].pop() if queues.get(g) else -1 for g in own[begin].tolist()])
+        seeds = begin[pivot < 0]
+        pivot[pivot < 0] = rest[seeds]
+        mine, _ = _parts(pivot, edge, dense)
         mark[mine] = True
-        shared = np.add.reduceat(mark[flat], flat_at[:-1], dtype=np.int64)
+        shared = np.add.reduceat(mark[flat], of[:-1], dtype=np.int64)
         mark[mine] = False
-        near = shared >= threshold * (sizes[rest] + sizes[x] - shared)
+        mate = np.repeat(pivot, np.diff(np.append(begin, len(rest))))
+        near = shared >= threshold * (sizes[rest] + sizes[mate] - shared)
+        near[seeds] = False
         if near.any():
-            links += [(x, int(y)) for y in rest[near]]
-            queue += rest[near].tolist()
-            rest, flat, flat_at = _without(rest, flat, flat_at, ~near)
-    return links
-
-
-def _without(rest: np.ndarray, flat: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.diff(at)
-    return rest[keep], flat[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])])
+            found.append((mate[near], rest[near]))
+            for g, y in zip(own[near].tolist(), rest[near].tolist()):
+                queues.setdefault(g, []).append(y)
+        near[seeds] = True
+        keep = ~near
+        left = np.add.reduceat(keep.astype(np.int64), begin)
+        keep &= np.repeat((left > 1) | np.array([bool(queues.get(g)) for g in own[begin].tolist()]), np.diff(np.append(begin, len(rest))))  # a last line has nothing to meet
+        lengths = np.diff(of)
+        rest, flat, of = rest[keep], flat[np.repeat(keep, lengths)], np.concatenate([[0], np.cumsum(lengths[keep])])
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _parts(rows: np.ndarray, edge: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``rows`` one after the other, and where each row's begin."""
+    many = edge[rows + 1] - edge[rows]
+    at = np.concatenate([[0], np.cumsum(many)])
+    return values[np.arange(at[-1]) + np.repeat(edge[rows] - at[:-1], many)], at
 
 
 def _id(line: bytes) -> bytes:
@@ -138,7 +165,7 @@ def _distinct(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[dict[byt
 def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): ids of linked different lines, a spanning set of all links that the bands bring together."""
     source = docs.select(text)
-    ranges = max(MIN_RANGES, docs.count() // RANGE_DOCS)
+    ranges = max(MIN_RANGES, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _distinct(batches, text):
@@ -162,60 +189,66 @@ def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
         out = []
         for s in np.flatnonzero(np.diff(at) > 1):
             members = ids[at[s] : at[s + 1]]
-            blocks = np.array_split(members, -(-len(members) // BLOCK))
-            for p in range(len(blocks)):
-                for q in range(p, len(blocks)):
-                    if p == q and len(blocks) > 1:
-                        continue  # a block's own pairs are compared along with its pairs with another block
-                    some = blocks[p] if p == q else np.concatenate([blocks[p], blocks[q]])
-                    out.append(some.tobytes())
-        names = [int.from_bytes(hashlib.blake2b(m, digest_size=8).digest(), "little", signed=True) for m in out]
-        return pa.table({"bucket": pa.array(names, pa.int64()), "members": pa.array(out, pa.binary())})
+            size = min(BLOCK, max(LEAST_BLOCK, -(-len(members) // BLOCKS)))
+            blocks = np.array_split(members, -(-len(members) // size))
+            name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+            out += [(name, len(blocks), b, x.tobytes()) for b, x in enumerate(blocks)]
+        kinds = {"bucket": pa.int64(), "blocks": pa.int32(), "block": pa.int32(), "members": pa.binary()}
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds.values())], list(kinds))
 
     sent = map_arrow(source, send, "range int, keys binary, ids binary")
-    found = cut(sent.groupBy("range").applyInArrow(buckets, "bucket long, members binary").dropDuplicates(["bucket"]))
+    # equal sets of lines are one bucket, whatever bands they share; two sets of one name would only be compared together
+    found = cut(sent.groupBy("range").applyInArrow(buckets, "bucket long, blocks int, block int, members binary").distinct())
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    # a block's own pairs are compared along with its pairs with another block
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("block")).alias("p"), F.greatest(x, F.col("block")).alias("q")))
+    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
+    dealt = found.select("bucket", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(alone)).alias("g"), "members").select("bucket", "g.p", "g.q", "members")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("members").to_pylist()
             ids = np.frombuffer(b"".join(raw), np.int64)
-            name = np.repeat(batch.column("bucket").to_numpy(), [len(m) // 8 for m in raw])
+            row = np.repeat(np.arange(len(raw)), [len(m) // 8 for m in raw])
             for low in range(0, len(ids), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(name[low : low + 200_000]), pa.array(ids[low : low + 200_000])], ["bucket", "short"])
+                own = batch.select(["bucket", "p", "q"]).take(pa.array(row[low : low + 200_000]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids[low : low + 200_000])], ["bucket", "p", "q", "short"])
 
-    belongs = map_arrow(found, members, "bucket long, short long")
+    belongs = map_arrow(dealt, members, "bucket long, p int, q int, short long")
 
     def all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines in _distinct(batches, text):
             yield pa.RecordBatch.from_arrays([pa.array(_short(list(lines))), pa.array(list(lines), pa.binary()), pa.array(list(lines.values()), pa.binary())], ["short", "id", "line"])
 
-    # a bitmap of fixed size keeps most lines of no bucket out of the shuffle; the join is exact
-    slot = F.shiftrightunsigned("short", 64 - FILTER_BITS) + 1
-    bits = belongs.select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("bit"))
-    screen = bits.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map"))
-    candidates = map_arrow(source, all_lines, "short long, id binary, line binary").withColumn("page", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
-    is_set = F.expr("shiftright(cast(conv(hex(substring(map, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1") == 1
-    texts = candidates.join(F.broadcast(screen), "page").where(is_set).select("short", "id", "line").dropDuplicates(["id"])
+    # lines of no bucket stay out of the shuffle; the join is exact
+    suspects = map_arrow(found.select(F.col("bucket"), F.lit(0).alias("p"), F.lit(0).alias("q"), "members"), members, "bucket long, p int, q int, short long")
+    n = found.agg(F.sum(F.octet_length("members") / 8)).first()[0] or 0
+    candidates = screened(map_arrow(source, all_lines, "short long, id binary, line binary"), suspects, "short", int(n))
+    texts = candidates.dropDuplicates(["id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids, lines = None, [], []
+        now, number = None, -1
+        ids, lines, group = [], [], []
 
         def links() -> pa.RecordBatch:
-            pairs = jaccard_links(lines, threshold) if len(lines) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in pairs], pa.binary()), pa.array([ids[y] for _, y in pairs], pa.binary())], ["a", "b"])
+            x, y = jaccard_links(lines, threshold, np.array(group))
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in v.tolist()], pa.binary()) for v in (x, y)], ["a", "b"])
 
         for batch in batches:
-            for bucket, i, line in zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), batch.column("line").to_pylist()):
-                if bucket != name:
-                    if len(lines) > 1:
+            for *key, i, line in zip(*(batch.column(c).to_pylist() for c in ("bucket", "p", "q", "id", "line"))):
+                if key != now:
+                    if len(lines) >= VERIFY_LINES:
                         yield links()
-                    name, ids, lines = bucket, [], []
+                        ids, lines, group = [], [], []
+                    now, number = key, number + 1
                 ids.append(i)
                 lines.append(line)
-        if len(lines) > 1:
+                group.append(number)
+        if lines:
             yield links()
 
-    whole = belongs.join(texts, "short").select("bucket", "id", "line").repartition("bucket").sortWithinPartitions("bucket")
+    where = ["bucket", "p", "q"]
+    whole = belongs.join(texts, "short").select(*where, "id", "line").repartition(*where).sortWithinPartitions(*where)
     return map_arrow(whole, verify, "a binary, b binary").distinct()
 
 

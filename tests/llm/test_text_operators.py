@@ -415,6 +415,38 @@ def test_bpe_equals_the_library(docs, corpus, spark, monkeypatch):
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
+def test_bpe_words_are_those_of_the_library(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(31)
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    parts = ["a", "s", "ll", "re", "'", "'s", "'t", "'ve", "'ll", "'S", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "1", "\u0663", "\u00e9", "\u65e5", "\u0301", "!", "?", "\u2026", "\U0001f600", "<|endoftext|>", "<|end"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = []
+        for k, part in enumerate(text.split("<|endoftext|>")):
+            want += ["<|endoftext|>"] * (k > 0) + [part[s:e] for _, (s, e) in tok.pre_tokenizer.pre_tokenize_str(part) if part]
+        assert bpe.split_words(text, spec) == want, text
+    long = " ".join(rng.choice(["foo", "bar's", "don't", "x1", "\u00e9 \n"]) for _ in range(30_000))
+    whole = bpe.split_words(long, spec)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1000)  # in parts
+    assert bpe.split_words(long, spec) == whole and "".join(whole) == long
+
+
+def test_bpe_of_a_source_that_changes(spark):
+    """A source that is read again gives other rows; the texts were split once."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.range(3000, numPartitions=4).select(F.col("id").alias("__pack"), F.concat_ws(" ", F.expr("cast(rand() as string)"), F.expr("uuid()")).alias("text"), F.lit(None).alias("c0"))
+    out = bpe.encode(df, path, keep=["__pack", "text", "c0"]).collect()
+    assert len(out) == 3000 and all(r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() and r["c0"] is None for r in out)
+
+
 # --- lines ---------------------------------------------------------------------------------------
 
 
