@@ -6,24 +6,34 @@ Every stage works on all that its predecessor kept, and all but the last return
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlespark.llm import bpe, decontaminate, langid, linededup, simhash
-from candlespark.llm.common import read_table, shared_folder, with_rows
+from candlespark.llm.common import read_table, shared_path, with_rows
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+#: A language told with less than this is none; told with this and more, it overrules the one that a document states.
+LEAST_SCORE, SURE_SCORE = 0.3, 0.9
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no text or no letter) go; the others stay as they are."""
+    """Documents whose language cannot be told go: no text, no letter, or a score under ``LEAST_SCORE``.
+
+    The others keep their text; ``lang`` becomes the language told where none is stated, or
+    where the one stated is another and the score reaches ``SURE_SCORE``. Rows are judged one by
+    one, so null and repeated ids do no harm; an empty table gives an empty table.
+    """
     model = langid.train(docs)
-    told = langid.predict_languages(docs, model, keep=docs.columns)
-    return told.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    name = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}  # or a column score would be replaced
+    stated = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in name.items()))
+    told = langid.predict_languages(stated, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    lang = F.when(F.col(name["lang"]).isNull() | (F.col("score") >= SURE_SCORE), F.col("lang_pred")).otherwise(F.col(name["lang"]))
+    return told.select(*((lang if c == "lang" else F.col(a)).alias(c) for c, a in name.items()))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what is between them is written to the shared folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
