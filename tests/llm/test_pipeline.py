@@ -45,6 +45,28 @@ def test_stages_in_order(spark, tmp_path):
     assert whole == {k: r["ids_sha256"] for k, r in tokens.items()}
 
 
+def test_the_language_told_decides(spark, monkeypatch):
+    rng = random.Random(23)
+    stock = {"en": "the and of that with this have from".split(), "de": "der und die nicht ist ein mit auch".split(), "fr": "le les des une dans est pour qui".split()}
+    say = lambda lang: " ".join(rng.choice(stock[lang]) for _ in range(40))
+    texts = [(k, say(lang), lang, "s", 0, "own") for k, lang in enumerate(["en", "de", "fr"] * 30)]
+    texts += [(100, say("de"), None, "s", 0, "own"), (101, say("fr"), "en", "s", 0, "own"), (None, say("en"), "en", "s", 0, "own"), (7, say("en"), "en", "s", 0, "own"), (102, "123", "en", "s", 0, "own"), (103, None, "en", "s", 0, "own"), (104, "x", "en", "s", 0, "own")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    monkeypatch.setattr(corpus_pipeline, "SURE_SCORE", 0.5)  # so few texts teach little
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {(r["doc_id"], r["text"]): r for r in out.collect()}
+    lang = {t[:2]: t[2] for t in texts}
+    assert got[texts[90][:2]]["lang"] == "de" and got[texts[91][:2]]["lang"] == "fr" and not any(k in (102, 103) for k, _ in got)
+    assert all(r["lang"] == lang[k] and r["score"] == "own" for k, r in got.items() if k[0] not in (100, 101, 104)) and set(lang) - set(got) <= {t[:2] for t in texts[-3:]}
+    monkeypatch.setattr(corpus_pipeline, "SURE_SCORE", 2.0)
+    kept = {r["text"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept[texts[91][1]] == "en" and kept[texts[90][1]] == "de"
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 0
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
+
+
 def test_one_row_of_each_near_duplicate_group_stays(spark):
     rng = random.Random(22)
     a, b, c, d = (prose(rng, 200) for _ in range(4))
