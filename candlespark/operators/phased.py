@@ -69,12 +69,12 @@ def resolve_phased_grid(df: DataFrame, *, window: Duration | str, emit_every: Du
         raise ConfigError(f"{row['odd']} rows do not span the stated window of {Duration(w)}")
     if row["n"] < 2:
         raise ConfigError("a phased lookback needs at least two rows to measure the frame's cadence")
-    steps = _steps(df)
-    by_count = steps.groupBy("step").count().orderBy(F.desc("count"), "step").limit(1).first()
-    cadence = by_count["step"]
-    if cadence <= 0 or steps.where(F.col("step") <= 0).limit(1).count():
+    counted = _steps(df).groupBy("step").count()
+    usual = F.max_by("step", F.struct("count", -F.col("step")))
+    cadence, least, odd = counted.agg(usual, F.min("step"), F.count_if(F.try_mod("step", counted.agg(usual).scalar()) != 0)).first()
+    if cadence <= 0 or least <= 0:
         raise ConfigError("close_time repeats")
-    if steps.where(F.pmod("step", F.lit(cadence)) != 0).limit(1).count():
+    if odd:
         raise ConfigError(f"the steps of close_time are not all multiples of {Duration(cadence)}")
     for label, value in (("window", w), ("emit_every", e)):
         if value % cadence:

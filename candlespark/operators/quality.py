@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 from fractions import Fraction
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +85,14 @@ class QualityReport:
 
 @dataclass(frozen=True)
 class QualityPolicyResult:
+    """The frame after the policy, and the counts of the frame before it, which are taken when first asked for."""
+
     frame: DataFrame
-    report: QualityReport
+    take_report: Callable[[], QualityReport]
+
+    @cached_property
+    def report(self) -> QualityReport:
+        return self.take_report()
 
 
 class WindowCoverageError(CoverageError):
@@ -127,17 +135,21 @@ def filter_windows(df: DataFrame, policy: WindowQualityPolicy, window: Duration
 
 
 def apply_quality_policy(df: DataFrame, policy: WindowQualityPolicy, *, window: Duration | str) -> QualityPolicyResult:
-    """Apply a policy and report: PASS_THROUGH records, FILTER drops, GATE raises when strict and never drops."""
-    row = quality_report(df, policy, window).first()
-    report = QualityReport(**row.asDict())
-    if policy.mode is QualityMode.FILTER:
-        return QualityPolicyResult(filter_windows(df, policy, window), report)
-    if policy.mode is QualityMode.GATE and policy.gate_mode is GateMode.STRICT and report.below_either:
+    """Apply a policy and report: PASS_THROUGH records, FILTER drops, GATE raises when strict and never drops.
+
+    Only a strict gate runs a job; the others' reports are made when they are read.
+    """
+    counts = quality_report(df, policy, window)
+    take = lambda: QualityReport(**counts.first().asDict())
+    if policy.mode is not QualityMode.GATE or policy.gate_mode is not GateMode.STRICT:
+        return QualityPolicyResult(filter_windows(df, policy, window) if policy.mode is QualityMode.FILTER else df, take)
+    report = take()
+    if report.below_either:
         raise WindowCoverageError(
             f"{report.below_either} of {report.rows} windows are below {report.min_coverage_seconds}s covered or {report.min_traded_seconds}s traded, the first at close_time {report.first_offending_close_time}",
             report,
         )
-    return QualityPolicyResult(df, report)
+    return QualityPolicyResult(df, lambda: report)
 
 
 def _require_quality_columns(df: DataFrame) -> None:

@@ -7,11 +7,13 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.columns import DOUBLE, LONG, require_absent, require_types
+from candlespark.columns import DOUBLE, LONG, ROW, require_absent, require_types
 from candlespark.duration import Duration, validate_cadence, validate_horizon_duration
 from candlespark.errors import ConfigError
 
 INT64 = 2**63
+#: Rows whose order one task checks.
+STRETCH_ROWS = 1_000_000
 
 
 class ReturnMethod(Enum):
@@ -68,17 +70,22 @@ def return_values(numerator: Column, denominator: Column, method: ReturnMethod)
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
-def require_alignable(df: DataFrame, shift: int = 0, extra: tuple[str, ...] = ()) -> dict:
-    """Check columns and types, then in one aggregation: close_time without nulls or repeats, and its shift within 64 bits."""
+def require_alignable(df: DataFrame, shift: int = 0, extra: tuple[str, ...] = (), grid: int | None = None) -> None:
+    """Check columns and types, then in one aggregation: close_time without nulls or repeats, its shift within 64 bits, and with ``grid`` a hole-free grid of so many seconds."""
     require_types(df, {"close_time": LONG, "close": DOUBLE} | {c: DOUBLE for c in extra})
-    row = df.agg(F.count("*").alias("n"), F.count("close_time").alias("present"), F.min("close_time").alias("low"), F.max("close_time").alias("high")).first().asDict()
-    if row["n"] != row["present"]:
-        raise ConfigError(f"close_time has {row['n'] - row['present']} nulls; it is the key that rows are aligned by")
-    if df.groupBy("close_time").count().where("count > 1").limit(1).count():
+    key = F.col("close_time")
+    phase = F.pmod(key, F.lit(grid or 1))
+    # a close time comes to one row each before it is counted, so repeats are found by the same shuffle
+    each = df.groupBy("close_time").agg(F.count("*").alias("n"))
+    row = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(key.isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count_if((F.col("n") > 1) & key.isNotNull()).alias("repeats"), F.min(key).alias("low"), F.max(key).alias("high"), (F.min(phase) != F.max(phase)).alias("off")).first()
+    if row["nulls"]:
+        raise ConfigError(f"close_time has {row['nulls']} nulls; it is the key that rows are aligned by")
+    if row["repeats"]:
         raise ConfigError("close_time repeats; rows could not be aligned by it")
     if row["n"] and not (-INT64 <= row["low"] + min(shift, -abs(shift)) and row["high"] + abs(shift) < INT64):
         raise ConfigError(f"close_time shifted by {shift}s leaves the 64-bit range")
-    return row
+    if grid and row["n"] > 1 and (row["off"] or row["high"] - row["low"] != (row["n"] - 1) * grid):
+        raise ConfigError(f"the frame is no hole-free grid of {grid}s: {row['n']} rows from {row['low']} to {row['high']}")
 
 
 def counterpart_closes(df: DataFrame, offset: int) -> DataFrame:
@@ -110,13 +117,27 @@ def add_forward_returns(df: DataFrame, *, horizon: Duration | str, cadence: Dura
     return found.drop("__other").withColumn(at, F.col("close_time") + F.lit(h.total_seconds).cast("long"))
 
 
-def require_total_grid(df: DataFrame, cadence_seconds: int, row: dict | None = None) -> None:
-    """Refuse a frame whose close times are not exactly a hole-free grid of the cadence."""
-    row = row or df.agg(F.count("*").alias("n"), F.min("close_time").alias("low"), F.max("close_time").alias("high")).first().asDict()
-    if row["n"] > 1:
-        off = df.where(F.pmod(F.col("close_time") - F.lit(row["low"]), F.lit(cadence_seconds)) != 0).limit(1).count()
-        if off or row["high"] - row["low"] != (row["n"] - 1) * cadence_seconds:
-            raise ConfigError(f"the frame is no hole-free grid of {cadence_seconds}s: {row['n']} rows from {row['low']} to {row['high']}")
+def require_total_grid(df: DataFrame, cadence_seconds: int) -> None:
+    """Refuse a frame whose close times are not exactly a hole-free grid of the cadence, or, where rows are numbered, do not ascend with their numbers."""
+    require_alignable(df, grid=cadence_seconds)
+    require_ascending(df)
+
+
+def require_ascending(df: DataFrame) -> None:
+    """Refuse a frame with row numbers whose close times do not ascend with them; without numbers a frame has no order.
+
+    Each stretch of rows is checked within, and the stretches' edges against one another.
+    """
+    if ROW not in df.columns:
+        return
+    stretch = F.floor(F.col(ROW) / F.lit(STRETCH_ROWS))
+    rows = df.select(F.col(ROW).alias("r"), "close_time", stretch.alias("b"))
+    before = F.lag("close_time").over(Window.partitionBy("b").orderBy("r"))
+    inside = rows.withColumn("before", before).groupBy("b").agg(F.count_if(F.col("close_time") <= F.col("before")).alias("bad"), F.min("close_time").alias("low"), F.max("close_time").alias("high"))
+    seam = F.coalesce(F.col("low") <= F.lag("high").over(Window.orderBy("b")), F.lit(False))  # a row for each stretch
+    bad = inside.withColumn("seam", seam).agg(F.sum(F.col("bad") + F.col("seam").cast("int"))).first()[0]
+    if bad:
+        raise ConfigError(f"close_time does not ascend with the rows' numbers at {bad} places")
 
 
 def add_forward_excursions(df: DataFrame, *, horizon: Duration | str, cadence: Duration | str, method: ReturnMethod, checked: bool = True) -> DataFrame:
@@ -131,8 +152,8 @@ def add_forward_excursions(df: DataFrame, *, horizon: Duration | str, cadence: D
     mfe, mae, at = forward_mfe_column(method, h), forward_mae_column(method, h), forward_excursion_available_at_column(method, h)
     require_absent(df, (mfe, mae, at))
     if checked:
-        row = require_alignable(df, h.total_seconds, ("high", "low"))
-        require_total_grid(df, e.total_seconds, row)
+        require_alignable(df, h.total_seconds, ("high", "low"), e.total_seconds)
+        require_ascending(df)
     n = h.total_seconds // e.total_seconds
     width = max(64 * h.total_seconds, 4096 * e.total_seconds)
     bad = F.col("high").isNull() | F.col("low").isNull() | F.isnan("high") | F.isnan("low")

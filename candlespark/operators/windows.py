@@ -4,18 +4,23 @@ A candle [o, o + d) belongs to the window of W seconds that ends at tick t iff o
 o + d <= t. Every tick has a row; without candles its prices and volume are null and its
 counters 0.
 
-Two physical plans, all of built-in functions:
-
-* **Explode** (any input): a candle is sent to the ticks that contain it, W / E of them, and
-  aggregated by tick with map-side pre-aggregation.
-* **Two blocks** (large W / E, on-grid input): time is cut into blocks of W seconds. A window is a
-  suffix of one block and a prefix of the next, so running aggregates within blocks give every
-  window in one pass whose cost does not grow with W, and no block needs another's rows. No
-  value is ever subtracted, so an untraded window's volume is exactly 0.
+Three physical plans:
+
+* **Explode** (any input, small W / E): a candle is sent to the ticks that contain it, W / E of
+  them, and aggregated by tick with map-side pre-aggregation.
+* **Sweep** (input on its grid): see :mod:`candlespark.operators.sweep`. One shuffle of the candles
+  answers every tick of every schedule, at a cost that does not grow with W.
+* **Blocks** (input on its grid): the same by window functions alone. Time is cut into blocks of
+  W seconds; a window is a suffix of one block and a prefix of the next, so running aggregates
+  within blocks give every window. No value is ever subtracted, so an untraded window's volume
+  is exactly 0.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +29,18 @@ from candlespark.duration import Duration
 from candlespark.errors import ConfigError
 from candlespark.logs import get_logger
 from candlespark.operators.grid import ExplicitRange, Materialization, MaterializationRule, ResolvedSchedule, coerce_materialization, resolve_schedule
+from candlespark.operators.sweep import MAX_SLOTS, sweep
 from candlespark.sources.profile import OHLCV, SourceProfile, require_source_columns
 
 logger = get_logger(__name__)
 
 WINDOW_COLUMNS = ("open_time", "close_time", *OHLCV, "src_count", "coverage_seconds", "traded_seconds")
-#: W / E from which the block plan is taken on its own.
-BLOCKS_FROM = 64
+#: W / E from which input on its grid is swept, and up to which the stretch of a first full window is exploded.
+SWEEP_FROM, FEW_TICKS = 4, 64
 MANY_TICKS = 20_000_000
-PLANS = ("auto", "explode", "blocks")
+PLANS = ("auto", "explode", "blocks", "sweep")
+#: One traded candle in a count of candles: the upper half of 64 bits counts these.
+_TRADED = 1 << 32
 
 
 def extract_candles(df: DataFrame, profile: SourceProfile, by: str | None = None) -> DataFrame:
@@ -85,47 +93,52 @@ def _explode_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int,
 
 
 def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
-    """Running aggregates within blocks of W seconds; windows are a suffix of one and a prefix of the next.
+    """A row for every tick: running aggregates within blocks of W seconds, in one shuffle.
 
-    Candles must lie on the grid, or one that crosses a block edge would be counted.
+    The window of tick t is the suffix of one block from t - W on, and the prefix of the next
+    block before t. A candle goes to the task of its own block, for suffixes, and to that of the
+    block before, for prefixes, there W earlier: so one probe of t, at t - W, stands before all
+    that its suffix counts and after all that its prefix counts. If the suffix has a candle it
+    has the last one of its block, and a prefix has the first of its own.
     """
-    w, p = s.window, s.phase
-    block = lambda x: F.floor((x - p) / F.lit(w)).cast("long")
+    w = s.window
+    block = lambda x: x - F.pmod(x - F.lit(s.phase), F.lit(w))
     ticks = _tick_frame(candles.sparkSession, s, start, end)
     if keys:
         ticks = _keyed_ticks(candles, ticks, keys)
-    nothing = [F.lit(None).cast("double").alias(c) for c in OHLCV]
-    rows = candles.select(*keys, block(F.col("o")).alias("b"), F.col("o").alias("k"), "r", *OHLCV, F.lit(None).cast("long").alias("t"))
-    # the suffix probe stands before the first candle it counts, the prefix probe after the last
-    suffix = ticks.select(*keys, block(F.col("t") - w).alias("b"), (F.col("t") - w).alias("k"), F.lit(-1).cast("long").alias("r"), *nothing, "t")
-    prefix = ticks.select(*keys, (block(F.col("t") - w) + 1).alias("b"), (F.col("t") - s.cadence).alias("k"), F.lit(2**62).alias("r"), *nothing, "t")
-    found = []
-    for probes, going_down in ((suffix, True), (prefix, False)):
-        order = [F.col("k").desc(), F.col("r").desc()] if going_down else [F.col("k"), F.col("r")]
-        over = Window.partitionBy(*keys, "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        is_candle = F.col("t").isNull()
-        aggregates = {
-            "open": F.min_by("open", F.when(is_candle, F.struct("k", "r"))).over(over),
-            "high": F.max("high").over(over),
-            "low": F.min("low").over(over),
-            "close": F.max_by("close", F.when(is_candle, F.struct("k", -F.col("r")))).over(over),
-            "volume": F.sum("volume").over(over),
-            "src_count": F.count(F.when(is_candle, 1)).over(over),
-            "traded": F.count(F.when(is_candle & traded(F.col("volume")), 1)).over(over),
-        }
-        found.append(rows.unionByName(probes).select(*keys, "t", *(c.alias(n) for n, c in aggregates.items())).where("t IS NOT NULL"))
-    old, new = found[0].alias("x"), found[1].alias("y")
-    both = old.join(new, [*keys, "t"])
-    has_old, has_new = F.col("x.src_count") > 0, F.col("y.src_count") > 0
-    volume = F.when(F.col("x.volume").isNull(), F.col("y.volume")).when(F.col("y.volume").isNull(), F.col("x.volume")).otherwise(F.col("x.volume") + F.col("y.volume"))
-    return both.select(
+    candles, own = _require_grid(candles, s), block(F.col("o"))
+    places = F.array(*(F.struct((own - shift).alias("b"), (F.col("o") - shift).alias("k"), F.lit(n).alias("side")) for n, shift in ((0, F.lit(0)), (1, F.lit(w)))))
+    count = F.lit(1).cast("long") + F.when(traded(F.col("volume")), F.lit(_TRADED)).otherwise(F.lit(0).cast("long"))
+    rows = candles.select(*keys, F.explode(places).alias("at"), "r", *OHLCV, count.alias("n")).select(*keys, "at.*", "r", *OHLCV, "n")
+    probe = F.col("t") - w
+    probes = ticks.select(*keys, block(probe).alias("b"), probe.alias("k"), "t")
+    block_of = Window.partitionBy(*keys, "b")
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+    # of equal open times the first published decides: it comes last in both orders
+    up = block_of.orderBy(F.asc("k"), F.asc_nulls_first("side"), F.desc("r"), *(F.asc(c) for c in OHLCV))
+    down = block_of.orderBy(F.desc("k"), F.desc_nulls_last("side"), F.desc("r"), *(F.desc(c) for c in OHLCV))
+    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    old, new = F.col("side") == 0, F.col("side") == 1
+    last = lambda side, c, over: F.last(F.when(side, F.struct(c)), ignorenulls=True).over(over)[c]
+    halves = {
+        "new_close": last(new, "close", up.rowsBetween(*to_here)), "old_close": F.max_by("close", F.when(old, F.struct("k", -F.col("r"), *OHLCV))).over(whole),
+        "new_open": F.min_by("open", F.when(new, F.struct("k", "r", *OHLCV))).over(whole), "old_open": last(old, "open", down.rowsBetween(*to_here)),
+    }
+    for name, side, over in (("new", new, up), ("old", old, down)):
+        for c, f in (("high", F.max), ("low", F.min), ("volume", F.sum), ("n", F.sum)):
+            halves[f"{name}_{c}"] = f(F.when(side, F.col(c))).over(over.rowsBetween(*to_here))
+    found = rows.unionByName(probes, allowMissingColumns=True).select(*keys, "t", *(c.alias(n) for n, c in halves.items())).where("t IS NOT NULL")
+    has_old, has_new = F.col("old_n").isNotNull(), F.col("new_n").isNotNull()
+    many = F.coalesce("old_n", F.lit(0).cast("long")) + F.coalesce("new_n", F.lit(0).cast("long"))
+    return found.select(
         *keys, "t",
-        F.when(has_old, F.col("x.open")).otherwise(F.col("y.open")).alias("open"),
-        F.greatest("x.high", "y.high").alias("high"), F.least("x.low", "y.low").alias("low"),
-        F.when(has_new, F.col("y.close")).otherwise(F.col("x.close")).alias("close"),
-        volume.alias("volume"), (F.col("x.src_count") + F.col("y.src_count")).alias("src_count"),
-        ((F.col("x.traded") + F.col("y.traded")) * F.lit(s.cadence).cast("long")).alias("traded_seconds"),
-    ).where("src_count > 0")
+        F.when(has_old, F.col("old_open")).when(has_new, F.col("new_open")).alias("open"),
+        F.greatest("old_high", "new_high").alias("high"), F.least("old_low", "new_low").alias("low"),
+        F.when(has_new, F.col("new_close")).when(has_old, F.col("old_close")).alias("close"),
+        F.coalesce(F.col("old_volume") + F.col("new_volume"), "old_volume", "new_volume").alias("volume"),
+        many.bitwiseAND(F.lit(_TRADED - 1)).alias("src_count"),
+        (F.shiftright(many, 32) * F.lit(s.cadence).cast("long")).alias("traded_seconds"),
+    )
 
 
 def _keyed_ticks(candles: DataFrame, ticks: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,110 +156,152 @@ def _tick_frame(spark, s: ResolvedSchedule, start: int, end: int) -> DataFrame:
     return spark.range(first, max(first, end), s.emit).withColumnRenamed("id", "t")
 
 
-def _warmup_range(candles: DataFrame, s: ResolvedSchedule) -> tuple[int, int] | None:
-    """[first fully covered tick, last tick + 1) in one aggregation, or None if no window is ever full.
+@dataclass(frozen=True)
+class _Span:
+    """First and last open time of a source, or None, and how many candles lie off its grid."""
+
+    low: int | None
+    high: int | None
+    off: int
+
+
+def _span(candles: DataFrame, s: ResolvedSchedule) -> _Span:
+    row = candles.agg(F.min("o"), F.max("o"), F.count_if(F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0)).first()
+    return _Span(*row)
+
 
-    A window is full when its candles' durations add up to W.
+def _warmup_range(candles: DataFrame, s: ResolvedSchedule, span: _Span) -> tuple[int, int] | None:
+    """[first fully covered tick, last tick + 1), or None if no window is ever full.
+
+    A window is full when its candles' durations add up to W. The first that could be is counted
+    on its own where that is cheaper; else, and if the source begins with holes, growing
+    stretches are looked at, not all of history.
     """
-    span = candles.agg(F.min("o"), F.max("o")).first()
-    if span[0] is None:
+    if span.low is None:
         return None
-    start, last = s.first_tick_at_or_after(span[0] + s.window), s.last_tick_at_or_before(span[1] + s.cadence)
+    start, last = s.first_tick_at_or_after(span.low + s.window), s.last_tick_at_or_before(span.high + s.cadence)
     if start > last:
         return None
-    # the count of a window is W / d at its first full tick; look at a growing stretch, not at all of history
-    reach = max(64 * s.emit, 4 * s.window)
-    low = start
+    full, reach, low = s.window // s.cadence, max(64 * s.emit, 4 * s.window), start
+    few = s.window // s.emit <= FEW_TICKS
+    if not few and candles.where((F.col("o") >= start - s.window) & (F.col("o") <= start - s.cadence)).count() == full:
+        return start, last + 1
     while low <= last:
         high = min(last, s.last_tick_at_or_before(low + reach))
         near = candles.where((F.col("o") >= low - s.window) & (F.col("o") < high))
-        counts = _to_ticks(near, s, F.lit(low).cast("long"), F.lit(high + 1).cast("long")).groupBy("t").count()
-        found = counts.where(F.col("count") == s.window // s.cadence).agg(F.min("t")).first()[0]
+        if few or span.off:
+            counts = _to_ticks(near, s, F.lit(low).cast("long"), F.lit(high + 1).cast("long")).groupBy("t").agg(F.count("*").alias("src_count"))
+        else:
+            counts = _swept(near, s, low, high + 1, [])
+        found = counts.where(F.col("src_count") == full).agg(F.min("t")).first()[0]
         if found is not None:
             return found, last + 1
         low, reach = high + s.emit, reach * 8
     return None
 
 
-def tick_range(df: DataFrame, profile: SourceProfile, s: ResolvedSchedule, materialization: Materialization | str) -> tuple[int, int]:
+def tick_range(df: DataFrame, profile: SourceProfile, s: ResolvedSchedule, materialization: Materialization | str, span: _Span | None = None) -> tuple[int, int]:
     """The half-open range of ticks that a rule stands for."""
     rule = coerce_materialization(materialization)
     if isinstance(rule, ExplicitRange):
         return rule.start, rule.end
-    found = _warmup_range(extract_candles(df, profile), s)
+    candles = extract_candles(df, profile)
+    found = _warmup_range(candles, s, span or _span(candles, s))
     if found is None:
         raise ConfigError(f"no window of {Duration(s.window)} is fully covered by the source, so {MaterializationRule.SKIP_WARMUP.value} has no tick to begin at")
     return found
 
 
+def _swept(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
+    if s.window // s.cadence > MAX_SLOTS:
+        return _block_plan(candles, s, start, end, keys)
+    return sweep(_require_grid(candles, s), [s], [(start, end)], keys).drop("k")
+
+
+def _require_grid(candles: DataFrame, s: ResolvedSchedule) -> DataFrame:
+    """The candles; one off the grid ends the job, where the caller's word stood for the check."""
+    off = F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0
+    return candles.withColumn("o", F.when(off, F.raise_error(F.concat(F.lit("a candle lies off the grid at "), F.col("o").cast("string"))).cast("long")).otherwise(F.col("o")))
+
+
 def compute_windows(
     df: DataFrame, profile: SourceProfile, *, window: Duration | str, emit_every: Duration | str, anchor: Duration | str = "0s",
     materialization: Materialization | str = MaterializationRule.SKIP_WARMUP, plan: str = "auto", partition_by: str | None = None, deterministic: bool = False, on_grid: bool = False,
 ) -> DataFrame:
     """The ten-column window frame (after the key, where ``partition_by`` names one).
 
-    ``plan`` forces a physical plan; ``auto`` takes the block plan for W / E of ``BLOCKS_FROM``
-    and more when the caller states with ``on_grid`` that the source passed validation (every
-    candle on the cadence grid), else the explode plan. ``deterministic`` sums volume in
-    (open time, row) order in the explode plan; the block plan's order is fixed anyway.
+    ``plan`` forces a physical plan. ``auto`` sweeps for W / E of ``SWEEP_FROM`` and more if every
+    candle lies on the cadence grid, which one aggregation finds out unless the caller states it
+    with ``on_grid`` (of a source that passed validation), and explodes otherwise. The sweep and
+    block plans refuse a source off its grid. ``deterministic`` sums volume in (open time, row)
+    order in the explode plan; the order of the others is fixed anyway.
     Nulls: an invalid null price is carried as the source has it; null volume adds nothing.
     """
     s = resolve_schedule(profile, window=window, emit_every=emit_every, anchor=anchor)
     if plan not in PLANS:
         raise ConfigError(f"plan must be one of {PLANS}, got {plan!r}")
-    start, end = tick_range(df, profile, s, materialization)
-    if s.count_ticks(start, end) > MANY_TICKS:
-        logger.warning("%d ticks will be emitted", s.count_ticks(start, end))
     candles = extract_candles(df, profile, partition_by)
+    rule = coerce_materialization(materialization)
     # only candles of some window are read: the predicate reaches the scan
-    candles = candles.where((F.col("o") >= start - s.window) & (F.col("o") < end))
+    within = lambda a, b: (F.col("o") >= a - s.window) & (F.col("o") < b)
+    wanted = plan in ("blocks", "sweep") or plan == "auto" and s.window // s.emit >= SWEEP_FROM
+    span = None
+    if not isinstance(rule, ExplicitRange):
+        span = _span(candles, s)
+    elif wanted and not on_grid:
+        span = _span(candles.where(within(rule.start, rule.end)), s)
+    off = 0 if span is None else span.off
+    if off and (plan in ("blocks", "sweep") or on_grid):
+        raise ConfigError(f"{off} candles lie off the grid of {profile.cadence} from {profile.phase_seconds}s; only the explode plan takes them")
+    start, end = tick_range(df, profile, s, rule, span)
+    if s.count_ticks(start, end) > MANY_TICKS:
+        logger.warning("%d ticks will be emitted", s.count_ticks(start, end))
+    candles = candles.where(within(start, end))
     keys = ["__by"] if partition_by else []
-    blocks = plan == "blocks" or plan == "auto" and on_grid and s.window // s.emit >= BLOCKS_FROM
-    found = _block_plan(candles, s, start, end, keys) if blocks else _explode_plan(candles, s, start, end, keys, deterministic)
-    ticks = _tick_frame(df.sparkSession, s, start, end)
-    grid = _keyed_ticks(candles, ticks, keys) if keys else ticks
+    if plan == "blocks":
+        out = _block_plan(candles, s, start, end, keys)
+    elif wanted and not off:
+        out = _swept(candles, s, start, end, keys)
+    else:
+        found = _explode_plan(candles, s, start, end, keys, deterministic)
+        ticks = _tick_frame(df.sparkSession, s, start, end)
+        out = (_keyed_ticks(candles, ticks, keys) if keys else ticks).join(found, [*keys, "t"], "left")
     count = F.coalesce("src_count", F.lit(0).cast("long"))
-    out = grid.join(found, [*keys, "t"], "left").select(
+    return out.select(
         *(F.col(k).alias(partition_by) for k in keys),
         (F.col("t") - F.lit(s.window).cast("long")).alias("open_time"), F.col("t").alias("close_time"), *OHLCV,
         count.alias("src_count"), (count * F.lit(s.cadence).cast("long")).alias("coverage_seconds"),
         F.coalesce("traded_seconds", F.lit(0).cast("long")).alias("traded_seconds"),
     )
-    return out
-
 
-def _marked(k: int):
-    """A tick with the number of its pair. (A second parameter of the lambda would be the array index.)"""
-    return lambda t: F.struct(F.lit(k).alias("k"), t.alias("t"))
 
+def compute_ladder(
+    df: DataFrame, profile: SourceProfile, pairs: list[tuple[Duration | str, Duration | str]], *, anchor: Duration | str = "0s",
+    materialization: Materialization | str = MaterializationRule.SKIP_WARMUP,
+) -> DataFrame:
+    """All (window, emit cadence) pairs of a ladder, with the leading columns window_seconds and emit_seconds.
 
-def compute_ladder(df: DataFrame, profile: SourceProfile, pairs: list[tuple[Duration | str, Duration | str]], *, anchor: Duration | str = "0s", materialization: ExplicitRange) -> DataFrame:
-    """All (window, emit cadence) pairs of a ladder in one pass, with the leading columns window_seconds and emit_seconds.
-
-    A candle is exploded to the ticks of every pair and aggregated once by (pair, tick): one
-    scan and one shuffle for the ladder, where a call for each pair would take as many.
+    Input on its grid is swept: one scan and one shuffle of the candles answer all pairs, where a
+    call for each pair would take as many. Pairs beyond the sweep's bound, and all pairs of input
+    off its grid, are computed one by one.
     """
     resolved = [resolve_schedule(profile, window=w, emit_every=e, anchor=anchor) for w, e in pairs]
     if not resolved:
         raise ConfigError("a ladder needs at least one pair")
-    start, end = materialization.start, materialization.end
-    widest = max(s.window for s in resolved)
-    candles = extract_candles(df, profile).where((F.col("o") >= start - widest) & (F.col("o") < end))
-    ticks = []
-    for k, s in enumerate(resolved):
-        first = s.tick_at_or_after(F.greatest(F.col("o") + s.cadence, F.lit(start).cast("long")))
-        last = s.tick_at_or_before(F.least(F.col("o") + s.window, F.lit(end - 1).cast("long")))
-        steps = F.when(first <= last, F.sequence(first, last, F.lit(s.emit).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        ticks.append(F.transform(steps, _marked(k)))
-    spread = candles.select("*", F.explode(F.concat(*ticks)).alias("at")).select("*", "at.k", "at.t").drop("at")
-    found = spread.groupBy("k", "t").agg(*_aggregates(profile.cadence.total_seconds, False))
-    grid = None
-    for k, s in enumerate(resolved):
-        one = _tick_frame(df.sparkSession, s, start, end).select(F.lit(k).alias("k"), "t", F.lit(s.window).cast("long").alias("window_seconds"), F.lit(s.emit).cast("long").alias("emit_seconds"))
-        grid = one if grid is None else grid.unionByName(one)
-    count = F.coalesce("src_count", F.lit(0).cast("long"))
-    return grid.join(found, ["k", "t"], "left").select(
-        "window_seconds", "emit_seconds", (F.col("t") - F.col("window_seconds")).alias("open_time"), F.col("t").alias("close_time"), *OHLCV,
-        count.alias("src_count"), (count * F.lit(profile.cadence.total_seconds).cast("long")).alias("coverage_seconds"),
-        F.coalesce("traded_seconds", F.lit(0).cast("long")).alias("traded_seconds"),
-    )
+    rule, candles = coerce_materialization(materialization), extract_candles(df, profile)
+    if isinstance(rule, ExplicitRange):
+        candles = candles.where((F.col("o") >= rule.start - max(s.window for s in resolved)) & (F.col("o") < rule.end))
+    span = _span(candles, resolved[0])
+    ranges = [tick_range(df, profile, s, rule, span) for s in resolved]
+    together = [k for k, s in enumerate(resolved) if not span.off and s.window // s.cadence <= MAX_SLOTS]
+    parts = []
+    if together:
+        found = sweep(candles, [resolved[k] for k in together], [ranges[k] for k in together], [])
+        sizes = F.array(*(F.struct(F.lit(resolved[k].window).cast("long").alias("window_seconds"), F.lit(resolved[k].emit).cast("long").alias("emit_seconds")) for k in together))
+        count, own = F.col("src_count"), F.get(sizes, F.col("k"))
+        parts.append(found.select(own["window_seconds"].alias("window_seconds"), own["emit_seconds"].alias("emit_seconds"), (F.col("t") - own["window_seconds"]).alias("open_time"), F.col("t").alias("close_time"), *OHLCV, count, (count * F.lit(profile.cadence.total_seconds).cast("long")).alias("coverage_seconds"), "traded_seconds"))
+    for k, (s, (start, end)) in enumerate(zip(resolved, ranges)):
+        if k not in together:
+            one = compute_windows(df, profile, window=Duration(s.window), emit_every=Duration(s.emit), anchor=anchor, materialization=ExplicitRange(start, max(start, end)))
+            parts.append(one.select(F.lit(s.window).cast("long").alias("window_seconds"), F.lit(s.emit).cast("long").alias("emit_seconds"), *WINDOW_COLUMNS))
+    return reduce(DataFrame.unionByName, parts)

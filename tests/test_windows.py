@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from candlespark.columns import ROW
@@ -29,7 +31,7 @@ def _got(df):
 
 
 @pytest.mark.parametrize("family", FAMILIES)
-@pytest.mark.parametrize("plan", ["explode", "blocks"])
+@pytest.mark.parametrize("plan", ["explode", "blocks", "sweep"])
 def test_against_brute_force(spark, family, plan):
     d, p, rows = FAMILIES[family]
     df, profile = _frame(spark, rows), candle_profile("f", f"{d}s", p)
@@ -46,6 +48,62 @@ def test_off_phase_duplicates_and_ties(spark):
     assert got == windows(rows, 60, 240, 120, 0, T0, T0 + 2000)
 
 
+def test_plans_agree_on_ties_nulls_and_nan(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        for _ in range(rng.choice([0, 1, 1, 1, 2, 3])):
+            o = rng.choice([None, float("nan"), *[20 + rng.randrange(80) * 0.25] * 20])
+            rows.append((T0 + 60 * k, o, o and o + 1, o and o - 1, rng.choice([None, o, 21.5]), rng.choice([None, 0.0, 0.25, 7.5, float("nan"), *[3.0] * 20])))
+    rng.shuffle(rows)
+    profile, span = candle_profile("f", "1m"), ExplicitRange(T0 - 3600, T0 + 500 * 60)
+    numbered, plain = _frame(spark, rows).repartition(3), spark.createDataFrame(rows, SCHEMA)
+    for df in (numbered, plain):
+        for w, e in ((5, 1), (30, 7), (64, 64)):
+            found = [[tuple(repr(v) for v in r) for r in _got(compute_windows(df, profile, window=f"{w}m", emit_every=f"{e}m", materialization=span, plan=plan))] for plan in ("explode", "blocks", "sweep")]
+            if df is numbered:
+                assert found[0] == found[1] == found[2]
+            else:  # nulls among rows of equal open times have no order of their own
+                assert [[r[3:5] + r[6:] for r in f] for f in found[1:]] == [[r[3:5] + r[6:] for r in found[0]]] * 2
+
+
+def test_keys_and_chunks(spark, monkeypatch):
+    from candlespark.operators import sweep as module
+
+    monkeypatch.setattr(module, "CHUNK_SLOTS", 16)
+    a, b = candles(8, 60, 90, T0, drop={3, 4, 50}), candles(9, 60, 20, T0 + 1800)
+    df = spark.createDataFrame([(*r, k) for k, rows in (("a", a), ("b", b), (None, b)) for r in rows], f"{SCHEMA}, key string")
+    out = compute_windows(df, candle_profile("f", "1m"), window="9m", emit_every="2m", materialization=ExplicitRange(T0, T0 + 6000), partition_by="key", plan="sweep")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r[0], []).append(tuple(r)[1:])
+    want = {k: windows(rows, 60, 540, 120, 0, T0, T0 + 6000) for k, rows in (("a", a), ("b", b), (None, b))}
+    assert {k: sorted(v, key=lambda r: r[1]) for k, v in got.items()} == want
+
+
+def test_sources_off_their_grid(spark):
+    rows = [*candles(6, 60, 30, T0), (T0 + 5 * 60 + 30, 1.0, 2.0, 0.5, 1.5, 3.0)]
+    df, profile, span = _frame(spark, rows), candle_profile("f", "1m"), ExplicitRange(T0, T0 + 2000)
+    assert _got(compute_windows(df, profile, window="8m", emit_every="1m", materialization=span, deterministic=True)) == windows(rows, 60, 480, 60, 0, T0, T0 + 2000)
+    for plan in ("blocks", "sweep"):
+        with pytest.raises(ConfigError):
+            compute_windows(df, profile, window="8m", emit_every="1m", materialization=span, plan=plan)
+        with pytest.raises(Exception, match="off the grid"):
+            compute_windows(df, profile, window="8m", emit_every="1m", materialization=span, plan=plan, on_grid=True).collect()
+    out = compute_ladder(df, profile, [("2m", "1m"), ("8m", "4m")], materialization=span)
+    assert sorted(map(tuple, out.collect())) == sorted((w, e, *r) for w, e in ((120, 60), (480, 240)) for r in windows(rows, 60, w, e, 0, T0, T0 + 2000))
+
+
+def test_ladder_skips_each_warmup(spark):
+    rows = candles(11, 60, 200, T0, drop={1, 100})
+    out = compute_ladder(_frame(spark, rows), candle_profile("f", "1m"), [("1m", "1m"), ("3m", "1m"), ("40m", "1m")])
+    want = []
+    for w in (60, 180, 2400):
+        every = windows(rows, 60, w, 60, 0, T0, rows[-1][0] + 61)
+        want += [(w, 60, *r) for r in every[next(k for k, r in enumerate(every) if r[8] == w) :]]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_skip_warmup_begins_at_the_first_full_window_and_keeps_later_gaps(spark):
     rows = FAMILIES["gaps"][2]
     got = _got(compute_windows(_frame(spark, rows), candle_profile("f", "1m"), window="4m", emit_every="1m"))
