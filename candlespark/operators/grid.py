@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from enum import Enum
 
@@ -56,6 +57,15 @@ class ResolvedSchedule:
     cadence: int
     phase: int
 
+    @property
+    def pane(self) -> int:
+        """Seconds whose candles all belong to the same windows."""
+        return math.gcd(self.window, self.emit)
+
+    def exploded(self, candles: int) -> float:
+        """Rows that so many candles explode to, those of a pane taken together."""
+        return candles * self.cadence / self.pane * max(1, self.window / self.emit)
+
     def first_tick_at_or_after(self, bound: int) -> int:
         return bound + (self.anchor - bound) % self.emit
 

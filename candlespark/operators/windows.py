@@ -7,7 +7,8 @@ counters 0.
 Three physical plans:
 
 * **Explode** (any input, small W / E): a candle is sent to the ticks that contain it, W / E of
-  them, and aggregated by tick with map-side pre-aggregation.
+  them, and aggregated by tick with map-side pre-aggregation; candles that share their ticks are
+  aggregated first.
 * **Sweep** (input on its grid): see :mod:`candlespark.operators.sweep`. One shuffle of the candles
   answers every tick of every schedule, at a cost that does not grow with W.
 * **Blocks** (input on its grid): the same by window functions alone. Time is cut into blocks of
@@ -35,8 +36,8 @@ from candlespark.sources.profile import OHLCV, SourceProfile, require_source_col
 logger = get_logger(__name__)
 
 WINDOW_COLUMNS = ("open_time", "close_time", *OHLCV, "src_count", "coverage_seconds", "traded_seconds")
-#: W / E from which input on its grid is swept, and up to which the stretch of a first full window is exploded.
-SWEEP_FROM, FEW_TICKS = 4, 64
+#: Rows that are exploded rather than looking for a better plan, and W / E up to which the stretch of a first full window is.
+EXPLODE_ROWS, FEW_TICKS = 1_000_000, 64
 MANY_TICKS = 20_000_000
 PLANS = ("auto", "explode", "blocks", "sweep")
 #: One traded candle in a count of candles: the upper half of 64 bits counts these.
@@ -62,34 +63,53 @@ def traded(volume: Column) -> Column:
 
 def _aggregates(d: int, deterministic: bool) -> list[Column]:
     """Of candles: open and close go to the first published of equal open times."""
-    early, late = F.struct("o", "r", *OHLCV), F.struct("o", (-F.col("r")).alias("r"), *OHLCV)
     if deterministic:
         ordered = F.sort_array(F.collect_list(F.struct("o", "r", "volume")))
         volume = F.aggregate(ordered, F.lit(0.0), lambda a, x: a + F.coalesce(x["volume"], F.lit(0.0)))
     else:
         volume = F.sum("volume")
     return [
-        F.min_by("open", early).alias("open"),
+        F.min(F.struct("o", "r", *OHLCV)).alias("early"),
+        F.max(F.struct("o", (-F.col("r")).alias("r"), *OHLCV)).alias("late"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
-        F.max_by("close", late).alias("close"),
         volume.alias("volume"),
         F.count("*").alias("src_count"),
         F.sum(F.when(traded(F.col("volume")), F.lit(d).cast("long")).otherwise(F.lit(0).cast("long"))).alias("traded_seconds"),
     ]
 
 
-def _to_ticks(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Column) -> DataFrame:
-    """A row ``t`` for each candle and tick of [start, end) whose window contains it."""
+#: The same of rows that are such aggregates themselves.
+_MERGED = (F.min, "early"), (F.max, "late"), (F.max, "high"), (F.min, "low"), (F.sum, "volume"), (F.sum, "src_count"), (F.sum, "traded_seconds")
+
+
+def _bounded(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Column) -> DataFrame:
+    """The candles of some window, with the first and the last tick of [start, end) whose window contains them."""
     first = s.tick_at_or_after(F.greatest(F.col("o") + s.cadence, start))
     last = s.tick_at_or_before(F.least(F.col("o") + s.window, end - 1))
-    spread = candles.withColumn("__first", first).withColumn("__last", last).where("__first <= __last")
-    return spread.select("*", F.explode(F.sequence("__first", "__last", F.lit(s.emit).cast("long"))).alias("t")).drop("__first", "__last")
+    return candles.withColumn("__first", first).withColumn("__last", last).where("__first <= __last")
+
+
+def _spread(rows: DataFrame, s: ResolvedSchedule) -> DataFrame:
+    """A row ``t`` for each tick from ``__first`` to ``__last``."""
+    return rows.select("*", F.explode(F.sequence("__first", "__last", F.lit(s.emit).cast("long"))).alias("t")).drop("__first", "__last")
+
+
+def _to_ticks(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Column) -> DataFrame:
+    """A row ``t`` for each candle and tick of [start, end) whose window contains it."""
+    return _spread(_bounded(candles, s, start, end), s)
 
 
 def _explode_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], deterministic: bool) -> DataFrame:
+    """Where several candles share their ticks (E over the cadence), they are aggregated before they are exploded."""
     bound = lambda x: F.lit(x).cast("long")
-    return _to_ticks(candles, s, bound(start), bound(end)).groupBy(*keys, "t").agg(*_aggregates(s.cadence, deterministic))
+    rows = _bounded(candles, s, bound(start), bound(end))
+    if s.pane > s.cadence and not deterministic:
+        panes = rows.groupBy(*keys, "__first", "__last").agg(*_aggregates(s.cadence, False))
+        found = _spread(panes, s).groupBy(*keys, "t").agg(*(f(c).alias(c) for f, c in _MERGED))
+    else:
+        found = _spread(rows, s).groupBy(*keys, "t").agg(*_aggregates(s.cadence, deterministic))
+    return found.select("*", F.col("early.open").alias("open"), F.col("late.close").alias("close")).drop("early", "late")
 
 
 def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
@@ -230,10 +250,10 @@ def compute_windows(
 ) -> DataFrame:
     """The ten-column window frame (after the key, where ``partition_by`` names one).
 
-    ``plan`` forces a physical plan. ``auto`` sweeps for W / E of ``SWEEP_FROM`` and more if every
-    candle lies on the cadence grid, which one aggregation finds out unless the caller states it
-    with ``on_grid`` (of a source that passed validation), and explodes otherwise. The sweep and
-    block plans refuse a source off its grid. ``deterministic`` sums volume in (open time, row)
+    ``plan`` forces a physical plan. ``auto`` explodes where that makes at most ``EXPLODE_ROWS``
+    rows, or no more than there are candles. Beyond it sweeps if every candle lies on the cadence
+    grid, which one aggregation finds out unless the caller states it with ``on_grid`` (of a
+    source that passed validation), and explodes otherwise. The sweep and block plans refuse a source off its grid. ``deterministic`` sums volume in (open time, row)
     order in the explode plan; the order of the others is fixed anyway.
     Nulls: an invalid null price is carried as the source has it; null volume adds nothing.
     """
@@ -244,11 +264,10 @@ def compute_windows(
     rule = coerce_materialization(materialization)
     # only candles of some window are read: the predicate reaches the scan
     within = lambda a, b: (F.col("o") >= a - s.window) & (F.col("o") < b)
-    wanted = plan in ("blocks", "sweep") or plan == "auto" and s.window // s.emit >= SWEEP_FROM
-    span = None
-    if not isinstance(rule, ExplicitRange):
-        span = _span(candles, s)
-    elif wanted and not on_grid:
+    span = None if isinstance(rule, ExplicitRange) else _span(candles, s)
+    low, high = (rule.start - s.window, rule.end) if span is None else (span.low or 0, span.high or 0)
+    wanted = plan in ("blocks", "sweep") or plan == "auto" and s.exploded((high - low) // s.cadence) > EXPLODE_ROWS and s.exploded(1) > 1
+    if wanted and span is None and not on_grid:
         span = _span(candles.where(within(rule.start, rule.end)), s)
     off = 0 if span is None else span.off
     if off and (plan in ("blocks", "sweep") or on_grid):
