@@ -348,8 +348,12 @@ def _cadences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import candlespark.contracts  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import candlespark.contracts  # noqa: F401
+
     return dict(SQL)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-import shutil
+import csv
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -33,60 +34,69 @@ class SourceReadResult:
     report: ValidationReport
 
 
-def _opened(path: Path):
-    with path.open("rb") as f:
-        magic = f.read(2)
-    return gzip.open(path, "rt", encoding="utf-8", newline="") if magic == GZIP_MAGIC else path.open("rt", encoding="utf-8", newline="")
-
-
-def _header(path: Path) -> list[str]:
-    """The header's names; a file that decompresses to nothing is refused. Pipes are never probed."""
-    if not path.exists():
+def _begin(spark: SparkSession, path: str) -> tuple[bool, str | None]:
+    """(gzip by content, the first line or None of a file that decompresses to nothing), through Spark's file systems."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
         logger.error("no such file: %s", path)
         raise FileNotFoundError(path)
-    if path.is_dir():
+    if store.getFileStatus(where).isDirectory():
         raise IsADirectoryError(path)
-    with _opened(path) as f:
-        line = f.readline()
-    if not line:
-        raise NoDataError(f"{path} is empty")
-    import csv
-
-    return next(csv.reader([line.rstrip("\r\n")]))
-
-
-def _spark_path(path: Path) -> str:
-    """Spark tells gzip by the suffix; a gzip file under another name is linked or copied to one it knows."""
-    with path.open("rb") as f:
-        zipped = f.read(2) == GZIP_MAGIC
-    if zipped == (path.suffix == ".gz"):
-        return str(path)
-    copy = Path(tempfile.mkdtemp()) / ("source.csv.gz" if zipped else "source.csv")
+    stream = store.open(where)
     try:
-        copy.symlink_to(path.resolve())
-    except OSError:
-        shutil.copyfile(path, copy)
-    return str(copy)
-
-
-def _read(spark: SparkSession, path: Path, types: dict, max_rows: int | None) -> DataFrame:
-    """The file with ``types`` for declared columns and inferred types for the others, rows numbered in ``__row``."""
-    names = _header(path)
+        zipped = bytes(b for b in (stream.read(), stream.read()) if b >= 0) == GZIP_MAGIC
+        stream.seek(0)
+        text = jvm.java.util.zip.GZIPInputStream(stream) if zipped else stream
+        return zipped, jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which all machines share; a temporary one where this machine is all there is."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named}/{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp()
+
+
+def _spark_path(spark: SparkSession, path: str, zipped: bool) -> str:
+    """Spark tells gzip by the suffix; a file that belies its own is copied to one that does not, store to store."""
+    if zipped == path.endswith(".gz"):
+        return path
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    target = jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/{'source.csv.gz' if zipped else 'source.csv'}")
+    store = target.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, store, target, False, conf)
+    store.deleteOnExit(target)
+    return target.toString()
+
+
+def _read(spark: SparkSession, path: str, types: dict, max_rows: int | None) -> DataFrame:
+    """The file with ``types`` for declared columns and types inferred over all rows for the others, rows numbered in ``__row`` in file order."""
+    zipped, line = _begin(spark, path)
+    if line is None:
+        raise NoDataError(f"{path} is empty")
+    names = next(csv.reader([line]), [""])
     seen: dict[str, int] = {}
     unique = []
     for n in names:
         seen[n] = seen.get(n, 0) + 1
         unique.append(n if seen[n] == 1 else f"{n}__{seen[n]}")
-    source = _spark_path(path)
-    extra = [n for n in unique if n not in types]
+    source = _spark_path(spark, path, zipped)
     inferred = {}
-    if extra:
-        probe = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", 0.1).csv(source)
+    if any(n not in types for n in unique):
+        probe = spark.read.option("header", True).option("inferSchema", True).csv(source)
         inferred = {n: f.dataType for n, f in zip(unique, probe.schema.fields)}
     schema = StructType([StructField(n, types.get(n, inferred.get(n, StringType()))) for n in unique])
     df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(source)
-    df = df.withColumn(ROW, F.monotonically_increasing_id())
-    return df if max_rows is None else df.limit(max_rows)
+    df = df.withColumn(ROW, F.monotonically_increasing_id())  # splits of a file are numbered in its order
+    return df if max_rows is None else df.orderBy(ROW).limit(max_rows)
 
 
 def _row_cap(value: int | None) -> None:
@@ -97,10 +107,10 @@ def _row_cap(value: int | None) -> None:
 def read_source_csv(spark: SparkSession, path: str | Path, profile: SourceProfile, *, mode: ValidationMode = ValidationMode.STRICT, max_rows: int | None = None) -> DataFrame | SourceReadResult:
     """Read a candle CSV (plain or gzip by content). STRICT gives the frame or raises; REPORT gives frame and report.
 
-    ``max_rows`` truncates. Nothing is sorted, filled, dropped or merged.
+    ``max_rows`` keeps the first rows of the file. Nothing is sorted, filled, dropped or merged.
     """
     _row_cap(max_rows)
-    df = _read(spark, Path(path), {c: k.read_as for c, k in profile.raw_schema.items()}, max_rows)
+    df = _read(spark, str(path), {c: k.read_as for c, k in profile.raw_schema.items()}, max_rows)
     report = validate_source_frame(df, profile, mode=mode)
     return df if mode is ValidationMode.STRICT else SourceReadResult(df, report)
 
@@ -108,7 +118,7 @@ def read_source_csv(spark: SparkSession, path: str | Path, profile: SourceProfil
 def read_annotations(spark: SparkSession, path: str | Path, *, columns: AnnotationColumns = AnnotationColumns(), max_rows: int | None = None) -> DataFrame:
     """Read an annotation sidecar: three typed columns, extras kept. A file over ``max_rows`` is refused whole."""
     _row_cap(max_rows)
-    path = Path(path)
+    path = str(path)
     try:
         df = _read(spark, path, {columns.start: LONG, columns.end: LONG, columns.flag: STRING}, None if max_rows is None else max_rows + 1)
     except NoDataError as e:

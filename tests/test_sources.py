@@ -55,6 +55,19 @@ def test_read_keeps_order_and_reports(spark, tmp_path):
         read_source_csv(spark, good, BITSTAMP_BTCUSD_1M, max_rows=-1)
 
 
+def test_capped_reads_keep_the_first_rows_and_extras_their_rare_values(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    path.write_text(HEADER.rstrip() + ",note\n" + "".join(f"{T0 + 60 * k},1.0,2.0,0.5,1.5,{k}.0,{'rare' if k == 4321 else k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        df = read_source_csv(spark, path, BITSTAMP_BTCUSD_1M)
+        assert df.rdd.getNumPartitions() > 4 and df.where("note = 'rare'").count() == 1
+        capped = read_source_csv(spark, path, BITSTAMP_BTCUSD_1M, max_rows=1234)
+        assert sorted(r["timestamp"] for r in capped.collect()) == [T0 + 60 * k for k in range(1234)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_findings(spark):
     schema = f"timestamp long, open double, high double, low double, close double, volume double, {ROW} long"
     make = lambda times, v=1.0: spark.createDataFrame([(t, 1.0, 1.0, 1.0, 1.0, v, k) for k, t in enumerate(times)], schema)
