@@ -61,10 +61,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """``df`` with ``__row``, a number of its own for each row, as written to the shared folder: it stays when a task is run again."""
+def fresh_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that none of ``columns`` has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rows(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with a number of its own for each row, as written to the shared folder: it stays when a task is run again."""
     path = shared_path(df.sparkSession, "rows")
-    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

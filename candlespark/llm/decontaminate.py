@@ -6,32 +6,37 @@ windows of WINDOW item words occur there (an item of fewer words is one window).
 an occurring window are hit; a document is contaminated where its hit words reach a share of
 its words, and spans of hit words can be removed.
 
-The automaton is built on the driver from the benchmark, whose size is checked: items are
-taken in groups of at most ``GROUP_WORDS`` words, one automaton each, so no single structure
-grows with the benchmark. Documents never leave their partition: there is no shuffle.
+A benchmark of up to ``GROUP_WORDS`` words is one automaton (of about 600 bytes a word, so 120 MB),
+built on the driver and broadcast; documents never leave their partition: there is no shuffle. A
+larger one is dealt into groups of about that many words, whose automata are built on the
+executors and written to the shared folder. Texts are then written once and pass every group's
+automaton, one group at a time; what each finds comes together by row. So neither the driver nor
+a task ever holds more than one automaton, whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from candlespark.llm.common import map_arrow
+from candlespark.llm.common import cut, fresh_name, map_arrow, shared_path, with_rows
 
 WINDOW = 13
 #: Contaminated: hit words times this reach the words of the document.
 SHARE = 20
-#: Words of items that one automaton holds; a larger benchmark gives several automata.
-GROUP_WORDS = 400_000
-#: Bytes of benchmark text that the driver may read to build automata.
-MAX_BENCHMARK_BYTES = 256 << 20
+#: Words of items that one automaton holds.
+GROUP_WORDS = 200_000
 
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -121,22 +126,45 @@ class Automaton:
                     break
 
 
-def build(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> list[Automaton]:
-    """Automata of the whole benchmark, after a check of its size. Null texts have no words."""
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), text)
-    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; split it into parts of at most {MAX_BENCHMARK_BYTES}")
-    groups: list[list[tuple[object, list[bytes]]]] = [[]]
-    held = 0
-    for row in rows.toLocalIterator():
-        words = words_of(row[1].encode("utf-8", "surrogatepass"))
-        if held and held + len(words) > GROUP_WORDS:
-            groups.append([])
-            held = 0
-        groups[-1].append((row[0] if row[0] is not None else "", words))
-        held += len(words)
-    return [Automaton(g, window) for g in groups]
+@dataclass(frozen=True)
+class Groups:
+    """Automata of a large benchmark, as rows (part, machine) of a table in the shared folder."""
+
+    path: str
+    count: int
+
+
+Index = list[Automaton] | Groups
+
+
+def build(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> Index:
+    """The automaton of the whole benchmark, or its groups. Null texts have no words."""
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+    # a little more than the words, as an empty part at either end counts too
+    words = rows.agg(F.sum(F.size(F.split(F.col("text"), "[\\x00-/:-`{-\\x7f]+")).cast("long"))).first()[0] or 0
+    if words <= GROUP_WORDS:
+        return [Automaton([(r["item"], words_of(r["text"].encode("utf-8", "surrogatepass"))) for r in rows.toLocalIterator()], window)]
+    parts = -(-5 * words // (4 * GROUP_WORDS))
+    path = shared_path(benchmark.sparkSession, "automata")
+
+    def machine(table: pa.Table) -> pa.Table:
+        items = [(i, words_of(t.encode("utf-8", "surrogatepass"))) for i, t in zip(table["item"].to_pylist(), table["text"].to_pylist())]
+        return pa.table({"part": table["part"].slice(0, 1), "machine": pa.array([pickle.dumps(Automaton(items, window))], pa.binary())})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
+    dealt.groupBy("part").applyInArrow(machine, "part int, machine binary").write.parquet(path)
+    return Groups(path, parts)
+
+
+_held: dict[str, list[Automaton]] = {}
+
+
+def _loaded(key: str, raw: bytes) -> list[Automaton]:
+    """Automata unpickled once in a worker, which then holds no others."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = pickle.loads(raw)
+    return _held[key]
 
 
 def scan(text: bytes, automata: list[Automaton]) -> tuple[int, np.ndarray, set]:
@@ -162,36 +190,104 @@ def is_contaminated(n_words: int, n_hit: int, share: int = SHARE) -> bool:
     return n_hit > 0 and share * n_hit >= n_words
 
 
-def scan_contamination(docs: DataFrame, automata: list[Automaton], text: str = "text", keep: list[str] | None = None, share: int = SHARE) -> DataFrame:
+_FOUND = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_()}
+
+
+def _verdict(n: int, n_hit: int, items: set, share: int) -> tuple:
+    return n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), is_contaminated(n, n_hit, share)
+
+
+def scan_contamination(docs: DataFrame, index: Index, text: str = "text", keep: list[str] | None = None, share: int = SHARE) -> DataFrame:
     """The ``keep`` columns (default: all) with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    Null, empty and wordless texts have no words and are clean. Repeated rows each get their
-    answer; repeated or identical items each count under their own id. Without items nothing is
-    hit. Input columns with the names of output columns are replaced.
+    Null, empty and wordless texts have no words and are clean. Texts of any length are streamed
+    word by word. Repeated rows each get their answer; repeated or identical items each count
+    under their own id. Without items nothing is hit. Input columns with the names of output
+    columns are replaced.
     """
-    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_()}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in kinds]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in _FOUND]
     source = docs.select(*dict.fromkeys([*keep, text]))
     schema = source.select(*keep).schema
-    for name, kind in zip(kinds, ("long", "long", "long", "string", "boolean")):
+    for name, kind in zip(_FOUND, ("long", "long", "long", "string", "boolean")):
         schema = schema.add(name, kind)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(automata))
+    hits, key, raw = "", uuid.uuid4().hex, None
+    if isinstance(index, Groups):
+        source, hits = _with_hits(source, index, text)
+    else:
+        raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = pickle.loads(shared.value)
         for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            for value in batch.column(text).cast(pa.large_binary()):
-                n, hit, items = scan(value.as_py() or b"", machines)
-                n_hit = int(hit.sum())
-                digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                for column, x in zip(out, (n, n_hit, len(items), digest, is_contaminated(n, n_hit, share))):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(v, k) for v, k in zip(out, kinds.values())], [*keep, *kinds])
+            found = batch.column(hits).to_pylist() if hits else None
+            out = []
+            for k, value in enumerate(batch.column(text).cast(pa.large_binary())):
+                value = value.as_py() or b""
+                n, hit, items = _gathered(value, found[k]) if hits else scan(value, _loaded(key, raw.value))
+                out.append(_verdict(n, int(hit.sum()), items, share))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(v, k) for v, k in zip(list(zip(*out)) or [[]] * len(_FOUND), _FOUND.values())], [*keep, *_FOUND])
 
     return map_arrow(source, answer, schema)
 
 
+
+
+def _with_hits(docs: DataFrame, groups: Groups, text: str) -> tuple[DataFrame, str]:
+    """``docs`` as written once, with a column of the spans of hit words and the items that all groups found (null: nothing), and its name."""
+    spark, row, name = docs.sparkSession, fresh_name(docs.columns, "__row"), fresh_name(docs.columns, "__hits")
+    rows = with_rows(docs, row)
+    path = shared_path(spark, "hits")
+    for part in range(groups.count):
+        machine = spark.read.parquet(groups.path).where(F.col("part") == part).select("machine").first()
+        if machine is None:
+            continue
+        key, raw = uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(machine[0]))
+
+        def found(batches: Iterator[pa.RecordBatch], key: str = key, raw=raw) -> Iterator[pa.RecordBatch]:
+            if key not in _held:
+                _held.clear()
+                _held[key] = [pickle.loads(raw.value)]
+            for batch in batches:
+                out: list[list] = [[], [], [], []]
+                for number, value in zip(batch.column(row).to_pylist(), batch.column(text).cast(pa.large_binary())):
+                    _, hit, items = scan(value.as_py() or b"", _held[key])
+                    if items:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+                        for column, x in zip(out, (number, edges[::2], edges[1::2], sorted(items))):
+                            column.append(x)
+                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["row", "starts", "ends", "items"])
+
+        map_arrow(rows.select(row, text), found, "row long, starts array<int>, ends array<int>, items array<string>").write.mode("append").parquet(path)
+        raw.destroy()
+    kinds = "row long, starts array<int>, ends array<int>, items array<string>"
+    spark.createDataFrame([], kinds).write.mode("append").parquet(path)  # so that there is a table if no part has items
+    hits = spark.read.schema(kinds).parquet(path).groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    hits = hits.select(F.col("row").alias(row), F.struct("starts", "ends", "items").alias(name))
+    return rows.join(hits, row, "left").select(*docs.columns, name), name
+
+
+def _gathered(text: bytes, hits: dict | None) -> tuple[int, np.ndarray, set]:
+    """As :func:`scan`, from what the groups found."""
+    n = len(words_of(text))
+    edges = np.zeros(n + 1, np.int64)
+    if hits:
+        np.add.at(edges, hits["starts"], 1)
+        np.add.at(edges, hits["ends"], -1)
+    return n, np.cumsum(edges[:-1]) > 0, set(hits["items"]) if hits else set()
+
+
+def without_words(raw: bytes, hit: np.ndarray) -> bytes:
+    """``raw`` without its hit words and what stands between neighbouring ones."""
+    drop = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
+    is_word = np.frombuffer(raw.translate(_WORD_BYTES), np.uint8) != 32
+    marks = np.flatnonzero(np.diff(np.concatenate([[0], is_word.view(np.int8), [0]]))).reshape(-1, 2)
+    kept, at = [], 0
+    for first, last in drop:
+        kept.append(raw[at : marks[first][0]])
+        at = marks[last - 1][1]
+    return b"".join([*kept, raw[at:]])
+
+
 def remove_spans(text: str, automata: list[Automaton], share: int = SHARE) -> str:
     """``text`` without its hit spans if they make it contaminated, else as it is.
 
@@ -203,26 +299,49 @@ def remove_spans(text: str, automata: list[Automaton], share: int = SHARE) -> st
         n, hit, _ = scan(raw, automata)
         if not is_contaminated(n, int(hit.sum()), share):
             return raw.decode("utf-8", "replace")
-        drop = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
-        is_word = np.frombuffer(raw.translate(_WORD_BYTES), np.uint8) != 32
-        marks = np.flatnonzero(np.diff(np.concatenate([[0], is_word.view(np.int8), [0]]))).reshape(-1, 2)
-        kept, at = [], 0
-        for first, last in drop:
-            kept.append(raw[at : marks[first][0]])
-            at = marks[last - 1][1]
-        raw = b"".join([*kept, raw[at:]])
-
-
-def decontaminate(docs: DataFrame, automata: list[Automaton], text: str = "text", share: int = SHARE) -> DataFrame:
-    """All columns, with hit spans taken out of contaminated texts; clean rows are untouched, null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(automata))
+        raw = without_words(raw, hit)
+
+
+def decontaminate(docs: DataFrame, index: Index, text: str = "text", share: int = SHARE) -> DataFrame:
+    """All columns, with hit spans taken out of contaminated texts; clean rows are untouched, null texts stay null.
+
+    Rows are judged one by one, so null and repeated ids do no harm; an empty table gives an
+    empty table.
+    """
+    if isinstance(index, Groups):
+        return _decontaminated(docs, index, text, share)
+    key, raw = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
     names = docs.columns
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = pickle.loads(shared.value)
         for batch in batches:
-            values = [None if v is None else remove_spans(v, machines, share) for v in batch.column(text).to_pylist()]
+            values = [None if v is None else remove_spans(v, _loaded(key, raw.value), share) for v in batch.column(text).to_pylist()]
             columns = [pa.array(values, batch.column(c).type) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_arrow(docs, answer, docs.schema)
+
+
+def _decontaminated(docs: DataFrame, groups: Groups, text: str, share: int) -> DataFrame:
+    """Rows that lose words are scanned again by all groups, until none does; the others are done."""
+    names, done, left = docs.columns, [], docs
+    while True:
+        rows, name = _with_hits(left, groups, text)
+        flag = fresh_name(names, "__again")
+        schema = StructType([*left.schema, StructField(flag, BooleanType())])
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values, again = [], []
+                for value, hits in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), batch.column(name).to_pylist()):
+                    n, hit, _ = _gathered(value or b"", hits)
+                    again.append(is_contaminated(n, int(hit.sum()), share))
+                    values.append(without_words(value, hit) if again[-1] else value)
+                columns = [pa.array(values, pa.large_binary()).cast(batch.column(c).type) if c == text else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(again, pa.bool_())], [*names, flag])
+
+        told = cut(map_arrow(rows, answer, schema))
+        done.append(told.where(~F.col(flag)).select(names))
+        left = told.where(flag).select(names)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)

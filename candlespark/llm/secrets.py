@@ -38,7 +38,7 @@ _HEX = re.compile(rb"[0-9a-f]{%d,}" % MIN_HEX)
 _ANY_HEX = re.compile(rb"[0-9A-Fa-f]{%d,}" % MIN_HEX)
 #: A lookahead, as the part before a token may look like a header; {"alg":""} has 14 characters.
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{3,40})-----\s+([A-Za-z0-9+/=\s]{%d,}?)-----END \1-----" % MIN_BASE64)
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]{%d,}?)-----END \1-----" % MIN_BASE64)
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 #: The end of a line that may begin a wrapped key: a DER SEQUENCE, the magic of OpenSSH or a length begins with M, b or A.
 _WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[MbA][A-Za-z0-9+/_-]{15,}(?=[ \t\r]*\n)")

@@ -195,6 +195,12 @@ def test_secrets_in_other_spellings():
                     if len(lines) > 1:
                         assert secrets.spans(before + text + after) == [(kind, len(before), len(before) + len(text))], (kind, width, end, before)
     assert secrets.spans("\n".join(["MIIB" + "Q" * 60] * 20_000)) == []
+    import time
+
+    began = time.perf_counter()
+    for stuffing in (" " * 500_000, "\n" * 500_000, "A" * 500_000, ("-----BEGIN KEY-----" + " " * 100) * 5000):
+        secrets.spans("-----BEGIN KEY-----" + stuffing)
+    assert time.perf_counter() - began < 20
 
 
 # --- decontamination ---------------------------------------------------------------------------
@@ -245,12 +251,17 @@ def test_spans_are_removed_from_contaminated_texts_only(monkeypatch):
 
 
 def test_benchmark_groups_give_the_same_answer(spark, monkeypatch):
-    items = spark.createDataFrame([(k, prose(random.Random(k), 30)) for k in range(10)], "item_id long, text string")
-    df = spark.createDataFrame([(k, "a b " + prose(random.Random(k), 30)) for k in range(12)], "doc_id long, text string")
-    one = rows(decontaminate.scan_contamination(df, decontaminate.build(items)))
-    monkeypatch.setattr(decontaminate, "GROUP_WORDS", 50)
+    items = spark.createDataFrame([(k, prose(random.Random(k), 30)) for k in range(10)] + [(11, None), (12, "!!")], "item_id long, text string")
+    text = lambda k: prose(random.Random(k), 30)
+    texts = [(k, "a b " + text(k)) for k in range(12)] + [(3, "x " * 2000 + text(5)), (3, text(1).upper() + " c " + text(2)), (None, None), (None, text(7)[: len(text(7)) // 2] + " " + text(8) + text(7)[len(text(7)) // 2 :])]
+    df = spark.createDataFrame([(*t, "own") for t in texts], "doc_id long, text string, __hits string").repartition(3)
+    one = decontaminate.build(items)
+    want, clean = rows(decontaminate.scan_contamination(df, one)), rows(decontaminate.decontaminate(df, one))
+    monkeypatch.setattr(decontaminate, "GROUP_WORDS", 80)
     parts = decontaminate.build(items)
-    assert len(parts) > 3 and rows(decontaminate.scan_contamination(df, parts)) == one
+    assert isinstance(parts, decontaminate.Groups) and parts.count > 3 and rows(decontaminate.scan_contamination(df, parts)) == want
+    assert rows(decontaminate.decontaminate(df, parts)) == clean and len(clean) == len(texts)
+    assert decontaminate.scan_contamination(df.limit(0), parts).count() == decontaminate.decontaminate(df.limit(0), parts).count() == 0
 
 
 # --- SimHash -----------------------------------------------------------------------------------
@@ -292,19 +303,22 @@ def test_anchors_cover_every_link(spark, monkeypatch):
     for i in range(len(g)):
         for b in rng.choice(64, rng.integers(0, 5), replace=False):
             g[i] ^= np.uint64(1) << np.uint64(b)
-    seen = [set() for _ in f]
-    for r, a in zip(*simhash.anchors(f)):
-        seen[r].add(a)
-    met = np.zeros(len(f), bool)
-    for r, a in zip(*simhash.anchors(g)):
-        met[r] |= a in seen[r]
-    assert met.all()
+    for level in (0, 1, 2):
+        seen = [set() for _ in f]
+        for r, a in zip(*simhash.anchors(f, level)):
+            seen[r].add(a)
+        met = np.zeros(len(f), bool)
+        for r, a in zip(*simhash.anchors(g, level)):
+            met[r] |= a in seen[r]
+        assert met.all()
     # groups in several blocks give the same links' components
     values = np.unique(np.concatenate([f[:150], g[:150], [np.uint64(x) for x in range(200)]]))
     df = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
     one = rows(connected_components(simhash.fingerprint_links(df)))
     monkeypatch.setattr(simhash, "BLOCK", 20)
-    assert rows(connected_components(simhash.fingerprint_links(df))) == one
+    for level in (0, 1, 2):
+        monkeypatch.setattr(simhash, "LEVELS", ((0, level),))
+        assert rows(connected_components(simhash.fingerprint_links(df))) == one
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
