@@ -10,6 +10,15 @@ from candlespark.llm.common import cut
 MAX_ROUNDS = 40
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges with ``m`` of their ``u``.
+
+    The hash beside ``u`` keeps the join from taking over the aggregation's partitions: with a
+    shuffle of its own on both sides, adaptive execution can split a hub's edges.
+    """
+    return edges.withColumn("h", F.hash("u")).join(least.withColumn("h", F.hash("u")), ["u", "h"])
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link; the root is the smallest node reachable.
 
@@ -30,10 +39,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # large star: the larger neighbours of u, and u itself, go to the smallest around u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smaller neighbours of u, and u itself, go to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        moved = _met(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         state = (row[0], row[1])

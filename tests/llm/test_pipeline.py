@@ -62,7 +62,7 @@ def test_the_language_told_decides(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "SURE_SCORE", 2.0)
     kept = {r["text"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert kept[texts[91][1]] == "en" and kept[texts[90][1]] == "de"
-    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    monkeypatch.setattr(corpus_pipeline, "least_score", lambda model: 1.1)
     assert corpus_pipeline.identify_language(spark, docs, "").count() == 0
     assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
 
