@@ -17,12 +17,17 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-#: A language told with less than this is none; told with this and more, it overrules the one that a document states.
-LEAST_SCORE, SURE_SCORE = 0.3, 0.9
+#: Told with this score and more, a language overrules the one that a document states.
+SURE_SCORE = 0.9
+
+
+def least_score(model: langid.LanguageModel) -> float:
+    """That of a guess: one over the number of languages."""
+    return 1 / max(1, sum(map(len, model.members)))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go: no text, no letter, or a score under ``LEAST_SCORE``.
+    """Documents whose language cannot be told go: no text, no letter, or a score below that of a guess among the learned languages.
 
     The others keep their text; ``lang`` becomes the language told where none is stated, or
     where the one stated is another and the score reaches ``SURE_SCORE``. Rows are judged one by
@@ -31,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs)
     name = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}  # or a column score would be replaced
     stated = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in name.items()))
-    told = langid.predict_languages(stated, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    told = langid.predict_languages(stated, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least_score(model)))
     lang = F.when(F.col(name["lang"]).isNull() | (F.col("score") >= SURE_SCORE), F.col("lang_pred")).otherwise(F.col(name["lang"]))
     return told.select(*((lang if c == "lang" else F.col(a)).alias(c) for c, a in name.items()))
 
