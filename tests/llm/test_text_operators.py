@@ -383,6 +383,41 @@ def test_shards(spark, docs, corpus):
     assert len({r["shard"] for r in sharding.kd_tree_shards(same, 4).collect()}) == 1
 
 
+def _plain_tree(points: list[dict], leaves: int, first: int, out: dict) -> None:
+    """The same tree, recursively and on one list: ``out`` is the shard of every id."""
+    if leaves == 1 or not points:
+        out.update((p["id"], first) for p in points)
+        return
+    wide = max(range(4), key=lambda d: max(p["d"][d] for p in points) - min(p["d"][d] for p in points))
+    by_key = Counter()
+    for p in points:
+        by_key[(p["d"][wide], p["tie"])] += p["size"]
+    goal, below = sum(by_key.values()) * (leaves // 2) / leaves, 0
+    for key in sorted(by_key):
+        if below + by_key[key] >= goal:
+            break
+        below += by_key[key]
+    takes = goal - below > below + by_key[key] - goal  # whether the key at the quantile goes left
+    left = [p for p in points if (p["d"][wide], p["tie"]) < key or takes and (p["d"][wide], p["tie"]) == key]
+    kept = set(map(id, left))
+    _plain_tree(left, leaves // 2, first, out)
+    _plain_tree([p for p in points if id(p) not in kept], leaves - leaves // 2, first + leaves // 2, out)
+
+
+@pytest.mark.parametrize("shards", [7, 40])
+def test_shards_are_those_of_a_plain_tree(spark, shards):
+    rng = random.Random(12)
+    hot = prose(rng, 40)
+    rows = [(k * k, hot if k % 3 == 0 else rng.choice([None, "", prose(rng, rng.randint(1, 80))]), rng.choice(["hot", "hot", "a", "b", None]), rng.choice(["en", "de", None])) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    seen = sharding._metadata(df, "text", "doc_id").collect()
+    low, span = min(r["place"] for r in seen), max(r["place"] for r in seen) - min(r["place"] for r in seen)
+    along = lambda r: int(float(r["place"] - low) / span * (sharding.SCALE - 1))
+    want: dict[int, int] = {}
+    _plain_tree([{"id": r["id"], "size": r["size"], "tie": r["tie"], "d": (r["d0"], along(r), r["d2"], r["d3"])} for r in seen], shards, 0, want)
+    assert {r["doc_id"]: r["shard"] for r in sharding.kd_tree_shards(df, shards).collect()} == want
+
+
 # --- licenses ------------------------------------------------------------------------------------
 
 
