@@ -201,7 +201,7 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, seed: in
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> ToxicityModel:
-    """Fit on about SAMPLE_PER_LABEL whole texts by label, chosen by a hash of the id."""
+    """Fit on about SAMPLE_PER_LABEL whole texts by label, chosen by a hash of the id; of rows that repeat an id, on one."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
@@ -213,9 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text:
         share = F.when(F.col("__toxic") == value, drawn(draw, SAMPLE_PER_LABEL[value] / n)).otherwise(share)
     # ids and labels only, at most `most` rows: small enough to broadcast whatever the input
     most = 2 * sum(SAMPLE_PER_LABEL)
-    sample = known.where(share).limit(most)
+    sample = known.where(share).orderBy(draw, id_col).limit(most)
     short = docs.where(F.octet_length(text) < SAMPLE_BYTES).select(id_col, text)
-    rows = short.join(F.broadcast(sample), id_col).select(text, "__toxic").limit(most).collect()
+    # one text for each id, however many rows repeat it, in an order of its own: the model does not depend on the layout
+    rows = short.join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min(text).alias("__text"), F.max("__toxic").alias("__label")).select("__text", "__label").collect()
+    rows.sort()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([r[0] for r in rows], [int(r[1]) for r in rows], prior)
 
