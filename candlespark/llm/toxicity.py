@@ -153,42 +153,41 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, seed: in
     pairs = np.repeat(seen // len(names), many) * len(used) + slot[np.arange(many.sum()) + np.repeat(by_word[seen % len(names)] - np.cumsum(many) + many, many)]
     rare = np.bincount(np.unique(pairs) % len(used), minlength=len(used)) < MIN_DOCUMENTS
 
+    # rare slots carry no weight: only the others are learned
+    held = ~rare[slot]
+    slot, of_word, used = (np.cumsum(~rare) - 1)[slot[held]], of_word[held], used[~rare]
+
     window = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rank[1:] // WINDOW != rank[:-1] // WINDOW)])) - 1
     owner = doc[np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))]
     length = np.bincount(window)
     rng = np.random.default_rng(seed)
+    table = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    head = np.array([-1.0, 1.0])[:, None] * rng.normal(0, 0.3, DIM)
     chosen = np.ones(len(owner), bool)
-    table, head, bias = None, None, 0.0
+    n_words = len(names)
     for _ in range(ROUNDS):
-        table = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32) if table is None else table
-        head = np.array([-1.0, 1.0])[:, None] * rng.normal(0, 0.3, DIM) if head is None else head
         live = chosen[window]
         number = np.cumsum(chosen) - 1
         w_word, w_window = word[live], number[window[live]]
         y = label[owner[chosen]]
         share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        moments = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(head), np.zeros_like(head), np.zeros(2), np.zeros(2)]
-        b = np.zeros(2)
-        n_windows, n_words = int(chosen.sum()), len(names)
+        bias = np.zeros(2)
+        moments = [(np.zeros_like(v), np.zeros_like(v)) for v in (table, head, bias)]
         wl = length[chosen]
         for step in range(1, STEPS + 1):
-            words = np.stack([np.bincount(of_word, table[slot, d], n_words) for d in range(DIM)], 1) / size[:, None]
-            mean = np.stack([np.bincount(w_window, words[w_word, d], n_windows) for d in range(DIM)], 1) / wl[:, None]
-            logits = mean @ head.T + b
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            gap = (p - np.eye(2)[y]) * share[:, None]
-            g_head, g_bias = gap.T @ mean, gap.sum(0)
-            g_mean = gap @ head / wl[:, None]
-            g_words = np.stack([np.bincount(w_word, g_mean[w_window, d], n_words) for d in range(DIM)], 1) / size[:, None]
-            g_table = np.stack([np.bincount(slot, g_words[of_word, d], len(used)) for d in range(DIM)], 1)
-            for k, (value, grad, rate) in enumerate(((table, g_table, 0.15), (head, g_head, 0.1), (b, g_bias, 0.1))):
-                m, v = moments[2 * k], moments[2 * k + 1]
+            # averages are linear, and two logits count by their difference: one number for each
+            # slot goes up to the windows and one for each window comes back, whatever DIM is
+            words = np.bincount(of_word, (table @ (head[1] - head[0]))[slot], n_words) / size
+            gap = np.bincount(w_window, words[w_word], len(wl)) / wl + (bias[1] - bias[0])
+            gap = (1 / (1 + np.exp(-np.clip(gap, -40, 40))) - y) * share
+            g_words = np.bincount(w_word, (gap / wl)[w_window], n_words) / size
+            g_slots = np.bincount(slot, g_words[of_word], len(used))
+            sides = np.array([-1.0, 1.0])
+            grads = (np.outer(g_slots, head[1] - head[0]), np.outer(sides, g_slots @ table), sides * gap.sum())
+            for value, grad, rate, (m, v) in zip((table, head, bias), grads, (0.15, 0.1, 0.1), moments):
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            table[rare] = 0
-        bias = b[1] - b[0]
         worth = np.bincount(of_word, (table @ (head[1] - head[0]))[slot], n_words) / size
         mean = np.bincount(window, worth[word]) / length
         # next round: of a toxic document its worst window; of the others all windows
@@ -197,7 +196,7 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, seed: in
         chosen = (label[owner] == 0) | (mean >= best[owner])
     slots = np.zeros(1 << BITS, np.float32)
     slots[used] = table @ (head[1] - head[0])
-    return ToxicityModel(slots, float(bias), empty)
+    return ToxicityModel(slots, float(bias[1] - bias[0]), empty)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> ToxicityModel:
