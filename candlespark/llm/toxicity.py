@@ -119,17 +119,17 @@ def _word_values(text: np.ndarray, starts: np.ndarray, slots: np.ndarray) -> np.
 
 
 def fit(texts: list[str], toxic: list[int], prior: float | None = None, seed: int = 7) -> ToxicityModel:
-    """Learn embeddings and softmax together from whole labelled texts; with one label only, a constant.
+    """Learn embeddings and softmax together from whole labelled texts; with one label only, or without any word, a constant.
 
     ``prior`` is the share of label 1 among all labelled documents, the score of a text without words.
     """
     share_1 = float(np.mean(toxic)) if prior is None and texts else prior or 0.0
     empty = float(np.log(np.clip(share_1, 1e-3, 0.5) / (1 - np.clip(share_1, 1e-3, 0.5))))
-    if len(set(toxic)) < 2:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), empty, empty)
     raw = [t.encode("utf-8", "replace") for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     text, starts, doc, rank = words_of(np.frombuffer(b"".join(raw), np.uint8), at)
+    if len(set(toxic)) < 2 or not len(starts):
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), empty, empty)
     label = np.asarray(toxic)
     # distinct words, each a bag of slots
     ends = np.searchsorted(blank := np.flatnonzero(text == 32), starts)

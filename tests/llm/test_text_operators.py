@@ -101,6 +101,15 @@ def test_toxicity_sees_unseen_misspellings_in_long_texts(spark):
     assert 0 <= toxicity.train(df, labels).scores(np.zeros(0, np.uint8), np.array([0, 0]))[0] <= 1
 
 
+@pytest.mark.parametrize("texts", [["", "..."], ["12 34", "99"], ["ab", "cd"]])
+def test_toxicity_learns_from_texts_without_words_or_with_rare_ones_only(texts):
+    model = toxicity.fit(texts, [0, 1], 0.25)
+    score = model.scores(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.isfinite(score).all()
+    if texts[0] != "ab":
+        assert np.allclose(score, 0.25)
+
+
 def test_toxicity_reads_digits_inside_words():
     rng = random.Random(6)
     bad = ["snarkwibble", "grumblefrotz"]
