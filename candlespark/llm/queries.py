@@ -1,13 +1,15 @@
-"""The queries op1 to op10: each operator with its production parameters over its whole table."""
+"""The queries op1 to op13: each operator with its production parameters over its whole table."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, secrets, sharding, simhash, toxicity
+from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, periods, secrets, sharding, simhash, toxicity
 from candlespark.llm.common import LOWER, UPPER, learning_bucket, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +68,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.classify_lines(read_table(spark, sf_dir, "documents"))
 
 
+def planted_places(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Of a tenth of the documents, places that make their words periodic from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(read_table(spark, sf_dir, "documents"), rearrange=planted_places)
+    order = lambda a, b: (b["length"] * a["period"] - a["length"] * b["period"], a["start"] - b["start"], a["period"] - b["period"])
+
+    def before(a: Column, b: Column) -> Column:
+        ratio, start, period = (F.signum(x).cast("int") for x in order(a, b))
+        return F.when(ratio != 0, ratio).when(start != 0, start).otherwise(period)
+
+    top = F.get(F.array_sort("runs", before), 0)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -197,3 +198,40 @@ def test_toxicity_scores_are_those_of_plain_windows():
         logit = model.empty if best is None else best + model.bias
         raw = text.encode()
         assert np.isclose(model.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], 1 / (1 + np.exp(-logit)), atol=1e-5)
+
+
+def _plain_runs(words):
+    found = {}
+    for p in range(1, len(words) // 3 + 1):
+        i = 0
+        while i < len(words) - p:
+            s = i
+            while i < len(words) - p and words[i] == words[i + p]:
+                i += 1
+            if i + p - s >= max(24, 3 * p):
+                found.setdefault((s, i + p - s), p)
+            i += 1
+    return sorted((s, n, p) for (s, n), p in found.items())
+
+
+def _runs_row(k, text, plant=True):
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    n, h = len(words), _crc(k)
+    if plant and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = _plain_runs(words)
+    dropped = {i for s, m, p in runs for i in range(s + p, s + m)}
+    top = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (k, len(runs), *(top or (None,) * 3), 1000 * top[1] // top[2] if top else None, sha("".join(f"{s},{m},{p}\n" for s, m, p in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in dropped)))
+
+
+def test_op11(spark, folder):
+    columns, got = _run(spark, folder, 11)
+    assert columns[:8] == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    order = lambda r: (r[0], r[-1])
+    assert sorted((tuple(r) for r in got if r["doc_id"] != 306), key=order) == sorted((_runs_row(k, t) for k, t, _ in folder[1] if k != 306), key=order)
+    assert len(got) == len(folder[1]) and sum(r["n_runs"] > 0 for r in got) > 3
