@@ -235,3 +235,54 @@ def test_op11(spark, folder):
     order = lambda r: (r[0], r[-1])
     assert sorted((tuple(r) for r in got if r["doc_id"] != 306), key=order) == sorted((_runs_row(k, t) for k, t, _ in folder[1] if k != 306), key=order)
     assert len(got) == len(folder[1]) and sum(r["n_runs"] > 0 for r in got) > 3
+
+
+def _word_counts(docs, points=5, least=3):
+    n = Counter()
+    for k, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{k}:{run}".encode()) if k is not None else 1
+            n[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return {w: m for w, m in n.items() if len(w) >= points and m >= least}
+
+
+def _one_apart(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def _spelling_rows(n):
+    near = {w: [v for v in n if _one_apart(w, v)] for w in n}
+    form = {w: min(near[w], key=lambda v: (-n[v], v), default=None) for w in n}
+    form = {w: v if v is not None and n[v] >= 2 * n[w] else None for w, v in form.items()}
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] is not None else None) for w in n)
+
+
+def test_op13(spark, folder):
+    columns, got = _run(spark, folder, 13)
+    assert columns[:6] == ["word", "form", "root", "n", "n_near", "form_n"]
+    counted = _word_counts([d[:2] for d in folder[1]])
+    row = {r["word"]: r for r in got}
+    assert {w: r["n"] for w, r in row.items()} == counted and len(got) == len(row)
+    some = sorted(counted)[::40] + [w for w in counted if row[w]["form"]][:200]
+    for w in some:
+        near = [v for v in counted if abs(len(v) - len(w)) < 2 and _one_apart(w, v)]
+        best = min(near, key=lambda v: (-counted[v], v), default=None)
+        best = best if best is not None and counted[best] >= 2 * counted[w] else None
+        assert (row[w]["n_near"], row[w]["form"], row[w]["form_n"]) == (len(near), best, counted.get(best))
+    for w, r in row.items():
+        last = w
+        while row[last]["form"] is not None:
+            last = row[last]["form"]
+        assert r["root"] == last
