@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespark.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, periods, secrets, sharding, simhash, spelling, toxicity
+from candlespark.llm import bpe, decontaminate, exactdedup, fingerprints, langid, licenses, linededup, periods, secrets, sharding, simhash, spelling, toxicity
 from candlespark.llm.common import LOWER, UPPER, learning_bucket, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.map_with_next(read_table(spark, sf_dir, "documents"), fingerprints.rotated_edits, fingerprints.ROTATED)
+
+
 def lost_point(doc_id: int | None, word: bytes) -> int:
     """Of one (document, word) in 97, the code point that the word loses there; else -1."""
     h = zlib.crc32(word, zlib.crc32(b"%d:" % doc_id)) if doc_id is not None else 1

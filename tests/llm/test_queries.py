@@ -286,3 +286,25 @@ def test_op13(spark, folder):
         while row[last]["form"] is not None:
             last = row[last]["form"]
         assert r["root"] == last
+
+
+def test_op12(spark, folder):
+    from tests.llm.test_fingerprints import plain_fingerprint, plain_likeness
+
+    columns, got = _run(spark, folder, 12)
+    assert columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    docs = sorted((k, t or "") for k, t, _ in folder[1])
+    want = []
+    for (k, t), (_, u) in zip(docs, docs[1:] + docs[:1]):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + u[:q]
+        want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), t, edited, u))
+    assert sorted(tuple(r)[:3] for r in got) == sorted(w[:3] for w in want)
+    row = {(r["doc_id"], r["edited_sha256"]): r for r in got}
+    for k, n, sha, t, edited, u in want:
+        if n < 5000 and k % 7 == 0 or n < 200:
+            f, e, x = map(plain_fingerprint, (t, edited, u))
+            r = row[k, sha]
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (f, e)
+            assert np.allclose((r["near_edited"], r["near_next"]), (plain_likeness(f, e), plain_likeness(f, x)))
+    assert np.mean([r["near_edited"] > 0.5 for r in got if r["n_chars"] > 100]) > 0.95
