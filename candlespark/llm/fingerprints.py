@@ -2,9 +2,10 @@
 
 A hash rolls over the last ``CONTEXT`` bytes of a text. Where it ends in k zero bits or more, a chunk of
 block size 2**k ends: boundaries depend on what stands there, not on where it stands, so an edit
-changes the chunks that it touches and no others. A text's block size is the smallest of at least 2 that
-cuts it into at most ``CHUNKS`` chunks; a signature has 12 bits of each chunk's hash, as two letters. A
-fingerprint is ``k:signature:signature at k + 1``.
+changes the chunks that it touches and hardly any others. A chunk has between a quarter of the block size
+and four times it (``SPREAD``), so that a text of one repeated line has chunks too, and not too many. A text's block size is the
+smallest of at least 2 that, like the next one, cuts it into at most ``CHUNKS`` chunks; a signature has 12
+bits of each chunk's hash, as two letters. A fingerprint is ``k:signature:signature at k + 1``.
 
 Fingerprints compare where they share a block size: at k if both have it, else at the one's k and the
 other's k + 1; others have likeness 0. Likeness is 1 less the edit distance over the longer
@@ -28,6 +29,8 @@ from candlespark.llm.common import PIECE_BYTES, map_arrow, mix64, pieces, shared
 
 #: Bytes that a boundary depends on, chunks of a signature at most, and the smallest exponent of a block size.
 CONTEXT, CHUNKS, LEAST_LEVEL = 7, 64, 1
+#: Times that a chunk may be shorter or longer than its block size.
+SPREAD = 4
 #: Odd bases of the two hashes, modulo 2**64.
 ROLL, BASE = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -83,55 +86,76 @@ def boundary_levels(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunk_sums(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each chunk, times the base to the power of where it starts."""
-    sums = np.zeros(len(start), np.uint64)
+def _prefix_sums(raw: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Polynomial hash of all bytes before each of the ascending ``spots``."""
+    out = np.zeros(len(spots), np.uint64)
     power = _power(BASE, np.arange(min(PIECE_BYTES, len(raw))))
+    done = np.zeros(1, np.uint64)
     for low in range(0, len(raw), PIECE_BYTES):
         value = (raw[low : low + PIECE_BYTES].astype(np.uint64) + np.uint64(1)) * power[: len(raw) - low]
-        first, last = np.searchsorted(start, low, "right") - 1, np.searchsorted(start, low + len(value))
-        begins = np.maximum(start[first:last] - low, 0)
-        sums[first:last] += np.add.reduceat(value, begins) * np.uint64(pow(BASE, low, 1 << 64))
-    return sums
+        sums = np.concatenate([done, done + np.cumsum(value, dtype=np.uint64) * np.uint64(pow(BASE, low, 1 << 64))])
+        first, last = np.searchsorted(spots, [low, low + len(value) + 1])
+        out[first:last] = sums[spots[first:last] - low]
+        done = sums[-1:]
+    return out
+
+
+def _cuts(spots: np.ndarray, level: int, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks of texts start[i] to stop[i] end at a level whose boundaries end at ``spots``: (ends, CHUNKS columns, their number, or one more than CHUNKS)."""
+    least, most = max(1, (1 << level) // SPREAD), (1 << level) * SPREAD
+    ends, at = np.zeros((len(start), CHUNKS), np.int64), start
+    size = np.zeros(len(start), np.int64)
+    far = np.append(spots, np.iinfo(np.int64).max)
+    for k in range(CHUNKS):
+        on = at < stop
+        if not on.any():
+            break
+        at = np.where(on, np.minimum(np.minimum(far[np.searchsorted(spots, at + least)], at + most), stop), at)
+        ends[:, k] = at
+        size += on
+    return ends, np.where(at < stop, CHUNKS + 1, size)
 
 
 def signatures(raw: np.ndarray, at: np.ndarray) -> Signatures:
-    """Of the texts ``raw[at[i]:at[i + 1]]``; about ten bytes a byte of text are held, whatever its length."""
+    """Of the texts ``raw[at[i]:at[i + 1]]``; some bytes a byte of text are held, whatever its length."""
     n = len(at) - 1
     levels = boundary_levels(raw, at)
-    last = at[1:][at[1:] > at[:-1]] - 1
-    levels[last] = 255  # a text's end ends a chunk of any size
-    # texts by boundaries of each level: how many are at it or above, down to what fits
-    counts = np.zeros((n, 66), np.int64)
-    for start in range(0, len(raw), PIECE_BYTES):
-        part = levels[start : start + PIECE_BYTES]
-        own = np.searchsorted(at, np.arange(start, start + len(part)), "right") - 1
-        counts += np.bincount(own * 66 + np.minimum(part, 65), minlength=66 * n).reshape(n, 66) if n else 0
-    at_least = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
-    level = LEAST_LEVEL + np.argmax(at_least[:, LEAST_LEVEL:] <= CHUNKS, axis=1)
-    ends = []
-    for start in range(0, len(raw), PIECE_BYTES):
-        part = np.flatnonzero(levels[start : start + PIECE_BYTES] >= LEAST_LEVEL) + start
-        ends.append(part[levels[part] >= level[np.searchsorted(at, part, "right") - 1]])
-    end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-    own = np.searchsorted(at, end, "right") - 1
-    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-    sums = _chunk_sums(raw, start) if len(end) else np.zeros(0, np.uint64)
-    inverse = pow(BASE, -1, 1 << 64)
-    found, sizes = [], []
-    for more in (0, 1):
-        closes = levels[end] >= level[own] + more
-        begin = np.flatnonzero(np.concatenate([[True], closes[:-1]])) if len(end) else end
-        total = np.add.reduceat(sums, begin) if len(begin) else sums
-        length = end[closes] + 1 - start[begin]
-        code = mix64(total * _power(inverse, start[begin]) + length.astype(np.uint64) * np.uint64(ROLL)) >> np.uint64(52)
-        text = own[begin]
-        first = np.searchsorted(text, np.arange(n + 1))
+
+    def spots(level: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(levels[k : k + PIECE_BYTES] >= level) + k + 1 for k in range(0, len(raw), PIECE_BYTES))])
+
+    # at the first level no chunk is longer than allowed in CHUNKS of them; a few levels on, all are long enough
+    length = np.diff(at)
+    level = np.maximum(LEAST_LEVEL, np.ceil(np.log2(np.maximum(1, length) / (CHUNKS * SPREAD)))).astype(np.int64)
+    ends = tuple(np.zeros((n, CHUNKS), np.int64) for _ in range(2))
+    sizes = tuple(np.zeros(n, np.int64) for _ in range(2))
+    open_, k = np.ones(n, bool), LEAST_LEVEL
+    fine = None  # of level k, from the round before
+    while open_.any():
+        k = max(k, int(level[open_].min()))
+        fine = spots(k) if fine is None or fine[0] != k else fine[1]
+        coarse = spots(k + 1)
+        rows = np.flatnonzero(open_ & (level <= k))
+        both = [_cuts(s, k + more, at[:-1][rows], at[1:][rows]) for more, s in ((0, fine), (1, coarse))]
+        fit = (both[0][1] <= CHUNKS) & (both[1][1] <= CHUNKS)
+        for more in (0, 1):
+            ends[more][rows[fit]], sizes[more][rows[fit]] = both[more][0][fit], both[more][1][fit]
+        level[rows[fit]], level[rows[~fit]] = k, k + 1
+        open_[rows[fit]] = False
+        fine, k = (k + 1, coarse), k + 1
+    here = [np.arange(CHUNKS) < s[:, None] for s in sizes]
+    all_spots = np.unique(np.concatenate([at, *(e[h] for e, h in zip(ends, here))]))
+    sums = _prefix_sums(raw, all_spots)
+    inverse, found = pow(BASE, -1, 1 << 64), []
+    for end, inside in zip(ends, here):
+        begin = np.concatenate([at[:-1, None], end[:, :-1]], 1)[inside]
+        end = end[inside]
+        total = sums[np.searchsorted(all_spots, end)] - sums[np.searchsorted(all_spots, begin)]
+        code = mix64(total * _power(inverse, begin) + (end - begin).astype(np.uint64) * np.uint64(ROLL)) >> np.uint64(52)
         codes = np.full((n, CHUNKS), -1, np.int16)
-        codes[text, np.arange(len(text)) - first[text]] = code.astype(np.int16)
+        codes[inside] = code.astype(np.int16)
         found.append(codes)
-        sizes.append(np.diff(first))
-    return Signatures(level, tuple(found), tuple(sizes))
+    return Signatures(level, tuple(found), sizes)
 
 
 def written(s: Signatures) -> list[str]:

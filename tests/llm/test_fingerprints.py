@@ -31,12 +31,15 @@ def plain_fingerprint(text: str) -> str:
     def signature(level):
         chunks, start = [], 0
         for i, z in enumerate(zeros):
-            if z >= level or i == len(raw) - 1:
+            size = i + 1 - start
+            if size * 4 >= 1 << level and z >= level or size == 4 << level or i == len(raw) - 1:
                 chunks.append(raw[start : i + 1])
                 start = i + 1
         return chunks
 
-    level = next(k for k in range(fingerprints.LEAST_LEVEL, 66) if len(signature(k)) <= fingerprints.CHUNKS)
+    level = 1
+    while level < 40 and (len(raw) > (256 << level) or any(len(signature(k)) > 64 for k in (level, level + 1))):
+        level += 1
     letters = fingerprints.LETTERS.tobytes().decode()
 
     def code(chunk):
