@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from candlespark.duration import Duration
 from candlespark.logs import get_logger
+from candlespark.operators import exact
 from candlespark.operators.grid import Materialization, MaterializationRule, resolve_schedule
 from candlespark.operators.phased import FIELDS, PhasedLookback, resolve_phased_grid
 from candlespark.operators.windows import WINDOW_COLUMNS, extract_candles, tick_range, traded
-from candlespark.sources.profile import SourceProfile
+from candlespark.sources.profile import OHLCV, SourceProfile
 
 logger = get_logger(__name__)
 MANY_PAIRS = 50_000_000
@@ -31,14 +32,14 @@ def compute_reference_windows(df: DataFrame, profile: SourceProfile, *, window:
     ticks = df.sparkSession.range(first, max(first, end), s.emit).withColumnRenamed("id", "t")
     inside = (F.col("o") >= F.col("t") - s.window) & (F.col("o") + s.cadence <= F.col("t"))
     found = F.col("o").isNotNull()
-    order = F.when(found, F.struct("o", "r"))
-    out = ticks.join(candles, inside, "left").groupBy("t").agg(
+    order = F.when(found, F.struct("o", "r", *OHLCV))
+    out = ticks.join(exact.with_limbs(candles), inside, "left").groupBy("t").agg(
         F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", F.when(found, F.struct("o", -F.col("r")))).alias("close"), F.sum("volume").alias("volume"),
+        F.min_by("close", F.when(found, F.struct(-F.col("o"), "r", *OHLCV))).alias("close"), *exact.sums(),
         F.count("o").alias("src_count"), (F.count("o") * F.lit(s.cadence).cast("long")).alias("coverage_seconds"),
         (F.count_if(traded(F.col("volume"))) * F.lit(s.cadence).cast("long")).alias("traded_seconds"),
     )
-    return out.withColumn("open_time", F.col("t") - F.lit(s.window).cast("long")).withColumnRenamed("t", "close_time").select(*WINDOW_COLUMNS)
+    return exact.with_total(out).withColumn("open_time", F.col("t") - F.lit(s.window).cast("long")).withColumnRenamed("t", "close_time").select(*WINDOW_COLUMNS)
 
 
 def phased_lookback_reference(df: DataFrame, *, window: Duration | str, emit_every: Duration | str, lookback: int, anchor: Duration | str = "0s", min_traded_seconds: int = 0) -> PhasedLookback:

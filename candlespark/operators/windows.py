@@ -4,17 +4,18 @@ A candle [o, o + d) belongs to the window of W seconds that ends at tick t iff o
 o + d <= t. Every tick has a row; without candles its prices and volume are null and its
 counters 0.
 
-Three physical plans:
+Four physical plans, whose results are the same bit for bit: candles have one total order (open time, row number,
+values with nulls first and NaN last), of equal open times the first in it gives open and close, and volumes are exact sums (:mod:`exact`).
 
 * **Explode** (any input, small W / E): a candle is sent to the ticks that contain it, W / E of
   them, and aggregated by tick with map-side pre-aggregation; candles that share their ticks are
   aggregated first.
 * **Sweep** (input on its grid): see :mod:`candlespark.operators.sweep`. One shuffle of the candles
   answers every tick of every schedule, at a cost that does not grow with W.
+* **Search** (any input): see :mod:`candlespark.operators.events`. The same chunks, with binary searches in sorted candles.
 * **Blocks** (input on its grid): the same by window functions alone. Time is cut into blocks of
   W seconds; a window is a suffix of one block and a prefix of the next, so running aggregates
-  within blocks give every window. No value is ever subtracted, so an untraded window's volume
-  is exactly 0.
+  within blocks give every window.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from candlespark.columns import ROW
 from candlespark.duration import Duration
 from candlespark.errors import ConfigError
 from candlespark.logs import get_logger
+from candlespark.operators import exact
+from candlespark.operators.events import MAX_SECONDS, search
 from candlespark.operators.grid import ExplicitRange, Materialization, MaterializationRule, ResolvedSchedule, coerce_materialization, resolve_schedule
 from candlespark.operators.sweep import MAX_SLOTS, sweep
 from candlespark.sources.profile import OHLCV, SourceProfile, require_source_columns
@@ -39,7 +42,9 @@ WINDOW_COLUMNS = ("open_time", "close_time", *OHLCV, "src_count", "coverage_seco
 #: Rows that are exploded rather than looking for a better plan, and W / E up to which the stretch of a first full window is.
 EXPLODE_ROWS, FEW_TICKS = 1_000_000, 64
 MANY_TICKS = 20_000_000
-PLANS = ("auto", "explode", "blocks", "sweep")
+PLANS = ("auto", "explode", "blocks", "sweep", "search")
+#: Share of candles that have another's open time, from which those are brought together before the chunks.
+TIED_SHARE = 0.05
 #: One traded candle in a count of candles: the upper half of 64 bits counts these.
 _TRADED = 1 << 32
 
@@ -47,8 +52,8 @@ _TRADED = 1 << 32
 def extract_candles(df: DataFrame, profile: SourceProfile, by: str | None = None) -> DataFrame:
     """o (open time), prices, volume, and the ordinal that breaks ties between equal open times.
 
-    Without a ``__row`` column from a reader, ties are broken by the values themselves, so that
-    results do not depend on partitioning.
+    Without a ``__row`` column from a reader, candles of equal open times count as published in the
+    order of their values (nulls first, NaN last), so that results do not depend on partitioning.
     """
     require_source_columns(df, profile)
     order = F.col(ROW).cast("long") if ROW in df.columns else F.lit(0).cast("long")
@@ -61,26 +66,33 @@ def traded(volume: Column) -> Column:
     return (volume > 0) & ~F.isnan(volume)
 
 
-def _aggregates(d: int, deterministic: bool) -> list[Column]:
-    """Of candles: open and close go to the first published of equal open times."""
-    if deterministic:
-        ordered = F.sort_array(F.collect_list(F.struct("o", "r", "volume")))
-        volume = F.aggregate(ordered, F.lit(0.0), lambda a, x: a + F.coalesce(x["volume"], F.lit(0.0)))
-    else:
-        volume = F.sum("volume")
+def _aggregates(d: int) -> list[Column]:
+    """Of candles with the limbs of their volume: open and close go to the first published of equal open times."""
     return [
         F.min(F.struct("o", "r", *OHLCV)).alias("early"),
-        F.max(F.struct("o", (-F.col("r")).alias("r"), *OHLCV)).alias("late"),
+        F.min(F.struct((-F.col("o")).alias("o"), "r", *OHLCV)).alias("late"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
-        volume.alias("volume"),
+        *exact.sums(),
         F.count("*").alias("src_count"),
         F.sum(F.when(traded(F.col("volume")), F.lit(d).cast("long")).otherwise(F.lit(0).cast("long"))).alias("traded_seconds"),
     ]
 
 
 #: The same of rows that are such aggregates themselves.
-_MERGED = (F.min, "early"), (F.max, "late"), (F.max, "high"), (F.min, "low"), (F.sum, "volume"), (F.sum, "src_count"), (F.sum, "traded_seconds")
+_MERGED = (F.min, "early"), (F.min, "late"), (F.max, "high"), (F.min, "low"), (F.sum, "src_count"), (F.sum, "traded_seconds")
+
+
+def _merged() -> list[Column]:
+    return [*(f(c).alias(c) for f, c in _MERGED), *exact.sums()]
+
+
+def _one_an_instant(candles: DataFrame, keys: list[str]) -> DataFrame:
+    """Candles of equal open times as one row, with counts: they are in the same windows. Summed before the shuffle."""
+    first = F.min(F.struct("r", *OHLCV)).alias("first")
+    busy = F.count_if(traded(F.col("volume"))).alias("busy")
+    rows = exact.with_limbs(candles).groupBy(*keys, "o").agg(first, F.max("high").alias("high"), F.min("low").alias("low"), F.count("*").alias("n"), busy, *exact.sums())
+    return rows.select("*", *(F.col(f"first.{c}").alias(c) for c in ("open", "close"))).drop("first")
 
 
 def _bounded(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Column) -> DataFrame:
@@ -100,16 +112,16 @@ def _to_ticks(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Colum
     return _spread(_bounded(candles, s, start, end), s)
 
 
-def _explode_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], deterministic: bool) -> DataFrame:
+def _explode_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
     """Where several candles share their ticks (E over the cadence), they are aggregated before they are exploded."""
     bound = lambda x: F.lit(x).cast("long")
-    rows = _bounded(candles, s, bound(start), bound(end))
-    if s.pane > s.cadence and not deterministic:
-        panes = rows.groupBy(*keys, "__first", "__last").agg(*_aggregates(s.cadence, False))
-        found = _spread(panes, s).groupBy(*keys, "t").agg(*(f(c).alias(c) for f, c in _MERGED))
+    rows = _bounded(exact.with_limbs(candles), s, bound(start), bound(end))
+    if s.pane > s.cadence:
+        panes = rows.groupBy(*keys, "__first", "__last").agg(*_aggregates(s.cadence))
+        found = _spread(panes, s).groupBy(*keys, "t").agg(*_merged())
     else:
-        found = _spread(rows, s).groupBy(*keys, "t").agg(*_aggregates(s.cadence, deterministic))
-    return found.select("*", F.col("early.open").alias("open"), F.col("late.close").alias("close")).drop("early", "late")
+        found = _spread(rows, s).groupBy(*keys, "t").agg(*_aggregates(s.cadence))
+    return exact.with_total(found.select("*", F.col("early.open").alias("open"), F.col("late.close").alias("close")).drop("early", "late"))
 
 
 def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
@@ -129,36 +141,38 @@ def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, k
     candles, own = _require_grid(candles, s), block(F.col("o"))
     places = F.array(*(F.struct((own - shift).alias("b"), (F.col("o") - shift).alias("k"), F.lit(n).alias("side")) for n, shift in ((0, F.lit(0)), (1, F.lit(w)))))
     count = F.lit(1).cast("long") + F.when(traded(F.col("volume")), F.lit(_TRADED)).otherwise(F.lit(0).cast("long"))
-    rows = candles.select(*keys, F.explode(places).alias("at"), "r", *OHLCV, count.alias("n")).select(*keys, "at.*", "r", *OHLCV, "n")
+    limbs = (*exact.NAMES, exact.ODD, exact.ANY)
+    rows = exact.with_limbs(candles).select(*keys, F.explode(places).alias("at"), "r", *OHLCV, *limbs, count.alias("n")).select(*keys, "at.*", "r", *OHLCV, *limbs, "n")
     probe = F.col("t") - w
     probes = ticks.select(*keys, block(probe).alias("b"), probe.alias("k"), "t")
     block_of = Window.partitionBy(*keys, "b")
     to_here = (Window.unboundedPreceding, Window.currentRow)
     # of equal open times the first published decides: it comes last in both orders
-    up = block_of.orderBy(F.asc("k"), F.asc_nulls_first("side"), F.desc("r"), *(F.asc(c) for c in OHLCV))
+    up = block_of.orderBy(F.asc("k"), F.asc_nulls_first("side"), F.desc("r"), *(F.desc(c) for c in OHLCV))
     down = block_of.orderBy(F.desc("k"), F.desc_nulls_last("side"), F.desc("r"), *(F.desc(c) for c in OHLCV))
     whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     old, new = F.col("side") == 0, F.col("side") == 1
     last = lambda side, c, over: F.last(F.when(side, F.struct(c)), ignorenulls=True).over(over)[c]
     halves = {
-        "new_close": last(new, "close", up.rowsBetween(*to_here)), "old_close": F.max_by("close", F.when(old, F.struct("k", -F.col("r"), *OHLCV))).over(whole),
+        "new_close": last(new, "close", up.rowsBetween(*to_here)), "old_close": F.min_by("close", F.when(old, F.struct(-F.col("k"), "r", *OHLCV))).over(whole),
         "new_open": F.min_by("open", F.when(new, F.struct("k", "r", *OHLCV))).over(whole), "old_open": last(old, "open", down.rowsBetween(*to_here)),
     }
     for name, side, over in (("new", new, up), ("old", old, down)):
-        for c, f in (("high", F.max), ("low", F.min), ("volume", F.sum), ("n", F.sum)):
+        for c, f in (("high", F.max), ("low", F.min), *((x, F.sum) for x in limbs), ("n", F.sum)):
             halves[f"{name}_{c}"] = f(F.when(side, F.col(c))).over(over.rowsBetween(*to_here))
     found = rows.unionByName(probes, allowMissingColumns=True).select(*keys, "t", *(c.alias(n) for n, c in halves.items())).where("t IS NOT NULL")
     has_old, has_new = F.col("old_n").isNotNull(), F.col("new_n").isNotNull()
     many = F.coalesce("old_n", F.lit(0).cast("long")) + F.coalesce("new_n", F.lit(0).cast("long"))
-    return found.select(
+    both = lambda c: F.coalesce(F.col(f"old_{c}") + F.col(f"new_{c}"), f"old_{c}", f"new_{c}")
+    return exact.with_total(found.select(
         *keys, "t",
         F.when(has_old, F.col("old_open")).when(has_new, F.col("new_open")).alias("open"),
         F.greatest("old_high", "new_high").alias("high"), F.least("old_low", "new_low").alias("low"),
         F.when(has_new, F.col("new_close")).when(has_old, F.col("old_close")).alias("close"),
-        F.coalesce(F.col("old_volume") + F.col("new_volume"), "old_volume", "new_volume").alias("volume"),
+        *(both(c).alias(c) for c in limbs),
         many.bitwiseAND(F.lit(_TRADED - 1)).alias("src_count"),
         (F.shiftright(many, 32) * F.lit(s.cadence).cast("long")).alias("traded_seconds"),
-    )
+    ))
 
 
 def _keyed_ticks(candles: DataFrame, ticks: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,16 +192,19 @@ def _tick_frame(spark, s: ResolvedSchedule, start: int, end: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Span:
-    """First and last open time of a source, or None, and how many candles lie off its grid."""
+    """First and last open time of a source, or None, how many candles lie off its grid, and whether many share their open times."""
 
     low: int | None
     high: int | None
     off: int
+    tied: bool
 
 
-def _span(candles: DataFrame, s: ResolvedSchedule) -> _Span:
-    row = candles.agg(F.min("o"), F.max("o"), F.count_if(F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0)).first()
-    return _Span(*row)
+def _span(candles: DataFrame, s: ResolvedSchedule, keys: list[str] | None = None) -> _Span:
+    off = F.count_if(F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0)
+    instants = F.approx_count_distinct(F.xxhash64(*(keys or []), "o"), 0.01)
+    row = candles.agg(F.min("o"), F.max("o"), off, F.count("*"), instants).first()
+    return _Span(*row[:3], row[3] * (1 - TIED_SHARE) > row[4])
 
 
 def _warmup_range(candles: DataFrame, s: ResolvedSchedule, span: _Span) -> tuple[int, int] | None:
@@ -232,10 +249,15 @@ def tick_range(df: DataFrame, profile: SourceProfile, s: ResolvedSchedule, mater
     return found
 
 
-def _swept(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
+def _swept(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], tied: bool = False) -> DataFrame:
     if s.window // s.cadence > MAX_SLOTS:
         return _block_plan(candles, s, start, end, keys)
-    return sweep(_require_grid(candles, s), [s], [(start, end)], keys).drop("k")
+    candles = _require_grid(candles, s)
+    return sweep(_one_an_instant(candles, keys) if tied else candles, [s], [(start, end)], keys, tied).drop("k")
+
+
+def _searched(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], tied: bool = False) -> DataFrame:
+    return search(_one_an_instant(candles, keys) if tied else candles, [s], [(start, end)], keys, tied).drop("k")
 
 
 def _require_grid(candles: DataFrame, s: ResolvedSchedule) -> DataFrame:
@@ -250,12 +272,13 @@ def compute_windows(
 ) -> DataFrame:
     """The ten-column window frame (after the key, where ``partition_by`` names one).
 
-    ``plan`` forces a physical plan. ``auto`` explodes where that makes at most ``EXPLODE_ROWS``
+    ``plan`` forces a physical plan; all give the same rows, bit for bit. ``auto`` explodes where that makes at most ``EXPLODE_ROWS``
     rows, or no more than there are candles. Beyond it sweeps if every candle lies on the cadence
     grid, which one aggregation finds out unless the caller states it with ``on_grid`` (of a
-    source that passed validation), and explodes otherwise. The sweep and block plans refuse a source off its grid. ``deterministic`` sums volume in (open time, row)
-    order in the explode plan; the order of the others is fixed anyway.
-    Nulls: an invalid null price is carried as the source has it; null volume adds nothing.
+    source that passed validation), and searches otherwise; windows of more than ``MAX_SECONDS`` off the grid are
+    exploded. The sweep and block plans refuse a source off its grid. ``deterministic`` is what all plans are, and changes nothing.
+    Nulls: an invalid null price is carried as the source has it; null volume adds nothing. Volumes below 2**-91 or from 2**72 on, infinite
+    or NaN ones are added in floating point beside the exact sum of the others.
     """
     s = resolve_schedule(profile, window=window, emit_every=emit_every, anchor=anchor)
     if plan not in PLANS:
@@ -264,25 +287,27 @@ def compute_windows(
     rule = coerce_materialization(materialization)
     # only candles of some window are read: the predicate reaches the scan
     within = lambda a, b: (F.col("o") >= a - s.window) & (F.col("o") < b)
-    span = None if isinstance(rule, ExplicitRange) else _span(candles, s)
+    span = None if isinstance(rule, ExplicitRange) else _span(candles, s, ["__by"] if partition_by else [])
     low, high = (rule.start - s.window, rule.end) if span is None else (span.low or 0, span.high or 0)
     wanted = plan in ("blocks", "sweep") or plan == "auto" and s.exploded((high - low) // s.cadence) > EXPLODE_ROWS and s.exploded(1) > 1
-    if wanted and span is None and not on_grid:
-        span = _span(candles.where(within(rule.start, rule.end)), s)
-    off = 0 if span is None else span.off
+    keys = ["__by"] if partition_by else []
+    if (wanted or plan == "search") and span is None and not on_grid:
+        span = _span(candles.where(within(rule.start, rule.end)), s, keys)
+    off, tied = (0, False) if span is None else (span.off, span.tied)
     if off and (plan in ("blocks", "sweep") or on_grid):
-        raise ConfigError(f"{off} candles lie off the grid of {profile.cadence} from {profile.phase_seconds}s; only the explode plan takes them")
+        raise ConfigError(f"{off} candles lie off the grid of {profile.cadence} from {profile.phase_seconds}s; only the search and explode plans take them")
     start, end = tick_range(df, profile, s, rule, span)
     if s.count_ticks(start, end) > MANY_TICKS:
         logger.warning("%d ticks will be emitted", s.count_ticks(start, end))
     candles = candles.where(within(start, end))
-    keys = ["__by"] if partition_by else []
     if plan == "blocks":
         out = _block_plan(candles, s, start, end, keys)
     elif wanted and not off:
-        out = _swept(candles, s, start, end, keys)
+        out = _swept(candles, s, start, end, keys, tied)
+    elif plan == "search" or wanted and s.window <= MAX_SECONDS:
+        out = _searched(candles, s, start, end, keys, tied)
     else:
-        found = _explode_plan(candles, s, start, end, keys, deterministic)
+        found = _explode_plan(candles, s, start, end, keys)
         ticks = _tick_frame(df.sparkSession, s, start, end)
         out = (_keyed_ticks(candles, ticks, keys) if keys else ticks).join(found, [*keys, "t"], "left")
     count = F.coalesce("src_count", F.lit(0).cast("long"))
@@ -300,9 +325,8 @@ def compute_ladder(
 ) -> DataFrame:
     """All (window, emit cadence) pairs of a ladder, with the leading columns window_seconds and emit_seconds.
 
-    Input on its grid is swept: one scan and one shuffle of the candles answer all pairs, where a
-    call for each pair would take as many. Pairs beyond the sweep's bound, and all pairs of input
-    off its grid, are computed one by one.
+    Input on its grid is swept, other input searched: one scan and one shuffle of the candles answer all pairs, where a
+    call for each pair would take as many. Pairs beyond the bounds of these are computed one by one.
     """
     resolved = [resolve_schedule(profile, window=w, emit_every=e, anchor=anchor) for w, e in pairs]
     if not resolved:
@@ -312,10 +336,11 @@ def compute_ladder(
         candles = candles.where((F.col("o") >= rule.start - max(s.window for s in resolved)) & (F.col("o") < rule.end))
     span = _span(candles, resolved[0])
     ranges = [tick_range(df, profile, s, rule, span) for s in resolved]
-    together = [k for k, s in enumerate(resolved) if not span.off and s.window // s.cadence <= MAX_SLOTS]
+    together = [k for k, s in enumerate(resolved) if (s.window <= MAX_SECONDS if span.off else s.window // s.cadence <= MAX_SLOTS)]
     parts = []
     if together:
-        found = sweep(candles, [resolved[k] for k in together], [ranges[k] for k in together], [])
+        answer = search if span.off else sweep
+        found = answer(_one_an_instant(candles, []) if span.tied else candles, [resolved[k] for k in together], [ranges[k] for k in together], [], span.tied)
         sizes = F.array(*(F.struct(F.lit(resolved[k].window).cast("long").alias("window_seconds"), F.lit(resolved[k].emit).cast("long").alias("emit_seconds")) for k in together))
         count, own = F.col("src_count"), F.get(sizes, F.col("k"))
         parts.append(found.select(own["window_seconds"].alias("window_seconds"), own["emit_seconds"].alias("emit_seconds"), (F.col("t") - own["window_seconds"]).alias("open_time"), F.col("t").alias("close_time"), *OHLCV, count, (count * F.lit(profile.cadence.total_seconds).cast("long")).alias("coverage_seconds"), "traded_seconds"))

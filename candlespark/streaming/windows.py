@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlespark.duration import Duration, coerce_duration
+from candlespark.operators import exact
 from candlespark.operators.grid import resolve_schedule
 from candlespark.operators.windows import extract_candles, traded
 from candlespark.sources.profile import OHLCV, SourceProfile
@@ -24,13 +25,14 @@ def stream_windows(df: DataFrame, profile: SourceProfile, *, window: Duration |
     candles = extract_candles(df, profile)
     first, last = s.tick_at_or_after(F.col("o") + s.cadence), s.tick_at_or_before(F.col("o") + s.window)
     spread = candles.withColumn("__a", first).withColumn("__z", last).where("__a <= __z")
-    spread = spread.select("o", "r", *OHLCV, F.explode(F.sequence("__a", "__z", F.lit(s.emit).cast("long"))).alias("t"))
+    limbs = (*exact.NAMES, exact.ODD, exact.ANY)
+    spread = exact.with_limbs(spread).select("o", "r", *OHLCV, *limbs, F.explode(F.sequence("__a", "__z", F.lit(s.emit).cast("long"))).alias("t"))
     spread = spread.withColumn("tick", F.timestamp_seconds("t")).withWatermark("tick", f"{late + s.window} seconds")
-    early, newest = F.struct("o", "r"), F.struct("o", -F.col("r"))
+    early, newest = F.struct("o", "r", *OHLCV), F.struct(-F.col("o"), "r", *OHLCV)
     d = F.lit(s.cadence).cast("long")
     out = spread.groupBy("tick").agg(
-        F.min_by("open", early).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", newest).alias("close"),
-        F.sum("volume").alias("volume"), F.count("*").alias("src_count"), F.count_if(traded(F.col("volume"))).alias("n"),
+        F.min_by("open", early).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.min_by("close", newest).alias("close"),
+        *exact.sums(), F.count("*").alias("src_count"), F.count_if(traded(F.col("volume"))).alias("n"),
     )
     t = F.unix_seconds("tick")
-    return out.select((t - F.lit(s.window).cast("long")).alias("open_time"), t.alias("close_time"), *OHLCV, "src_count", (F.col("src_count") * d).alias("coverage_seconds"), (F.col("n") * d).alias("traded_seconds"))
+    return exact.with_total(out).select((t - F.lit(s.window).cast("long")).alias("open_time"), t.alias("close_time"), *OHLCV, "src_count", (F.col("src_count") * d).alias("coverage_seconds"), (F.col("n") * d).alias("traded_seconds"))
