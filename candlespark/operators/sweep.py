@@ -39,7 +39,7 @@ def chunk_ticks(chunk: int, width: int, window: int, emit: int, first: int, stop
     return np.arange(low, min(stop, chunk + window + width), emit, dtype=np.int64)
 
 
-def _kernel(schedules: list[tuple[int, int, int, int, int]], cadence: int, width: int, keys: list[str], summed: bool):
+def _kernel(schedules: list[tuple[int, int, int, int, int]], cadence: int, width: int, keys: list[str], summed: bool, unit: int):
     """What a chunk's task runs."""
     names, ticks_of = [*keys, *FIELDS], chunk_ticks
 
@@ -93,7 +93,7 @@ def _kernel(schedules: list[tuple[int, int, int, int, int]], cadence: int, width
             i, j = np.where(full, before[q], 0), np.where(full, before[end] - 1, 0)
             pick = lambda pair, x: (pair[0][x], full & pair[1][x]) if len(slot) else (np.zeros(len(x)), full)
             prices = [pick(s.open, i), (kernels.plain(top), top != kernels.LEAST), (kernels.plain(bottom), bottom != kernels.MOST), pick(s.close, j), (volume, some > 0)]
-            found.append(kernels.emitted(k, ticks, own_keys, kinds, (prices, many, traded), cadence, names))
+            found.append(kernels.emitted(k, ticks, own_keys, kinds, (prices, many, traded), unit, names))
         return pa.concat_tables(found) if found else kernels.nothing(table, keys, names)
 
     return answer
@@ -123,10 +123,11 @@ def plain_schedules(schedules: list[ResolvedSchedule], ranges: list[tuple[int, i
     return [(k, s.window, s.emit, s.first_tick_at_or_after(a), b) for k, (s, (a, b)) in enumerate(zip(schedules, ranges))]
 
 
-def sweep(candles: DataFrame, schedules: list[ResolvedSchedule], ranges: list[tuple[int, int]], keys: list[str], summed: bool = False) -> DataFrame:
+def sweep(candles: DataFrame, schedules: list[ResolvedSchedule], ranges: list[tuple[int, int]], keys: list[str], summed: bool = False, unit: int | None = None) -> DataFrame:
     """A row for every tick of every schedule in its range: ``k`` (the schedule's number), ``t``, prices, volume, src_count, traded_seconds.
 
-    Candles (columns o, r and prices; or, ``summed``, one for each open time) must lie on the grid of the schedules, which share their source.
+    Candles (columns o, r and prices) must lie on the grid of the schedules, which share their source. ``summed``: rows are
+    many candles each, with counts and limbs; ``unit`` is then the seconds of one.
     """
     d, width = schedules[0].cadence, max(CHUNK_SLOTS * schedules[0].cadence, 2 * max(s.window for s in schedules))
-    return in_chunks(candles, schedules, ranges, keys, width, _kernel(plain_schedules(schedules, ranges), d, width, keys, summed))
+    return in_chunks(candles, schedules, ranges, keys, width, _kernel(plain_schedules(schedules, ranges), d, width, keys, summed, unit or d))

@@ -20,7 +20,7 @@ values with nulls first and NaN last), of equal open times the first in it gives
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +43,6 @@ WINDOW_COLUMNS = ("open_time", "close_time", *OHLCV, "src_count", "coverage_seco
 EXPLODE_ROWS, FEW_TICKS = 1_000_000, 64
 MANY_TICKS = 20_000_000
 PLANS = ("auto", "explode", "blocks", "sweep", "search")
-#: Share of candles that have another's open time, from which those are brought together before the chunks.
-TIED_SHARE = 0.05
 #: One traded candle in a count of candles: the upper half of 64 bits counts these.
 _TRADED = 1 << 32
 
@@ -66,11 +64,17 @@ def traded(volume: Column) -> Column:
     return (volume > 0) & ~F.isnan(volume)
 
 
-def _aggregates(d: int) -> list[Column]:
-    """Of candles with the limbs of their volume: open and close go to the first published of equal open times."""
+def _aggregates(d: int, unique: bool) -> list[Column]:
+    """Of candles with the limbs of their volume: open and close go to the first published of equal open times.
+
+    Where open times are known to be ``unique`` they alone order candles: such aggregates have buffers of fixed size and are hashed, not sorted.
+    """
+    if unique:
+        ends = [F.min("o").alias("low_o"), F.max("o").alias("high_o"), F.min_by("open", "o").alias("open"), F.max_by("close", "o").alias("close")]
+    else:
+        ends = [F.min(F.struct("o", "r", *OHLCV)).alias("early"), F.min(F.struct((-F.col("o")).alias("o"), "r", *OHLCV)).alias("late")]
     return [
-        F.min(F.struct("o", "r", *OHLCV)).alias("early"),
-        F.min(F.struct((-F.col("o")).alias("o"), "r", *OHLCV)).alias("late"),
+        *ends,
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         *exact.sums(),
@@ -79,12 +83,13 @@ def _aggregates(d: int) -> list[Column]:
     ]
 
 
-#: The same of rows that are such aggregates themselves.
-_MERGED = (F.min, "early"), (F.min, "late"), (F.max, "high"), (F.min, "low"), (F.sum, "src_count"), (F.sum, "traded_seconds")
-
-
-def _merged() -> list[Column]:
-    return [*(f(c).alias(c) for f, c in _MERGED), *exact.sums()]
+def _merged(unique: bool) -> list[Column]:
+    """The same of rows that are such aggregates themselves."""
+    if unique:
+        ends = [F.min_by("open", "low_o").alias("open"), F.max_by("close", "high_o").alias("close")]
+    else:
+        ends = [F.min("early").alias("early"), F.min("late").alias("late")]
+    return [*ends, F.max("high").alias("high"), F.min("low").alias("low"), *exact.sums(), F.sum("src_count").alias("src_count"), F.sum("traded_seconds").alias("traded_seconds")]
 
 
 def _one_an_instant(candles: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,6 +100,17 @@ def _one_an_instant(candles: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select("*", *(F.col(f"first.{c}").alias(c) for c in ("open", "close"))).drop("first")
 
 
+def _in_panes(candles: DataFrame, s: ResolvedSchedule, keys: list[str], unique: bool) -> DataFrame:
+    """Candles on the grid as one row for each pane, whose candles are in the same windows; ``o`` is the pane's start. Hashed and summed before the shuffle."""
+    rows = _one_an_instant(candles, keys)
+    if unique:
+        rows = exact.with_limbs(candles).withColumns({"n": F.lit(1).cast("long"), "busy": F.when(traded(F.col("volume")), 1).otherwise(0).cast("long")})
+    pane = F.col("o") - F.pmod(F.col("o") - F.lit(s.anchor), F.lit(s.pane))
+    ends = [F.min_by("open", "o").alias("open"), F.max_by("close", "o").alias("close")]
+    found = rows.groupBy(*keys, pane.alias("__pane")).agg(*ends, F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("n"), F.sum("busy").alias("busy"), *exact.sums())
+    return found.withColumnRenamed("__pane", "o")
+
+
 def _bounded(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Column) -> DataFrame:
     """The candles of some window, with the first and the last tick of [start, end) whose window contains them."""
     first = s.tick_at_or_after(F.greatest(F.col("o") + s.cadence, start))
@@ -112,16 +128,18 @@ def _to_ticks(candles: DataFrame, s: ResolvedSchedule, start: Column, end: Colum
     return _spread(_bounded(candles, s, start, end), s)
 
 
-def _explode_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
+def _explode_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], unique: bool = False) -> DataFrame:
     """Where several candles share their ticks (E over the cadence), they are aggregated before they are exploded."""
     bound = lambda x: F.lit(x).cast("long")
     rows = _bounded(exact.with_limbs(candles), s, bound(start), bound(end))
     if s.pane > s.cadence:
-        panes = rows.groupBy(*keys, "__first", "__last").agg(*_aggregates(s.cadence))
-        found = _spread(panes, s).groupBy(*keys, "t").agg(*_merged())
+        panes = rows.groupBy(*keys, "__first", "__last").agg(*_aggregates(s.cadence, unique))
+        found = _spread(panes, s).groupBy(*keys, "t").agg(*_merged(unique))
     else:
-        found = _spread(rows, s).groupBy(*keys, "t").agg(*_aggregates(s.cadence))
-    return exact.with_total(found.select("*", F.col("early.open").alias("open"), F.col("late.close").alias("close")).drop("early", "late"))
+        found = _spread(rows, s).groupBy(*keys, "t").agg(*_aggregates(s.cadence, unique))
+    if not unique:
+        found = found.select("*", F.col("early.open").alias("open"), F.col("late.close").alias("close"))
+    return exact.with_total(found.drop("early", "late", "low_o", "high_o"))
 
 
 def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str]) -> DataFrame:
@@ -192,19 +210,23 @@ def _tick_frame(spark, s: ResolvedSchedule, start: int, end: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Span:
-    """First and last open time of a source, or None, how many candles lie off its grid, and whether many share their open times."""
+    """First and last open time of a source, or None, how many candles lie off its grid, and whether no two of a key lie in one cadence."""
 
     low: int | None
     high: int | None
     off: int
-    tied: bool
+    unique: bool
 
 
 def _span(candles: DataFrame, s: ResolvedSchedule, keys: list[str] | None = None) -> _Span:
-    off = F.count_if(F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0)
-    instants = F.approx_count_distinct(F.xxhash64(*(keys or []), "o"), 0.01)
-    row = candles.agg(F.min("o"), F.max("o"), off, F.count("*"), instants).first()
-    return _Span(*row[:3], row[3] * (1 - TIED_SHARE) > row[4])
+    """A bit for each cadence of 64, set by its candles: as many bits as candles means that all open at times of their own."""
+    slot = F.floor((F.col("o") - F.lit(s.phase)) / F.lit(s.cadence))
+    off = F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0
+    rows = candles.where("o IS NOT NULL").select(*(keys or []), "o", off.alias("off"), slot.alias("slot"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))"))
+    pages = rows.groupBy(*(keys or []), F.shiftright("slot", 6).alias("page")).agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count_if("off").alias("off"), (F.count("*") == F.bit_count(bits)).alias("unique"))
+    row = pages.agg(F.min("low"), F.max("high"), F.coalesce(F.sum("off"), F.lit(0)), F.coalesce(F.bool_and("unique"), F.lit(True))).first()
+    return _Span(*row)
 
 
 def _warmup_range(candles: DataFrame, s: ResolvedSchedule, span: _Span) -> tuple[int, int] | None:
@@ -221,7 +243,7 @@ def _warmup_range(candles: DataFrame, s: ResolvedSchedule, span: _Span) -> tuple
         return None
     full, reach, low = s.window // s.cadence, max(64 * s.emit, 4 * s.window), start
     few = s.window // s.emit <= FEW_TICKS
-    if not few and candles.where((F.col("o") >= start - s.window) & (F.col("o") <= start - s.cadence)).count() == full:
+    if candles.where((F.col("o") >= start - s.window) & (F.col("o") <= start - s.cadence)).count() == full and not span.off:
         return start, last + 1
     while low <= last:
         high = min(last, s.last_tick_at_or_before(low + reach))
@@ -249,15 +271,18 @@ def tick_range(df: DataFrame, profile: SourceProfile, s: ResolvedSchedule, mater
     return found
 
 
-def _swept(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], tied: bool = False) -> DataFrame:
+def _swept(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], unique: bool = True) -> DataFrame:
     if s.window // s.cadence > MAX_SLOTS:
         return _block_plan(candles, s, start, end, keys)
     candles = _require_grid(candles, s)
-    return sweep(_one_an_instant(candles, keys) if tied else candles, [s], [(start, end)], keys, tied).drop("k")
+    if s.pane > s.cadence:
+        coarse = replace(s, cadence=s.pane, phase=s.anchor % s.pane)
+        return sweep(_in_panes(candles, s, keys, unique), [coarse], [(start, end)], keys, True, s.cadence).drop("k")
+    return sweep(candles if unique else _one_an_instant(candles, keys), [s], [(start, end)], keys, not unique).drop("k")
 
 
-def _searched(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], tied: bool = False) -> DataFrame:
-    return search(_one_an_instant(candles, keys) if tied else candles, [s], [(start, end)], keys, tied).drop("k")
+def _searched(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, keys: list[str], unique: bool = True) -> DataFrame:
+    return search(candles if unique else _one_an_instant(candles, keys), [s], [(start, end)], keys, not unique).drop("k")
 
 
 def _require_grid(candles: DataFrame, s: ResolvedSchedule) -> DataFrame:
@@ -273,7 +298,7 @@ def compute_windows(
     """The ten-column window frame (after the key, where ``partition_by`` names one).
 
     ``plan`` forces a physical plan; all give the same rows, bit for bit. ``auto`` explodes where that makes at most ``EXPLODE_ROWS``
-    rows, or no more than there are candles. Beyond it sweeps if every candle lies on the cadence
+    rows, or where windows do not overlap. Beyond it sweeps if every candle lies on the cadence
     grid, which one aggregation finds out unless the caller states it with ``on_grid`` (of a
     source that passed validation), and searches otherwise; windows of more than ``MAX_SECONDS`` off the grid are
     exploded. The sweep and block plans refuse a source off its grid. ``deterministic`` is what all plans are, and changes nothing.
@@ -289,11 +314,14 @@ def compute_windows(
     within = lambda a, b: (F.col("o") >= a - s.window) & (F.col("o") < b)
     span = None if isinstance(rule, ExplicitRange) else _span(candles, s, ["__by"] if partition_by else [])
     low, high = (rule.start - s.window, rule.end) if span is None else (span.low or 0, span.high or 0)
-    wanted = plan in ("blocks", "sweep") or plan == "auto" and s.exploded((high - low) // s.cadence) > EXPLODE_ROWS and s.exploded(1) > 1
+    count = (high - low) // s.cadence
+    overlap = s.exploded(1) > 1 or s.window > s.emit and count > EXPLODE_ROWS
+    wanted = plan in ("blocks", "sweep") or plan == "auto" and max(count, s.exploded(count)) > EXPLODE_ROWS and overlap
     keys = ["__by"] if partition_by else []
-    if (wanted or plan == "search") and span is None and not on_grid:
+    many = count > EXPLODE_ROWS and not wanted  # these are hashed if open times are unique
+    if span is None and (many or (wanted or plan == "search") and not on_grid):
         span = _span(candles.where(within(rule.start, rule.end)), s, keys)
-    off, tied = (0, False) if span is None else (span.off, span.tied)
+    off, unique = (0, None) if span is None else (span.off, span.unique)
     if off and (plan in ("blocks", "sweep") or on_grid):
         raise ConfigError(f"{off} candles lie off the grid of {profile.cadence} from {profile.phase_seconds}s; only the search and explode plans take them")
     start, end = tick_range(df, profile, s, rule, span)
@@ -303,11 +331,11 @@ def compute_windows(
     if plan == "blocks":
         out = _block_plan(candles, s, start, end, keys)
     elif wanted and not off:
-        out = _swept(candles, s, start, end, keys, tied)
+        out = _swept(candles, s, start, end, keys, unique is not False)
     elif plan == "search" or wanted and s.window <= MAX_SECONDS:
-        out = _searched(candles, s, start, end, keys, tied)
+        out = _searched(candles, s, start, end, keys, unique is not False)
     else:
-        found = _explode_plan(candles, s, start, end, keys)
+        found = _explode_plan(candles, s, start, end, keys, bool(unique))
         ticks = _tick_frame(df.sparkSession, s, start, end)
         out = (_keyed_ticks(candles, ticks, keys) if keys else ticks).join(found, [*keys, "t"], "left")
     count = F.coalesce("src_count", F.lit(0).cast("long"))
@@ -340,7 +368,7 @@ def compute_ladder(
     parts = []
     if together:
         answer = search if span.off else sweep
-        found = answer(_one_an_instant(candles, []) if span.tied else candles, [resolved[k] for k in together], [ranges[k] for k in together], [], span.tied)
+        found = answer(candles if span.unique else _one_an_instant(candles, []), [resolved[k] for k in together], [ranges[k] for k in together], [], not span.unique)
         sizes = F.array(*(F.struct(F.lit(resolved[k].window).cast("long").alias("window_seconds"), F.lit(resolved[k].emit).cast("long").alias("emit_seconds")) for k in together))
         count, own = F.col("src_count"), F.get(sizes, F.col("k"))
         parts.append(found.select(own["window_seconds"].alias("window_seconds"), own["emit_seconds"].alias("emit_seconds"), (F.col("t") - own["window_seconds"]).alias("open_time"), F.col("t").alias("close_time"), *OHLCV, count, (count * F.lit(profile.cadence.total_seconds).cast("long")).alias("coverage_seconds"), "traded_seconds"))
