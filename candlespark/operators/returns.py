@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,8 +144,9 @@ def require_ascending(df: DataFrame) -> None:
 def add_forward_excursions(df: DataFrame, *, horizon: Duration | str, cadence: Duration | str, method: ReturnMethod, checked: bool = True) -> DataFrame:
     """Append favourable and adverse excursions over (t, t + H] against the close at t, and their available_at.
 
-    Time is cut into buckets of many horizons; each bucket also gets the rows of one horizon
-    after it, so frames never cross a partition and no task sorts the whole history. A bar with
+    Time is cut into blocks of one horizon. The interval after t is the rest of t's block and the beginning of the next one, so
+    running extremes from the ends of blocks give every interval in one shuffle, whatever the horizon: a bar
+    goes to the task of its own block and, one horizon earlier, to that of the block before. A bar with
     a null or NaN high or low nulls every interval that holds it.
     """
     _require_method(method)
@@ -154,17 +156,20 @@ def add_forward_excursions(df: DataFrame, *, horizon: Duration | str, cadence: D
     if checked:
         require_alignable(df, h.total_seconds, ("high", "low"), e.total_seconds)
         require_ascending(df)
-    n = h.total_seconds // e.total_seconds
-    width = max(64 * h.total_seconds, 4096 * e.total_seconds)
-    bad = F.col("high").isNull() | F.col("low").isNull() | F.isnan("high") | F.isnan("low")
-    own = F.floor(F.col("close_time") / F.lit(width))
-    # a row serves its own bucket, and the bucket before if it is within a horizon of its start
-    earlier = F.floor((F.col("close_time") - F.lit(h.total_seconds)) / F.lit(width))
-    spread = df.select("*", F.explode(F.array_distinct(F.array(own, earlier))).alias("__bucket"))
-    spread = spread.withColumn("__high", F.when(~bad, F.col("high"))).withColumn("__low", F.when(~bad, F.col("low")))
-    over = Window.partitionBy("__bucket").orderBy("close_time").rangeBetween(e.total_seconds, h.total_seconds)
-    whole = F.count("__high").over(over) == n
-    top, bottom = F.when(whole, F.max("__high").over(over)), F.when(whole, F.min("__low").over(over))
-    found = spread.withColumn(mfe, return_values(top, F.col("close"), method)).withColumn(mae, return_values(bottom, F.col("close"), method))
-    found = found.where(F.col("__bucket") == own)
-    return found.select(*df.columns, mfe, mae, (F.col("close_time") + F.lit(h.total_seconds).cast("long")).alias(at))
+    n, width = h.total_seconds // e.total_seconds, F.lit(h.total_seconds).cast("long")
+    good = F.col("high").isNotNull() & F.col("low").isNotNull() & ~F.isnan("high") & ~F.isnan("low")
+    block = (F.col("close_time") - F.pmod("close_time", width)) / width
+    places = F.array(*(F.struct((block.cast("long") - k).alias("block"), (F.col("close_time") - k * width).alias("key"), F.lit(k == 0).alias("own")) for k in (0, 1)))
+    bars = df.withColumn("__bar", F.when(good, F.struct("high", "low"))).withColumn("__at", F.explode(places))
+    own = F.col("__at.own")
+    rows = bars.select(F.col("__at.block").alias("__block"), F.col("__at.key").alias("__key"), own.alias("__own"), "__bar", *(F.when(own, F.col(c)).alias(c) for c in df.columns))
+    # the next block's bars up to one horizon after t, and the own block's after t
+    up = Window.partitionBy("__block").orderBy("__key", "__own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("__block").orderBy(F.desc("__key"), F.desc("__own")).rowsBetween(Window.unboundedPreceding, -1)
+    sides = [(F.when(F.col("__own") if mine else ~F.col("__own"), F.col("__bar")), over) for mine, over in ((True, down), (False, up))]
+    whole = reduce(lambda a, b: a + b, (F.count(bar).over(over) for bar, over in sides)) == n
+    top = F.greatest(*(F.max(bar["high"]).over(over) for bar, over in sides))
+    bottom = F.least(*(F.min(bar["low"]).over(over) for bar, over in sides))
+    found = rows.select("*", F.when(whole, top).alias("__top"), F.when(whole, bottom).alias("__bottom")).where("__own")
+    values = (return_values(F.col(c), F.col("close"), method).alias(name) for c, name in (("__top", mfe), ("__bottom", mae)))
+    return found.select(*df.columns, *values, (F.col("close_time") + width).alias(at))

@@ -136,3 +136,28 @@ def test_phased_refusals(spark):
             phased_lookback(df, **({"window": "3m", "emit_every": "2m", "lookback": 2, "anchor": f"{T0 % 60}s"} | more))
     with pytest.raises(ConfigError):
         phased_lookback(df.unionByName(df), window="3m", emit_every="2m", lookback=2, anchor=f"{T0 % 60}s")
+
+
+def test_excursions_over_many_blocks_are_those_of_each_interval(spark):
+    import math
+    import random
+
+    from candlespark.operators.returns import ReturnMethod, add_forward_excursions
+
+    rng = random.Random(31)
+    rows = []
+    for k in range(-70, 260):
+        low = rng.uniform(50, 90)
+        high = rng.choice([low + rng.random()] * 40 + [None, float("nan")])
+        rows.append((60 * k, high, low, rng.uniform(60, 80), f"row {k}"))
+    df = spark.createDataFrame(rows, "close_time long, high double, low double, close double, note string").repartition(5)
+    for minutes in (1, 7, 60, 1000):
+        got = {r["close_time"]: r for r in add_forward_excursions(df, horizon=f"{minutes}m", cadence="1m", method=ReturnMethod.SIMPLE).collect()}
+        assert len(got) == len(rows)
+        for i, (t, _, _, close, note) in enumerate(rows):
+            after = rows[i + 1 : i + 1 + minutes]
+            whole = len(after) == minutes and all(r[1] is not None and not math.isnan(r[1]) for r in after)
+            want = ((max(r[1] for r in after) - close) / close, (min(r[2] for r in after) - close) / close) if whole else (None, None)
+            r = got[t]
+            name = next(c for c in r.asDict() if c.startswith("forward_mfe")), next(c for c in r.asDict() if c.startswith("forward_mae"))
+            assert (r[name[0]], r[name[1]]) == want and r["note"] == note
