@@ -32,8 +32,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def _blocks(raw: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """``raw`` in stretches of about ``limit`` bytes that end where a word ends."""
+def blank_blocks(raw: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """``raw`` in stretches of about ``limit`` bytes that end before white space."""
     start = 0
     while start < len(raw):
         stop = start + limit
@@ -56,7 +56,7 @@ def number_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True  # a text's end ends a word
     done = 0
-    for block in _blocks(raw, BLOCK_BYTES):
+    for block in blank_blocks(raw, BLOCK_BYTES):
         space = _SPACE[block]
         begins = ~space
         begins[1:] &= space[:-1] | edge[done + 1 : done + len(block)]

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import drawn, map_arrow, pieces, utf8
+from candlespark.llm.common import PIECE_BYTES, drawn, map_arrow, pieces, utf8
+from candlespark.llm.periods import blank_blocks
 from candlespark.llm.langid import lowered, word_bytes
 
 ORDERS = (3, 4, 5)
@@ -37,8 +38,8 @@ KEY_BYTES, KEY_DIGITS = 20, 3
 BITS = 17
 DIM = 8
 WINDOW = 5
-#: Learned from at most about this many documents of label 0 and of label 1, of under SAMPLE_BYTES.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = (1400, 700), 20_000
+#: Learned from about this many documents of label 0 and of label 1; of those of SAMPLE_BYTES and more, as many whole texts as LONG_BYTES hold.
+SAMPLE_PER_LABEL, SAMPLE_BYTES, LONG_BYTES = (1400, 700), 20_000, 4 << 20
 ROUNDS, STEPS = 3, 50
 #: Slots seen in fewer documents of the sample carry no weight.
 MIN_DOCUMENTS = 3
@@ -95,6 +96,8 @@ class ToxicityModel:
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Probability of the toxic label for each text; a text without words gets the prior."""
+        if len(at) == 2 and len(raw) > 2 * PIECE_BYTES:
+            return self._long_score(raw)
         text, starts, doc, rank = words_of(raw, at)
         out = np.full(len(at) - 1, self.empty)
         if len(starts):
@@ -107,6 +110,20 @@ class ToxicityModel:
             out[owner[begin]] = np.maximum.reduceat(mean, begin) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
+    def _long_score(self, raw: np.ndarray) -> np.ndarray:
+        """As :meth:`scores` of one long text, in stretches that end where a word does."""
+        best, left = -np.inf, np.zeros(0)
+        for block in blank_blocks(raw, PIECE_BYTES):
+            text, starts, _, _ = words_of(block, np.array([0, len(block)]))
+            values = np.concatenate([left, _word_values(text, starts, self.slots)])
+            whole = len(values) // WINDOW * WINDOW
+            if whole:
+                best = max(best, (np.add.reduceat(values[:whole], np.arange(0, whole, WINDOW)) / WINDOW).max())
+            left = values[whole:]
+        if len(left):
+            best = max(best, np.add.reduceat(left, [0])[0] / len(left))
+        return 1 / (1 + np.exp(-np.clip([self.empty if best == -np.inf else best + self.bias], -40, 40)))
+
 
 def _word_values(text: np.ndarray, starts: np.ndarray, slots: np.ndarray) -> np.ndarray:
     total, count = np.zeros(len(starts)), np.zeros(len(starts))
@@ -200,7 +217,11 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, seed: in
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> ToxicityModel:
-    """Fit on about SAMPLE_PER_LABEL whole texts by label, chosen by a hash of the id; of rows that repeat an id, on one."""
+    """Fit on about SAMPLE_PER_LABEL whole texts by label, chosen by a hash of the id; of rows that repeat an id, on one.
+
+    Texts of any length are drawn alike. Of those of SAMPLE_BYTES and more the first by that hash are learned that together have
+    at most LONG_BYTES of a label, so what reaches the driver is bounded; a text longer than that alone is passed over.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
@@ -213,9 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text:
     # ids and labels only, at most `most` rows: small enough to broadcast whatever the input
     most = 2 * sum(SAMPLE_PER_LABEL)
     sample = known.where(share).orderBy(draw, id_col).limit(most)
-    short = docs.where(F.octet_length(text) < SAMPLE_BYTES).select(id_col, text)
+    found = docs.select(id_col, text).join(F.broadcast(sample), id_col)
     # one text for each id, however many rows repeat it, in an order of its own: the model does not depend on the layout
-    rows = short.join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min(text).alias("__text"), F.max("__toxic").alias("__label")).select("__text", "__label").collect()
+    found = found.groupBy(id_col).agg(F.min(text).alias("__text"), F.max("__toxic").alias("__label")).where("__text IS NOT NULL")
+    size = F.octet_length("__text")
+    long = Window.partitionBy("__label").orderBy(draw, id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    longer = found.where((size >= SAMPLE_BYTES) & (size <= LONG_BYTES)).withColumn("__sum", F.sum(size).over(long)).where(F.col("__sum") <= LONG_BYTES)
+    rows = found.where(size < SAMPLE_BYTES).unionByName(longer.drop("__sum")).select("__text", "__label").collect()
     rows.sort()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([r[0] for r in rows], [int(r[1]) for r in rows], prior)

@@ -568,3 +568,42 @@ def test_band_recall():
         a, b = linededup.band_keys([x.encode(), y.encode()])
         met += bool((a == b).any())
     assert met >= 58
+
+
+def test_toxicity_learns_from_long_texts_as_from_short_ones(spark):
+    import random
+
+    from candlespark.llm import toxicity
+    from tests.llm.conftest import prose
+
+    rng = random.Random(47)
+    rows = []
+    for k in range(60):
+        words = prose(rng, 3600).split()
+        if k % 2:
+            for _ in range(40):
+                words[rng.randrange(len(words))] = rng.choice(["grumblefrotz", "grumblefrotzes", "vilesnark"])
+        rows.append((k, " ".join(words)))
+    assert min(len(t) for _, t in rows) > toxicity.SAMPLE_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
+    assert min(scores[k] for k in range(1, 60, 2)) > 0.7 and max(scores[k] for k in range(0, 60, 2)) < 0.5
+
+
+def test_a_long_text_has_the_score_of_its_windows(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from candlespark.llm import toxicity
+    from tests.llm.conftest import prose
+
+    rng = random.Random(48)
+    model = toxicity.ToxicityModel(np.random.default_rng(2).normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -0.3, -2.0)
+    for text in (prose(rng, 3000), "x" * 5000, " " * 5000, "a1b2c3 ok0 9to5 " * 300):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        whole = model.scores(raw, np.array([0, len(raw)]))
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "PIECE_BYTES", 200)
+            assert np.allclose(model.scores(raw, np.array([0, len(raw)])), whole, atol=1e-12)
