@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import drawn, map_arrow, pieces, segment_sums, utf8
+from candlespark.llm.common import PIECE_BYTES, drawn, map_arrow, pieces, segment_sums, utf8
 
 #: Families by ISO 639 code; a language that is not listed is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -32,6 +32,8 @@ BITS = 12
 SAMPLE_PER_LANG, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 2000, 100_000
 #: No language gets fewer to make room for others.
 LEAST_PER_LANG = 20
+#: Languages learned, those with the most labelled texts; and characters of the whole sample.
+MOST_LANGS, MOST_CHARS = 256, 200_000_000
 
 
 def word_bytes(digits: bool = False) -> np.ndarray:
@@ -85,6 +87,8 @@ class LanguageModel:
 
     def margins(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(texts, functions): values of the linear functions for each text."""
+        if len(at) == 2 and len(raw) > 2 * PIECE_BYTES:
+            return self._long_margins(raw)
         text = normalised(raw)
         out = np.zeros((len(at) - 1, len(self.bias)))
         for k, ids in enumerate(gram_ids(text)):
@@ -92,6 +96,15 @@ class LanguageModel:
                 out[:, j] += segment_sums(np.take(self.weights[j, k], ids), at)
         return out / np.maximum(1, np.diff(at))[:, None] + self.bias
 
+    def _long_margins(self, raw: np.ndarray) -> np.ndarray:
+        """As :meth:`margins` of one long text, in stretches that each see the three bytes before them."""
+        total = np.zeros(len(self.bias))
+        for start in range(0, len(raw), PIECE_BYTES):
+            low = max(0, start - 3)
+            for k, ids in enumerate(gram_ids(normalised(raw[low : start + PIECE_BYTES]))):
+                total += [np.take(w[k], ids[start - low :]).sum(dtype=np.float64) for w in self.weights]
+        return (total / len(raw) + self.bias)[None]
+
     def predict(self, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language of each text and a probability-like score of it."""
         n = len(at) - 1
@@ -177,12 +190,14 @@ def train(docs: DataFrame, learn: F.Column | None = None, text: str = "text", la
     """Fit on a bounded sample, chosen by a hash of the id (of the text where there is none).
 
     Each language has about SAMPLE_PER_LANG texts, or its part of SAMPLE_TOTAL where there are
-    many, but LEAST_PER_LANG at least. Of a long text the first SAMPLE_CHARS are learned.
+    many, but LEAST_PER_LANG at least. Of a long text the first SAMPLE_CHARS are learned, or fewer
+    so that the sample has MOST_CHARS. Languages beyond the MOST_LANGS with the most texts (of equal ones the first by name) are not
+    learned: their texts are told to be of one of the others.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     if learn is not None:
         known = known.where(learn)
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang).limit(MOST_LANGS).collect()}
     if not counts:
         return LanguageModel()
     draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text)), F.lit(17))
@@ -191,7 +206,8 @@ def train(docs: DataFrame, learn: F.Column | None = None, text: str = "text", la
     for name, n in counts.items():
         share = F.when(F.col(lang) == name, drawn(draw, each / n)).otherwise(share)
     # the rank only matters where many rows have one id
-    sample = known.where(share).select(F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.col(lang).alias("lang"), draw.alias("draw"))
+    chars = min(SAMPLE_CHARS, int(MOST_CHARS / (each * len(counts))))
+    sample = known.where(share).select(F.substring(text, 1, chars).alias("text"), F.col(lang).alias("lang"), draw.alias("draw"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     rows = sample.withColumn("rank", rank).where(F.col("rank") <= math.ceil(2 * each)).select("text", "lang").collect()
     return fit([r[0] for r in rows], [r[1] for r in rows])

@@ -607,3 +607,22 @@ def test_a_long_text_has_the_score_of_its_windows(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(toxicity, "PIECE_BYTES", 200)
             assert np.allclose(model.scores(raw, np.array([0, len(raw)])), whole, atol=1e-12)
+
+
+def test_long_texts_are_told_as_whole_ones_and_labels_are_bounded(spark, monkeypatch):
+    import numpy as np
+
+    from candlespark.llm import langid
+
+    stock = ["the and of that with this have from", "der und die nicht ist ein mit auch", "le les des une dans est pour qui"]
+    model = langid.fit([x for x in stock for _ in range(3)], ["en", "de", "fr"] * 3)
+    for text in ("The und les " * 300, "Été ÀÉ 12 " * 300, "x" * 1000):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        whole = model.margins(raw, np.array([0, len(raw)]))
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PIECE_BYTES", 101)
+            assert np.allclose(model.margins(raw, np.array([0, len(raw)])), whole, atol=1e-9)
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(k, stock[k % 3], ["en", "de", "fr"][k % 3]) for k in range(30)] + [(100 + k, stock[k % 2], ["en", "de"][k % 2]) for k in range(4)]
+    bounded = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(x for family in bounded.members for x in family) == ["de", "en"]
