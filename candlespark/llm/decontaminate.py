@@ -8,7 +8,9 @@ its words, and spans of hit words can be removed.
 
 A benchmark of up to ``GROUP_WORDS`` words is one automaton (of about 600 bytes a word, so 120 MB),
 built on the driver and broadcast; documents never leave their partition: there is no shuffle. A
-larger one is dealt into groups of about that many words, whose automata are built on the
+larger one is cut into stretches of at most ``STRETCH_WORDS`` words that overlap by a window less one word, so
+that every window lies in one; equal stretches are one, with the ids of their items. Stretches, with ``STRETCH_IDS`` ids at most,
+are dealt into groups of about ``GROUP_WORDS`` words and ids, whose automata are built on the
 executors and written to the shared folder. Texts are then written once and pass every group's
 automaton, one group at a time; what each finds comes together by row. So neither the driver nor
 a task ever holds more than one automaton, whatever the benchmark's size.
@@ -35,8 +37,8 @@ from candlespark.llm.common import cut, fresh_name, map_arrow, shared_path, with
 WINDOW = 13
 #: Contaminated: hit words times this reach the words of the document.
 SHARE = 20
-#: Words of items that one automaton holds.
-GROUP_WORDS = 200_000
+#: Words and ids of items that one automaton holds, and those of one stretch of an item.
+GROUP_WORDS, STRETCH_WORDS, STRETCH_IDS = 200_000, 20_000, 20_000
 
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -50,26 +52,42 @@ class Automaton:
     """Generalised suffix automaton of word sequences, with the items whose windows end in each state."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
+        """``items``: (id or frozenset of ids, words) each."""
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[tuple[int, object, int]] = []
+        ends: list[tuple[int, frozenset, int]] = []
         for item, words in items:
+            ids = item if isinstance(item, frozenset) else frozenset([item])
             codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             last = 0
             for k, c in enumerate(codes):
                 last = self._extend(last, c)
                 if k + 1 >= window:
-                    ends.append((last, item, window))
+                    ends.append((last, ids, window))
             if codes and len(codes) < window:
-                ends.append((last, item, len(codes)))
+                ends.append((last, ids, len(codes)))
         self.shortest = min((n for _, _, n in ends), default=0)
-        self.windows: dict[int, dict[object, int]] = {}
-        for state, item, n in ends:  # the window itself ends in the ancestor that covers its length
-            while self.length[self.link[state]] >= n:
-                state = self.link[state]
-            self.windows.setdefault(state, {})[item] = n
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        #: the ancestor that covers the length of a window, of each state
+        holds = list(range(len(self.length)))
+        for q in by_length:
+            if self.length[self.link[q]] >= window:
+                holds[q] = holds[self.link[q]]
+        found: dict[int, dict[int, dict[frozenset, None]]] = {}
+        for state, ids, n in ends:
+            if n == window:
+                state = holds[state]
+            else:
+                while self.length[self.link[state]] >= n:  # fewer than a window's words, so a short way
+                    state = self.link[state]
+            found.setdefault(state, {}).setdefault(n, {})[ids] = None
+        self.windows: dict[int, list[tuple[int, list[frozenset]]]] = {q: [(n, list(sets)) for n, sets in sizes.items()] for q, sizes in found.items()}
+        #: the next state up the links, the state itself included, that has windows; -1 if none has
+        self.bearer = [-1] * len(self.length)
+        for q in by_length:
+            self.bearer[q] = q if q in self.windows else self.bearer[self.link[q]]
 
     def _extend(self, last: int, c: int) -> int:
         step, link, length = self.step, self.link, self.length
@@ -100,9 +118,9 @@ class Automaton:
         self.link[q] = copy
         return copy
 
-    def matches(self, codes: list[int]) -> Iterator[tuple[int, int, dict[object, int]]]:
-        """(end, length, items) of every occurring window; a code below 0 is a word of no item."""
-        step, link, length, windows = self.step, self.link, self.length, self.windows
+    def matches(self, codes: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(end, length, state, number) of every occurring window, the latter two for :meth:`items`; a code below 0 is a word of no item."""
+        step, link, length, windows, bearer = self.step, self.link, self.length, self.windows, self.bearer
         state, size = 0, 0
         for k, c in enumerate(codes, 1):
             while state and c not in step[state]:
@@ -112,18 +130,16 @@ class Automaton:
             if nxt is None:
                 continue
             state, size = nxt, size + 1
-            at = state
+            at = bearer[state]
             while at > 0:
-                if at in windows:
-                    by_size: dict[int, dict[object, int]] = {}
-                    for item, n in windows[at].items():
-                        if n <= size:
-                            by_size.setdefault(n, {})[item] = n
-                    for n, items in by_size.items():
-                        yield k, n, items
-                at = link[at]
-                if length[at] < self.shortest:
-                    break
+                for number, (n, _) in enumerate(windows[at]):
+                    if n <= size:
+                        yield k, n, at, number
+                at = bearer[link[at]]
+
+    def items(self, state: int, number: int) -> list[frozenset]:
+        """Sets of the ids of the items that have a window."""
+        return self.windows[state][number][1]
 
 
 @dataclass(frozen=True)
@@ -144,14 +160,31 @@ def build(benchmark: DataFrame, text: str = "text", item: str = "item_id", windo
     words = rows.agg(F.sum(F.size(F.split(F.col("text"), "[\\x00-/:-`{-\\x7f]+")).cast("long"))).first()[0] or 0
     if words <= GROUP_WORDS:
         return [Automaton([(r["item"], words_of(r["text"].encode("utf-8", "surrogatepass"))) for r in rows.toLocalIterator()], window)]
-    parts = -(-5 * words // (4 * GROUP_WORDS))
     path = shared_path(benchmark.sparkSession, "automata")
+    size = STRETCH_WORDS
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column("text").cast(pa.large_binary())):
+                item, words = batch.column("item").slice(k, 1), words_of(text.as_py())
+                for start in range(0, max(1, len(words) - window + 1) if words else 0, size - window + 1):
+                    part = words[start : start + size]
+                    yield pa.RecordBatch.from_arrays([item, pa.array([b" ".join(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["item", "words", "n"])
+
+    cut_up = map_arrow(rows.select("item", "text"), stretches, "item string, words binary, n long").distinct()
+    cut_up = cut(cut_up.withColumn("h", F.xxhash64("words")))
+    many = cut_up.groupBy("h").agg(F.count("*").alias("ids"))
+    slices = F.ceil(F.col("ids") / STRETCH_IDS).cast("long")
+    spread = cut_up.join(many, "h").withColumn("slice", F.pmod(F.xxhash64("item", F.lit(3)), slices))
+    sets = cut(spread.groupBy("h", "slice", "words").agg(F.first("n").alias("n"), F.collect_list("item").alias("items")))
+    weight = sets.agg(F.sum(F.col("n") + F.size("items"))).first()[0] or 0
+    parts = max(1, -(-5 * weight // (4 * GROUP_WORDS)))
 
     def machine(table: pa.Table) -> pa.Table:
-        items = [(i, words_of(t.encode("utf-8", "surrogatepass"))) for i, t in zip(table["item"].to_pylist(), table["text"].to_pylist())]
+        items = [(frozenset(i), w.split()) for i, w in zip(table["items"].to_pylist(), table["words"].to_pylist())]
         return pa.table({"part": table["part"].slice(0, 1), "machine": pa.array([pickle.dumps(Automaton(items, window))], pa.binary())})
 
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
+    dealt = sets.withColumn("part", F.pmod(F.xxhash64("h", "slice"), F.lit(parts)).cast("int")).select("part", "words", "items")
     dealt.groupBy("part").applyInArrow(machine, "part int, machine binary").write.parquet(path)
     return Groups(path, parts)
 
@@ -175,14 +208,16 @@ def scan(text: bytes, automata: list[Automaton]) -> tuple[int, np.ndarray, set]:
     for a in automata:
         if not a.windows or len(words) < a.shortest:
             continue
+        seen: set[tuple[int, int]] = set()
         codes = np.fromiter(map(a.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         known = np.flatnonzero(np.diff(np.concatenate([[0], (codes >= 0).view(np.int8), [0]])))
         for start, stop in zip(known[::2].tolist(), known[1::2].tolist()):
             if stop - start >= a.shortest:  # no window fits into a shorter run of known words
-                for end, n, found in a.matches(codes[start:stop].tolist()):
+                for end, n, *where in a.matches(codes[start:stop].tolist()):
                     hit[start + end - n] += 1
                     hit[start + end] -= 1
-                    items.update(found)
+                    seen.add(tuple(where))
+        items.update(*(ids for state, number in seen for ids in a.items(state, number)))
     return len(words), np.cumsum(hit[:-1]) > 0, items
 
 
@@ -230,7 +265,6 @@ def scan_contamination(docs: DataFrame, index: Index, text: str = "text", keep:
 
 
 
-
 def _with_hits(docs: DataFrame, groups: Groups, text: str) -> tuple[DataFrame, str]:
     """``docs`` as written once, with a column of the spans of hit words and the items that all groups found (null: nothing), and its name."""
     spark, row, name = docs.sparkSession, fresh_name(docs.columns, "__row"), fresh_name(docs.columns, "__hits")

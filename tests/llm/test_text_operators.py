@@ -626,3 +626,45 @@ def test_long_texts_are_told_as_whole_ones_and_labels_are_bounded(spark, monkeyp
     rows = [(k, stock[k % 3], ["en", "de", "fr"][k % 3]) for k in range(30)] + [(100 + k, stock[k % 2], ["en", "de"][k % 2]) for k in range(4)]
     bounded = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(x for family in bounded.members for x in family) == ["de", "en"]
+
+
+def test_long_and_repeated_items_are_cut_into_bounded_automata(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from candlespark.llm import decontaminate
+    from tests.llm.conftest import prose
+
+    for name, value in (("GROUP_WORDS", 120), ("STRETCH_WORDS", 40), ("STRETCH_IDS", 5)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(49)
+    long, often = prose(rng, 500), prose(rng, 20)
+    items = [(1, long), (2, "w " * 200), (3, "a b c"), (4, None), (5, "..")] + [(100 + k, often) for k in range(60)]
+    words = long.split()
+    texts = [" ".join(words[a : a + n]) for a, n in ((0, 13), (35, 20), (27, 26), (480, 20), (100, 12))] + [long, "w " * 50, often + " x " + prose(rng, 30), "z a b c z", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontaminate.build(spark.createDataFrame(items, "item_id long, text string"))
+    assert isinstance(index, decontaminate.Groups) and index.count > 5
+    rows = spark.read.parquet(index.path).select(F.length("machine").alias("n")).collect()
+    assert len(rows) > 5
+    got = sorted(decontaminate.scan_contamination(docs, index, keep=["doc_id"]).collect())
+    want = []
+    for k, t in enumerate(texts):
+        n, h, found = _brute_hits(t, items)
+        want.append((k, n, h, len(found), __import__("hashlib").sha256(",".join(sorted(found)).encode()).hexdigest(), h > 0 and 20 * h >= n))
+    assert [tuple(r) for r in got] == want
+
+
+def test_equal_words_take_linear_time():
+    import time
+
+    from candlespark.llm import decontaminate
+
+    taken = []
+    for n in (2000, 16_000):
+        began = time.process_time()
+        a = [decontaminate.Automaton([("1", [b"w"] * n)])]
+        assert decontaminate.scan(b"w " * 20_000, a)[1].all()
+        taken.append(time.process_time() - began)
+    assert taken[1] < 4 * taken[0] + 1
