@@ -5,8 +5,9 @@ split at the distributed weighted median (for odd k: the k//2 : k - k//2 quantil
 along its widest metadata dimension, until every node is one shard of the target bytes.
 
 Dimensions are scaled to 30 bits: text length (by logarithm), id, and hashes of source and
-language. A split key is the coordinate with 32 bits of a row hash below it, so a value that a
-third of all rows share is cut inside. Quantiles are found by histogram refinement: each pass
+language. A split key is the coordinate with 32 bits of a hash of id and text below it, so a value that a
+third of all rows share is cut inside. Where a split falls on one key that many rows have, which repeat each other, it is
+refined by a hash of the row's number as written. Quantiles are found by histogram refinement: each pass
 counts bytes in ``BINS`` bins of every node's open interval. What reaches the driver is bins and
 bounds of nodes, bounded by the number of shards; rows are never moved to find a split.
 """
@@ -40,6 +41,9 @@ class _Node:
     goal: float = 0.0
     below: int = 0
     split: int | None = None
+    #: the key inside which the split lies, if one key alone is too heavy, and the first row hash that goes right there
+    inside: int | None = None
+    sub: int = 0
 
 
 def _metadata(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -56,6 +60,7 @@ def _metadata(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         (F.xxhash64(F.col(id_col).cast("string"), raw).bitwiseAND(F.lit(0xFFFFFFFF))).alias("tie"),
         (F.log2(F.length(raw) + F.lit(1)) / 31 * SCALE).cast("long").alias("d0"),
         place.alias("place"),
+        F.monotonically_increasing_id().alias("row"),  # read as written: the table is cut at once
         *(F.shiftright(h, 2).alias(f"d{k}") for k, h in enumerate(hashes, 2)),
     )
 
@@ -65,6 +70,11 @@ def _by_node(values: list[int]) -> F.Column:
     return F.get(F.lit(values), F.col("node"))
 
 
+def _sub() -> F.Column:
+    """A hash of the row, 62 bits, below the split key."""
+    return F.shiftrightunsigned(F.xxhash64("row"), 2)
+
+
 def _key(nodes: list[_Node], dims: int) -> F.Column:
     """The split key along the dimension of the row's node."""
     coordinate = F.get(F.array(*(f"d{d}" for d in range(dims))), _by_node([n.dim for n in nodes]))
@@ -76,7 +86,7 @@ def kd_tree_shards(docs: DataFrame, shards: int = 40, text: str = "text", id_col
 
     The law is ``bytes``: shards differ from total / shards by about the largest row along
     their splits. A null text has no bytes (size 16); null metadata is a value of its own;
-    repeated rows share their split key and stay together; with fewer rows than shards some
+    repeated rows share their split key and are parted by their numbers as written, so any number of them is cut; with fewer rows than shards some
     shards stay empty; an empty table gives an empty table. Columns source and lang are used if
     present, other columns are not read.
     """
@@ -99,10 +109,11 @@ def kd_tree_shards(docs: DataFrame, shards: int = 40, text: str = "text", id_col
             n.low, n.high = r[f"low{n.dim}"] << 32, (r[f"high{n.dim}"] << 32) + 0xFFFFFFFF
             n.goal = r["bytes"] * (n.leaves // 2) / n.leaves
         _find_splits(rows, nodes, dims, TOLERANCE * target)
-        goes_right = (_key(nodes, dims) >= _by_node([n.split for n in nodes])).cast("int")
+        key, at = _key(nodes, dims), _by_node([n.split for n in nodes])
+        goes_right = ((key > at) | (key == at) & (_sub() >= _by_node([n.sub for n in nodes]))).cast("int")
         rows = cut(rows.withColumn("node", F.col("node") * 2 + goes_right))  # or the key expressions of all levels would nest
         nodes = [child for n in nodes for child in _children(n)]
-    placed = rows.select("id", "size", "text_crc32", "tie", _by_node([n.first for n in nodes]).alias("shard"))
+    placed = rows.select("id", "size", "text_crc32", "tie", "row", _by_node([n.first for n in nodes]).alias("shard"))
     return _numbered(placed, shards, total[3]).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -115,29 +126,34 @@ def _children(n: _Node) -> tuple[_Node, _Node]:
 
 
 def _find_splits(rows: DataFrame, nodes: list[_Node], dims: int, tolerance: float) -> None:
-    """Give every open node its split: the first key that goes right."""
+    """Give every open node its split: the first key that goes right, and of a key that is cut inside the first row hash."""
     while any(n.split is None for n in nodes):
         step = [-(-(n.high - n.low + 1) // BINS) if n.split is None else 1 for n in nodes]
         low, high = ([v if n.split is None else v2 for n, v, v2 in ((n, getattr(n, name), other) for n in nodes)] for name, other in (("low", 1), ("high", 0)))
-        key = _key(nodes, dims)
+        key, cut_inside = _key(nodes, dims), [n.inside if n.inside is not None else -1 for n in nodes]
+        if max(cut_inside) >= 0:
+            key = F.when(_by_node(cut_inside) < 0, key).when(key == _by_node(cut_inside), _sub())
         inside = (key >= _by_node(low)) & (key <= _by_node(high))
         bin_of = F.when(inside, F.call_function("div", key - _by_node(low), _by_node(step)))
         bins: dict[int, list] = {}
-        for r in rows.groupBy("node", bin_of.alias("bin")).agg(F.sum("size").alias("bytes")).collect():
+        for r in rows.groupBy("node", bin_of.alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect():
             if r["bin"] is not None:
-                bins.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
+                bins.setdefault(r["node"], []).append((r["bin"], r["bytes"], r["rows"]))
         for k, n in enumerate(nodes):
             if n.split is not None:
                 continue
             below, found = n.below, sorted(bins.get(k, []))
             if not found:
-                n.split = n.low
-            for b, size in found:
-                if below + size >= n.goal or (b, size) == found[-1]:
+                n.split = n.low if n.inside is None else n.inside
+            for b, size, count in found:
+                if below + size >= n.goal or b == found[-1][0]:
                     start = n.low + b * step[k]
                     short, over = n.goal - below, below + size - n.goal
-                    if min(abs(short), abs(over)) <= tolerance or step[k] == 1:
-                        n.split = start if abs(short) <= abs(over) else start + step[k]
+                    if min(abs(short), abs(over)) <= tolerance or step[k] == 1 and (n.inside is not None or count == 1):
+                        where = start if abs(short) <= abs(over) else start + step[k]
+                        n.split, n.sub = (where, 0) if n.inside is None else (n.inside, where)
+                    elif step[k] == 1:  # many rows with one key, too heavy together
+                        n.inside, n.low, n.high, n.below = start, 0, (1 << 62) - 1, below
                     else:
                         n.low, n.high, n.below = start, min(n.high, start + step[k] - 1), below
                     break
@@ -147,9 +163,9 @@ def _find_splits(rows: DataFrame, nodes: list[_Node], dims: int, tolerance: floa
 def _numbered(rows: DataFrame, shards: int, count: int) -> DataFrame:
     """``slot``: a row's number in its shard. A shard is numbered in parts, which begin where the parts before them end."""
     parts = max(MIN_PARTS, count // (shards * PART_ROWS))
-    cutup = rows.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(parts)))
+    cutup = rows.withColumn("part", F.pmod(F.xxhash64("tie", "row"), F.lit(parts)))
     sizes = cutup.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "part").orderBy("tie", "id")
+    within = Window.partitionBy("shard", "part").orderBy("tie", "id", "row")
     return cutup.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["shard", "part"]).withColumn("slot", (F.col("start") + F.col("rank")).cast("long"))

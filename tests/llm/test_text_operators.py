@@ -388,8 +388,23 @@ def test_shards(spark, docs, corpus):
     texts = dict(corpus)
     assert len(few) == len(corpus) and all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in few)
     assert sharding.kd_tree_shards(docs.limit(0), 7).count() == 0
+    # repeated rows are parted too: the law is equal sizes
     same = spark.createDataFrame([(5, "x")] * 50, "doc_id long, text string")
-    assert len({r["shard"] for r in sharding.kd_tree_shards(same, 4).collect()}) == 1
+    assert sorted(Counter(r["shard"] for r in sharding.kd_tree_shards(same, 4).collect()).values()) == [12, 12, 13, 13]
+
+
+def test_half_of_the_rows_one_repeated_row(spark):
+    rng = random.Random(52)
+    hot = prose(rng, 50)
+    rows = [(7, hot)] * 2000 + [(100 + k, prose(rng, rng.randint(40, 60))) for k in range(2000)]
+    out = sharding.kd_tree_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 40).collect()
+    size, slots = Counter(), {}
+    for r in out:
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    biggest, mean = max(r["size"] for r in out), sum(size.values()) / 40
+    assert len(out) == 4000 and len(size) == 40 and all(abs(n - mean) <= biggest for n in size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def _plain_tree(points: list[dict], leaves: int, first: int, out: dict) -> None:
