@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType, StructType
 
-from candlespark.llm.common import map_arrow, shared_path
+from candlespark.llm.common import bucketed, map_arrow
 
 PACK_BYTES = 32 << 20
 #: Most buckets of packs, as Spark allows.
@@ -367,17 +367,6 @@ def _join_back(rows: pa.Table, answers: pa.Table, kept: list[str], kinds: dict[s
     return pa.table({c: rows[c] for c in kept} | {k: made[k] for k in kinds})
 
 
-def _bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """``df`` as written to the shared folder, bucketed by ``column``, so that grouping by it needs no shuffle."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, "bpe-packs")
-    name = f"spark_catalog.default.{path.rsplit('/', 1)[1].replace('-', '_')}"
-    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name, format="parquet")
-    out = spark.table(name)
-    out.schema  # noqa: B018  resolves the files, so that the catalog need not keep the name
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: list[str] | None = None, ids: bool = True) -> DataFrame:
     """The ``keep`` columns (default: all) with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids``.
 
@@ -404,7 +393,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: list[
     schema = source.select(*kept).schema
     schema = StructType([*schema, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, (kind, _) in _PACK.items()))])
     split = map_arrow(source, lambda batches: _split(batches, kept, buckets, shared.value, PACK_BYTES), schema)
-    packs = _bucketed(split, "pack", max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PACK_BUCKETS, 2 * n_bytes // PACK_BYTES)))
+    packs = bucketed(split, "pack", max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PACK_BUCKETS, 2 * n_bytes // PACK_BYTES)), "bpe-packs")
     sent = packs.where("sent IS NOT NULL").select("pack", F.explode("sent").alias("s")).select("pack", "s.bucket", "s.n", "s.size", "s.words")
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
     answers = map_arrow(sent, lambda batches: _encode_buckets(batches, shared.value), "pack long, bucket int, n int, m long, counts binary, ids binary")

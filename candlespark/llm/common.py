@@ -76,6 +76,20 @@ def with_rows(df: DataFrame, name: str = "__row") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """``df`` as written to the shared folder, bucketed by ``column``, so that grouping by it needs no shuffle.
+
+    Only tables can be bucketed: for the time of the write the catalog has one of a name of its own, so ``spark_catalog.default`` must be writable.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    table = f"spark_catalog.default.{path.rsplit('/', 1)[1].replace('-', '_')}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolves the files, so that the catalog need not keep the name
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, and workers that give freed memory back when a task ends.
 

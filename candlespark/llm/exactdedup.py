@@ -1,11 +1,13 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-1. Every partition hashes its normalised texts, cuts the hashes to fingerprints, sorts them and
+1. Every sender (a partition, or as many as have ``MESSAGE_TEXTS`` texts for each owner) hashes its normalised
+   texts, cuts the hashes to fingerprints, sorts them and
    sends each owner (a range of fingerprints) its part, Golomb-Rice coded: about ``SLACK`` + 2
    bits a text instead of 64.
-2. An owner merges what it got and answers every partition with a bitmap: which of the sent
-   fingerprints another partition has too.
-3. A text whose fingerprint nobody else has is unique; nothing of it moves. Suspects alone are
+2. An owner merges what it got and answers every sender with a bitmap: which of the sent
+   fingerprints another sender has too. Ids and hashes stay where they are: they are written bucketed by sender,
+   so that the bitmaps come to them.
+3. A text whose fingerprint nobody else has is unique; nothing of it is shuffled. Suspects alone are
    shuffled, as whole normalised texts, and compared byte by byte: they are grouped by the text
    itself after a map-side pre-aggregation, so a group of copies of any size arrives as one row
    from each task.
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespark.llm.common import ascii_lower, cut, map_arrow, screened
+from candlespark.llm.common import ascii_lower, bucketed, cut, screened
 
 #: Fingerprint bits beyond log2 of the number of texts: a unique text is a false suspect with probability 2**-SLACK at most.
 SLACK = 12
-#: Texts that one owner is to handle, and the least number of owners.
-OWNER_TEXTS, MIN_OWNERS = 1 << 20, 64
+#: Texts that one owner is to handle, the least number of owners, and texts that a message to one holds on average at least.
+OWNER_TEXTS, MIN_OWNERS, MESSAGE_TEXTS = 1 << 22, 64, 64
 
 
 def rice_encode(values: np.ndarray, low_bits: int) -> tuple[bytes, bytes]:
@@ -58,6 +60,13 @@ def _layout(rows: int) -> tuple[int, int]:
     return owner_bits, max(8, int(rows).bit_length() + SLACK - owner_bits)
 
 
+def _senders(rows: int, parts: int, owner_bits: int) -> tuple[int, int]:
+    """(partitions of a sender, senders): so many that a message has enough texts to be coded, but at least eight senders where there are partitions."""
+    share = -(-((MESSAGE_TEXTS << owner_bits) * parts) // max(1, rows))
+    share = max(1, min(share, parts // 8))
+    return share, max(1, -(-parts // share))
+
+
 def _low_bits(bits: int, n: int) -> int:
     """Remainder bits that suit ``n`` sorted values among 2**bits."""
     return max(0, bits - max(1, n).bit_length())
@@ -83,27 +92,21 @@ def duplicate_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     """
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     hashed = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    narrow = cut(hashed.select("id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), F.spark_partition_id().alias("part")))
-    owner_bits, bits = _layout(narrow.count())
-
-    # 1: partitions to owners. A partition of the checkpoint is one sender, named by ``part``.
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            if b.num_rows:
-                hashes.setdefault(b.column("part")[0].as_py(), []).append(b.column("h").to_numpy(zero_copy_only=False))
-        if not hashes:
-            return
-        if len(hashes) > 1:
-            raise RuntimeError("a checkpointed partition holds rows of several senders")
-        [(part, found)] = hashes.items()
-        rows = [(o, part, len(v), *rice_encode(v, _low_bits(bits, len(v)))) for o, v, _ in _parts(np.concatenate(found), owner_bits, bits)]
-        kinds = {"owner": pa.int32(), "part": pa.int32(), "n": pa.int32(), "unary": pa.binary(), "rest": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
-
-    messages = map_arrow(narrow.select("part", "h"), send, "owner int, part int, n int, unary binary, rest binary")
-
-    # 2: owners to partitions: a bit for each fingerprint, set where another partition has it too
+    sizes = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).agg(F.count("*").alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    owner_bits, bits = _layout(sizes["rows"])
+    share, senders = _senders(sizes["rows"], sizes["parts"], owner_bits)
+    sender = F.floor(F.spark_partition_id() / F.lit(share)).cast("int")
+    narrow = bucketed(hashed.select("id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), sender.alias("part")), "part", senders, "fingerprints")
+
+    # 1: senders to owners
+    def send(table: pa.Table) -> pa.Table:
+        rows = [(o, len(v), *rice_encode(v, _low_bits(bits, len(v)))) for o, v, _ in _parts(table["h"].to_numpy(), owner_bits, bits)]
+        kinds = {"owner": pa.int32(), "n": pa.int32(), "unary": pa.binary(), "rest": pa.binary()}
+        return pa.table([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())), pa.repeat(table["part"][0], len(rows))], [*kinds, "part"])
+
+    messages = narrow.select("part", "h").groupBy("part").applyInArrow(send, "owner int, n int, unary binary, rest binary, part int")
+
+    # 2: owners to senders: a bit for each fingerprint, set where another sender has it too
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         got = [rice_decode(r["unary"], r["rest"], r["n"], _low_bits(bits, r["n"])) for r in rows]
@@ -114,7 +117,7 @@ def duplicate_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id
 
     bitmaps = messages.groupBy("owner").applyInArrow(answer, "owner int, part int, marks binary")
 
-    # each partition reads its bitmaps
+    # each sender reads its bitmaps
     def mark(rows: pa.Table, maps: pa.Table) -> pa.Table:
         h = rows["h"].to_numpy()
         marks = dict(zip(maps["owner"].to_pylist(), maps["marks"].to_pylist()))
@@ -135,8 +138,8 @@ def duplicate_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     held = marked.where("suspect").select("h")
     suspects = screened(hashed.select("norm", "id", F.xxhash64("norm").alias("h")), held, "h", held.count())
     classes = suspects.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    classes = classes.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
+    classes = classes.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     alone = marked.where("not suspect").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     found = marked.where("suspect").join(classes, ["h", "sha"]).select("id", "sha", "keep_id", "group_size")
     both = alone.unionByName(found)
-    return both.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return both.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

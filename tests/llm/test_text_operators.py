@@ -683,3 +683,29 @@ def test_equal_words_take_linear_time():
         assert decontaminate.scan(b"w " * 20_000, a)[1].all()
         taken.append(time.process_time() - began)
     assert taken[1] < 4 * taken[0] + 1
+
+
+def test_senders_bound_the_messages_of_exact_dedup(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from candlespark.llm import exactdedup
+    from tests.llm.conftest import prose
+
+    # 10^11 texts in partitions of 40,000: a message still codes many texts, and a sender's are few enough for a task
+    rows, parts = 10**11, 10**11 // 40_000
+    owner_bits, _ = exactdedup._layout(rows)
+    share, senders = exactdedup._senders(rows, parts, owner_bits)
+    assert rows / senders / 2**owner_bits >= exactdedup.MESSAGE_TEXTS and share * 40_000 < 5_000_000
+    assert exactdedup._senders(250_000, 32, 6) == (1, 32) and exactdedup._senders(0, 0, 6) == (1, 1)
+    monkeypatch.setattr(exactdedup, "OWNER_TEXTS", 4)  # 256 owners for 1,000 texts
+    rng = random.Random(53)
+    texts = [prose(rng, 4) for _ in range(300)]
+    docs = [(k, rng.choice(texts).upper() if k % 2 else rng.choice(texts)) for k in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(24)
+    out = exactdedup.duplicate_classes(df)
+    groups, keep = Counter(t.lower() for _, t in docs), {}
+    for k, t in docs:
+        keep[t.lower()] = max(k, keep.get(t.lower(), k))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in out.collect()}
+    assert got == {k: (keep[t.lower()], groups[t.lower()]) for k, t in docs}
