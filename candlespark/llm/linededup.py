@@ -4,8 +4,9 @@
    id and ``ROWS * BANDS`` MinHashes of their distinct ``SHINGLE``-character shingles. With 12
    bands of 4 rows a pair of similarity 0.8 shares a band with probability 0.998, of 0.9 with
    1 - 6e-6. Copies of a line are one line from here on.
-2. Band keys travel as sorted arrays, one compressed row for each piece of text and range of
-   keys, never as a row each. A range finds the buckets with two or more lines; a set of lines
+2. Band keys travel as sorted arrays, a row for each ``HELD_KEYS`` of a task and range of
+   keys, never as a row each: beyond ``FAN`` ranges they go to groups of ranges first, where those of many tasks are
+   brought together before they go on to their ranges, so a row has some hundred keys whatever the number of ranges. A range finds the buckets with two or more lines; a set of lines
    that shares several bands is one bucket.
 3. The lines of buckets, and only those, are shuffled and compared. Within a bucket a
    breadth-first search over the lines not yet reached computes exact Jaccard similarities, so
@@ -17,10 +18,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ THRESHOLD = 0.8
 LEAST_BLOCK, BLOCK, BLOCKS = 256, 16384, 16
 #: Bytes of text for each range of band keys, and the least number of ranges.
 RANGE_BYTES, MIN_RANGES = 8 << 20, 64
+#: Band keys that a task sends together, ranges that it sends to at most, and bytes of text whose keys one task brings together between.
+HELD_KEYS, FAN, GROUP_BYTES = 1 << 21, 4096, 8 << 20
 #: Lines whose similarities are computed together, where buckets are smaller.
 VERIFY_LINES = 2000
 
@@ -162,21 +167,42 @@ def _distinct(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[dict[byt
                 yield found
 
 
+def _messages(held: list[tuple[np.ndarray, np.ndarray]], ranges: int, width: int, salt: int) -> list[pa.RecordBatch]:
+    """Sorted (keys, ids) for each range, or group of ``width`` ranges, that has any."""
+    if not held:
+        return []
+    keys, ids = (np.concatenate(x) for x in zip(*held))
+    place = (keys % np.uint64(ranges)).astype(np.int64) // width
+    order = np.lexsort((keys, place))
+    begin = np.flatnonzero(np.diff(place[order], prepend=-1))
+    rows = np.split(order, begin[1:])
+    columns = [pa.array(place[order[begin]], pa.int32()), pa.array(np.full(len(rows), salt, np.int32)), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([ids[r].tobytes() for r in rows], pa.binary())]
+    return [pa.RecordBatch.from_arrays(columns, ["range", "salt", "keys", "ids"])]
+
+
 def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): ids of linked different lines, a spanning set of all links that the bands bring together."""
     source = docs.select(text)
-    ranges = max(MIN_RANGES, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES)
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = max(MIN_RANGES, n_bytes // RANGE_BYTES)
+
+    wide = ranges > FAN
+    width = math.ceil(math.sqrt(ranges)) if wide else 1  # ranges of a group
+    salts = max(1, n_bytes * width // (ranges * GROUP_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() % salts
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for found in _distinct(batches, text):
-            keys = band_keys(list(found.values())).ravel()
-            ids = np.repeat(_short(list(found)), BANDS)
-            place = (keys % np.uint64(ranges)).astype(np.int64)
-            order = np.lexsort((keys, place))
-            at = np.searchsorted(place[order], np.arange(ranges + 1))
-            full = np.flatnonzero(np.diff(at))
-            rows = [order[at[r] : at[r + 1]] for r in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([ids[r].tobytes() for r in rows], pa.binary())], ["range", "keys", "ids"])
+            held.append((band_keys(list(found.values())).ravel(), np.repeat(_short(list(found)), BANDS)))
+            if sum(len(k) for k, _ in held) >= HELD_KEYS:
+                yield from _messages(held, ranges, width, salt)
+                held = []
+        yield from _messages(held, ranges, width, salt)
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        held = [tuple(np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("ids", np.int64)))]
+        return pa.Table.from_batches(_messages(held, ranges, 1, 0))
 
     def buckets(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
@@ -196,7 +222,10 @@ def line_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
         kinds = {"bucket": pa.int64(), "blocks": pa.int32(), "block": pa.int32(), "members": pa.binary()}
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds.values())], list(kinds))
 
-    sent = map_arrow(source, send, "range int, keys binary, ids binary")
+    message = "range int, salt int, keys binary, ids binary"
+    sent = map_arrow(source, send, message)
+    if wide:
+        sent = sent.groupBy("range", "salt").applyInArrow(pass_on, message)
     # equal sets of lines are one bucket, whatever bands they share; two sets of one name would only be compared together
     found = cut(sent.groupBy("range").applyInArrow(buckets, "bucket long, blocks int, block int, members binary").distinct())
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))

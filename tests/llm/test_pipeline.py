@@ -78,7 +78,7 @@ def test_one_row_of_each_near_duplicate_group_stays(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 11)} and set(oracle_sql()) <= set(queries())
+    assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 14)} and set(oracle_sql()) <= set(queries())
 
 
 def test_the_rest_imports_without_this_part(tmp_path):

@@ -709,3 +709,29 @@ def test_senders_bound_the_messages_of_exact_dedup(spark, monkeypatch):
         keep[t.lower()] = max(k, keep.get(t.lower(), k))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in out.collect()}
     assert got == {k: (keep[t.lower()], groups[t.lower()]) for k, t in docs}
+
+
+def test_line_keys_go_in_two_steps_to_many_ranges(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from candlespark.llm import linededup
+    from tests.llm.conftest import prose
+
+    rng = random.Random(54)
+    lines = [prose(rng, 14) for _ in range(60)]
+    texts = [(k, "\n".join(rng.choice(lines) + rng.choice(["", "", " x"]) for _ in range(rng.randint(0, 6)))) for k in range(80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, linededup.classify_lines(df).select("doc_id", "line_no", "keep_id", "keep_line_no").collect()))
+    for name, value in (("RANGE_BYTES", 10), ("FAN", 100), ("GROUP_BYTES", 300), ("HELD_KEYS", 500)):
+        monkeypatch.setattr(linededup, name, value)
+    got = sorted(map(tuple, linededup.classify_lines(df).select("doc_id", "line_no", "keep_id", "keep_line_no").collect()))
+    assert got == want
+    # a million ranges: a task's two million keys are a thousand rows on the way to groups, and again to ranges
+    keys = np.random.default_rng(1).integers(0, 2**63, 1 << 21).astype(np.uint64)
+    [sent] = linededup._messages([(keys, keys.view(np.int64))], 1_000_000, 1000, 0)
+    assert sent.num_rows == 1000
+    group = keys[keys % np.uint64(1_000_000) // np.uint64(1000) == 7]
+    [onward] = linededup._messages([(group, group.view(np.int64))], 1_000_000, 1, 0)
+    assert onward.num_rows <= 1000 and set(onward.column("range").to_pylist()) <= set(range(7000, 8000))
