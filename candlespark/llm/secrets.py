@@ -20,7 +20,9 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,6 +153,13 @@ def _wrapped_spans(raw: bytes) -> Iterator[tuple[str, int, int]]:
                 done = runs[-2][1]  # the inside of a block of another kind
 
 
+def _covers(spans: list[tuple[int, int]]) -> Callable[[int], bool]:
+    """Whether a place lies in one of the spans, by binary search."""
+    spans = sorted(spans)
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    return lambda at: bool(k := bisect_right(starts, at)) and at < reach[k - 1]
+
+
 def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes of every base and structural secret of a UTF-8 text."""
     found: list[tuple[str, int, int]] = []
@@ -171,11 +180,12 @@ def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
             if kind := _confirmed(_from_base64(re.sub(rb"\s+", b"", m[2]))):
                 found.append((kind, *m.span()))
                 armoured.append(m.span())
-    wrapped = [x for x in _wrapped_spans(raw) if not any(s <= x[1] < e for s, e in armoured)]
+    within = _covers(armoured)
+    wrapped = [x for x in _wrapped_spans(raw) if not within(x[1])]
     found += wrapped
-    armoured += [x[1:] for x in wrapped]
+    within = _covers(armoured + [x[1:] for x in wrapped])
     for m in _BASE64.finditer(raw):
-        if not any(s <= m.start() < e for s, e in armoured) and (kind := _confirmed(_from_base64(m[0]))):
+        if not within(m.start()) and (kind := _confirmed(_from_base64(m[0]))):
             found.append((kind, *m.span()))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[1], rank[x[0]], x[2]))

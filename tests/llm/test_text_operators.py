@@ -735,3 +735,15 @@ def test_line_keys_go_in_two_steps_to_many_ranges(spark, monkeypatch):
     group = keys[keys % np.uint64(1_000_000) // np.uint64(1000) == 7]
     [onward] = linededup._messages([(group, group.view(np.int64))], 1_000_000, 1, 0)
     assert onward.num_rows <= 1000 and set(onward.column("range").to_pylist()) <= set(range(7000, 8000))
+
+
+def test_covers_are_those_of_each_span():
+    import random
+
+    from candlespark.llm import secrets
+
+    rng = random.Random(55)
+    for _ in range(50):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 8)))]
+        within = secrets._covers(spans)
+        assert [within(x) for x in range(70)] == [any(s <= x < e for s, e in spans) for x in range(70)]
