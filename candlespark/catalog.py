@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from candlespark.adapters import candles_from_events, candles_from_orders
 from candlespark.duration import Duration
 from candlespark.functions import add_calendar_columns, day_of_week, second_of_day, second_of_week
-from candlespark.operators.annotations import annotate_windows, merge_intervals
+from candlespark.operators.annotations import annotate_windows
 from candlespark.operators.grid import ExplicitRange
 from candlespark.operators.indicators import CutlersRSI, LogVolumeRatio, PriceToMovingAverage, RelativeRange, add_indicator
 from candlespark.operators.phased import phased_lookback
 from candlespark.operators.quality import QualityMode, WindowQualityPolicy, apply_quality_policy, quality_report
 from candlespark.operators.returns import ReturnMethod, add_backward_returns, add_forward_excursions, add_forward_returns
 from candlespark.operators.windows import compute_ladder, compute_windows
-from candlespark.plans import log_spaced, metallic_horizons, metallic_lookback, metallic_recurrence, named_schedule, w_over_k
 from candlespark.sources.profile import SourceProfile, candle_profile
 from candlespark.sources.validation import find_gaps, validation_counts
 from candlespark.streaming import stream_windows
@@ -190,11 +189,6 @@ def _annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("open_time", "close_time", "src_count", F.array_join("annotation_flags", "|").alias("flags"), F.col("annotation_overlap_seconds").alias("overlap_seconds"))
 
 
-@_query("merge_intervals", f"WITH {_I}, {_U} SELECT s AS start, e AS \"end\" FROM u")
-def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_intervals(_sidecar(spark))
-
-
 _STEPS = "s AS (SELECT timestamp, timestamp - lag(timestamp) OVER (ORDER BY timestamp) AS diff FROM c)"
 
 
@@ -320,33 +314,6 @@ _indicator_query("logvolratio", LogVolumeRatio(), _P, 1, f"CASE WHEN volume IS N
 _indicator_query("mapos", PriceToMovingAverage(), _P, 0, f"CASE WHEN close IS NOT NULL THEN ln(close[1] / list_avg(close)) END")
 
 
-# --- schedules: parameters, so the rows are stated as values --------------------------------------
-
-_RATIO = math.sqrt(math.e + math.sqrt(5))
-# The published ladders that the generators must give.
-_METALLIC_MINUTES = (1, 3, 8, 21, 56, 146, 380, 993, 2590, 6758, 17632)
-
-
-@_query("schedule_windows", "SELECT * FROM (VALUES " + ", ".join(f"('metallic', {60 * m})" for m in _METALLIC_MINUTES) + ", " + ", ".join(f"('log_spaced', {s})" for s in (900, 2700, 9000, 27_900, 86_400)) + ", "
-        + ", ".join(f"('lookback', {n})" for n in (3, 8, 21)) + ", " + ", ".join(f"('horizon', {s})" for s in (8760, 22_800, 59_580)) + ", "
-        + ", ".join(f"('named', {60 * m})" for m in (1, 3, 7, 18, 47, 122, 318, 829, 2163, 5643, 14_723)) + ") v(schedule, member)")
-def _schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = {
-        "metallic": metallic_recurrence(coefficient=_RATIO, seed="1m", grain="1m", maximum="2w"),
-        "log_spaced": log_spaced(count=5, minimum="15m", maximum="1d", grain="15m"),
-        "lookback": metallic_lookback(coefficient=_RATIO, seed=1, grain=1, minimum=3, maximum=21),
-        "horizon": metallic_horizons(coefficient=_RATIO, seed="1m", grain="1m", minimum="2h26m", maximum="16h33m"),
-        "named": named_schedule("metallic-legacy-2025"),
-    }
-    return spark.createDataFrame([(k, n) for k, s in found.items() for n in s.members], "schedule string, member int")
-
-
-@_query("cadence_pairs", "SELECT w AS window_seconds, coalesce((SELECT max(a) FROM (VALUES (60), (300), (900), (3600), (14400)) m(a) WHERE a * 8 <= w), 60) AS emit_seconds FROM (VALUES " + ", ".join(f"({60 * m})" for m in _METALLIC_MINUTES) + ") v(w)")
-def _cadences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = w_over_k(metallic_recurrence(coefficient=_RATIO, seed="1m", grain="1m", maximum="2w"), divisor=8, allowed=["1m", "5m", "15m", "1h", "4h"], source_cadence="1m")
-    return spark.createDataFrame([(p.window.total_seconds, p.emit_every.total_seconds) for p in rule.pairs], "window_seconds int, emit_seconds int")
-
-
 def queries() -> dict[str, Query]:
     import candlespark.contracts  # noqa: F401  registers its queries
 

@@ -1,41 +1,35 @@
-"""Queries over readers, sidecars, snapshots, refusals and records: what the engine promises beside its frames.
+"""Queries over readers, sidecars, snapshots, schedules and specification forms: what the engine promises beside its frames.
 
-Those that read files write them first, to the folder that all machines share. Cases whose
-outcome is an error are rows (case, outcome); their SQL states the outcomes as values.
+Those that read files write them first, to the folder that all machines share.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlespark import catalog
-from candlespark.catalog import DAY0, INTERVALS, PRICES, RANGE, WINDOW
-from candlespark.columns import ROW, require_absent, require_types
-from candlespark.duration import Duration, coerce_duration, validate_cadence, validate_horizon_duration
-from candlespark.errors import bounded_echo, enum_member
-from candlespark.logs import get_logger
+from candlespark.adapters import epoch_seconds
+from candlespark.catalog import DAY0, PRICES, RANGE, WINDOW
+from candlespark.columns import ROW
+from candlespark.duration import Duration
 from candlespark.operators import annotations as notes
-from candlespark.operators.grid import ExplicitRange, resolve_schedule
-from candlespark.operators.indicators import CutlersRSI, FeatureIdentity, LogVolumeRatio, NormalizationClass, add_indicator, effective_history, effective_n
-from candlespark.operators.phased import phased_lookback
+from candlespark.operators.grid import resolve_schedule
 from candlespark.operators.quality import GateMode, QualityMode, WindowQualityPolicy, apply_quality_policy
 from candlespark.operators.reference import compute_reference_windows, phased_lookback_reference
-from candlespark.operators.returns import ReturnMethod, add_backward_returns, add_forward_excursions, require_total_grid
 from candlespark.operators.windows import compute_windows
-from candlespark.plans import CadenceRule, HorizonSchedule, LookbackSchedule, WindowSchedule, explicit, explicit_horizons, explicit_lookback, explicit_pairs, log_spaced
-from candlespark.sources.profile import BITSTAMP_BTCUSD_1M, ColumnKind, SourceProfile, candle_profile
+from candlespark.plans import log_spaced, metallic_horizons, metallic_lookback, metallic_recurrence, w_over_k
+from candlespark.sources.profile import candle_profile
 from candlespark.sources.reader import read_annotations, read_source_csv, scratch_folder
-from candlespark.sources.snapshot import AssetRecord, SnapshotManifest, SnapshotRelease, parse_manifest
+from candlespark.sources.snapshot import parse_manifest
 from candlespark.sources.snapshot.continuity import continuity_report
-from candlespark.sources.validation import ValidationMode, validate_source_frame
+from candlespark.sources.validation import FindingKind, SourceValidationError, ValidationMode, validate_source_frame
 
 _query = catalog._query
-_COLUMNS = "timestamp long, open double, high double, low double, close double, volume double"
 
 
 def _csv(df: DataFrame, header: bool = True) -> str:
@@ -47,37 +41,51 @@ def _csv(df: DataFrame, header: bool = True) -> str:
     return next(str(s.getPath()) for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if s.getPath().getName().endswith(".csv"))
 
 
-def _text(spark: SparkSession, text: str) -> str:
-    """The path of a new file with these bytes."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/text.csv")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(text.encode()))
-    out.close()
-    return path.toString()
-
-
-def _outcomes(spark: SparkSession, cases: dict[str, Callable[[], object]]) -> DataFrame:
-    """(case, outcome): the name of the error that a case ends with, or what it gives."""
-    found = []
-    for name, case in cases.items():
-        try:
-            found.append((name, str(case())))
-        except Exception as e:  # the outcome is the error
-            found.append((name, type(e).__name__))
-    return spark.createDataFrame(found, "case string, outcome string")
-
+# --- readers and validation ----------------------------------------------------------------------
 
-def _values(outcomes: dict[str, str]) -> str:
-    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in outcomes.items())
-    return f'SELECT * FROM (VALUES {rows}) v("case", outcome)'
+#: Every event as a candle at its own second, some of them spoilt: without a price, without end, no number, without volume.
+_RAW = "SELECT event_id, epoch_us(ts) // 1000000 AS s, event_type, value FROM events"
 
 
-def _case_query(name: str, expected: dict[str, str]) -> Callable:
-    return _query(name, _values(expected))
+def _raw_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind, value, nothing = F.col("event_type"), F.col("value"), F.lit(None).cast("double")
+    return events.select(
+        epoch_seconds(F.col("ts")).alias("timestamp"), F.when(kind == "error", nothing).otherwise(value).alias("open"), F.when(kind == "signup", F.lit(float("inf"))).otherwise(value).alias("high"),
+        value.alias("low"), F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(value).alias("close"), F.when(kind == "view", nothing).otherwise(F.lit(1.0)).alias("volume"), F.col("event_id").alias(ROW),
+    )
 
 
-# --- readers and validation ----------------------------------------------------------------------
+@_query("validation_findings", f"""WITH r AS ({_RAW}), z AS (SELECT *, s - lag(s) OVER (ORDER BY event_id) AS diff FROM r),
+    k AS (SELECT 'null_values' AS kind, count(*) FILTER (WHERE event_type IN ('error', 'view')) AS count, NULL::BIGINT AS first, TRUE AS always FROM z
+    UNION ALL SELECT 'non_finite_values', count(*) FILTER (WHERE event_type = 'signup') + count(*) FILTER (WHERE event_id % 97 = 0), NULL, TRUE FROM z
+    UNION ALL SELECT 'off_phase', count(*) FILTER (WHERE s % 60 <> 0), arg_min(s, event_id) FILTER (WHERE s % 60 <> 0), TRUE FROM z
+    UNION ALL SELECT 'non_increasing_timestamps', count(*) FILTER (WHERE diff <= 0), arg_min(s, event_id) FILTER (WHERE diff <= 0), TRUE FROM z
+    UNION ALL SELECT 'overlapping_intervals', count(*) FILTER (WHERE diff > 0 AND diff < 60), arg_min(s, event_id) FILTER (WHERE diff > 0 AND diff < 60), FALSE FROM z
+    UNION ALL SELECT 'irregular_interval', count(*) FILTER (WHERE diff > 60 AND diff % 60 <> 0), arg_min(s, event_id) FILTER (WHERE diff > 60 AND diff % 60 <> 0), FALSE FROM z)
+    SELECT kind, count, first FROM k WHERE count > 0 AND (always OR NOT EXISTS (SELECT 1 FROM z WHERE diff <= 0))""")
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate_source_frame(_raw_candles(spark, sf_dir), candle_profile("raw events", "1m"), mode=ValidationMode.REPORT).findings
+    rows = [(f.kind.value, f.count, f.sample_timestamps[0] if f.sample_timestamps else None) for f in found if f.kind is not FindingKind.GAP]
+    return spark.createDataFrame(rows, "kind string, count long, first long")
+
+
+@_query("validation_refusals", f"""WITH r AS ({_RAW}), z AS (SELECT *, s - lag(s) OVER (PARTITION BY event_type ORDER BY event_id) AS diff FROM r)
+    SELECT event_type, count(*) AS rows, (count(*) FILTER (WHERE event_type IN ('error', 'view')) > 0)::INT + 1 + (count(*) FILTER (WHERE s % 60 <> 0) > 0)::INT + (count(*) FILTER (WHERE diff <= 0) > 0)::INT AS kinds
+    FROM z GROUP BY event_type""")
+def _refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict validation of each event type's candles: what it refuses them for. Kinds of steps are left out where time runs back."""
+    candles, profile = _raw_candles(spark, sf_dir), candle_profile("raw events", "1m")
+    kinds = [r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().collect()]  # five
+    own = candles.join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias(ROW), "event_type"), ROW)
+    rows = []
+    for kind in kinds:
+        try:
+            validate_source_frame(own.where(F.col("event_type") == kind).drop("event_type"), profile)
+        except SourceValidationError as e:
+            steps = (FindingKind.OVERLAPPING_INTERVALS, FindingKind.IRREGULAR_INTERVAL, FindingKind.GAP)
+            rows.append((kind, e.report.rows, len({f.kind for f in e.report.findings} - set(steps))))
+    return spark.createDataFrame(rows, "event_type string, rows long, kinds int")
 
 
 @_query("read_source", f"WITH {catalog._candles_sql(900)} SELECT timestamp, {PRICES}, row_number() OVER (ORDER BY timestamp) - 1 AS position FROM c")
@@ -94,20 +102,6 @@ def _read_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source_csv(spark, _csv(candles.orderBy("timestamp")), profile, mode=ValidationMode.REPORT, max_rows=1000).frame.drop(ROW)
 
 
-_SPOILT = [
-    (DAY0, 1.0, 2.0, 0.5, 1.5, 1.0), (DAY0 + 60, None, 2.0, 0.5, 1.5, None), (DAY0 + 120, 1.0, float("inf"), 0.5, float("nan"), 1.0),
-    (DAY0 + 150, 1.0, 2.0, 0.5, 1.5, 1.0), (DAY0 + 300, 1.0, 2.0, 0.5, 1.5, 1.0), (DAY0 + 510, 1.0, 2.0, 0.5, 1.5, 1.0), (DAY0 + 690, 1.0, 2.0, 0.5, 1.5, 1.0),
-]
-
-
-@_query("validation_findings", f"""SELECT * FROM (VALUES (0, 'null_values', 2, ''), (1, 'non_finite_values', 2, ''), (2, 'off_phase', 3, '{DAY0 + 150}|{DAY0 + 510}|{DAY0 + 690}'), (3, 'overlapping_intervals', 1, '{DAY0 + 150}'),
-    (4, 'irregular_interval', 2, '{DAY0 + 300}|{DAY0 + 510}'), (5, 'gap', 2, '{DAY0 + 570}|{DAY0 + 690}')) v(place, kind, count, samples)""")
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(*r, k) for k, r in enumerate(_SPOILT)], f"{_COLUMNS}, {ROW} long")
-    found = validate_source_frame(df, BITSTAMP_BTCUSD_1M, mode=ValidationMode.REPORT).findings
-    return spark.createDataFrame([(k, f.kind.value, f.count, "|".join(map(str, f.sample_timestamps))) for k, f in enumerate(found)], "place int, kind string, count int, samples string")
-
-
 @_query("validation_gaps_reported", f"WITH {catalog._candles_sql(900)}, z AS (SELECT timestamp, timestamp - lag(timestamp) OVER (ORDER BY timestamp) AS diff FROM c), g AS (SELECT * FROM z WHERE diff > 900 ORDER BY timestamp LIMIT 1000) SELECT diff // 900 - 1 AS count, timestamp - diff + 900 AS first, timestamp AS next FROM g")
 def _gaps_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     candles, profile = catalog._candles(spark, sf_dir, 900)
@@ -115,39 +109,7 @@ def _gaps_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.count, *f.sample_timestamps) for f in found], "count long, first long, next long")
 
 
-@_case_query("source_refusals", {
-    "no file": "FileNotFoundError", "empty file": "NoDataError", "header only": "0", "bad number": "refused", "row cap": "ConfigError", "column missing": "SourceValidationError", "wrong kind": "schema:1",
-    "null timestamp": "null_values", "decreasing": "non_increasing_timestamps", "profile without timestamp": "ConfigError", "phase beyond cadence": "ConfigError", "profile without volume": "ConfigError", "names differ in case": "ConfigError",
-})
-def _source_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = "timestamp,open,high,low,close,volume\n"
-    make = lambda rows: spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], f"{_COLUMNS}, {ROW} long")
-    report = lambda df: validate_source_frame(df, BITSTAMP_BTCUSD_1M, mode=ValidationMode.REPORT)
-    row = (DAY0, 1.0, 2.0, 0.5, 1.5, 1.0)
-    whole = {"timestamp": ColumnKind.INTEGER, "open": ColumnKind.FLOATING}
 
-    def bad_number() -> str:
-        try:
-            return str(read_source_csv(spark, _text(spark, header + "1,x,2,0.5,1.5,1\n"), BITSTAMP_BTCUSD_1M).collect())
-        except Exception:  # of the CSV parser
-            return "refused"
-
-    profile = lambda **more: SourceProfile.create(**{"name": "p", "timestamp_column": "timestamp", "raw_schema": whole, "cadence": "1m"} | more)
-    return _outcomes(spark, {
-        "no file": lambda: read_source_csv(spark, f"{scratch_folder(spark)}/none.csv", BITSTAMP_BTCUSD_1M),
-        "empty file": lambda: read_source_csv(spark, _text(spark, ""), BITSTAMP_BTCUSD_1M),
-        "header only": lambda: read_source_csv(spark, _text(spark, header), BITSTAMP_BTCUSD_1M).count(),
-        "bad number": bad_number,
-        "row cap": lambda: read_source_csv(spark, "x.csv", BITSTAMP_BTCUSD_1M, max_rows=-1),
-        "column missing": lambda: validate_source_frame(make([row]).drop("low"), BITSTAMP_BTCUSD_1M),
-        "wrong kind": lambda: "{}:{}".format(*next((f.kind.value, f.count) for f in report(make([row]).withColumn("low", F.lit("x"))).findings)),
-        "null timestamp": lambda: report(make([(None, *row[1:])])).findings[0].kind.value,
-        "decreasing": lambda: report(make([row, (DAY0 - 60, *row[1:])])).findings[0].kind.value,
-        "profile without timestamp": lambda: profile(timestamp_column="when"),
-        "phase beyond cadence": lambda: profile(phase=60),
-        "profile without volume": lambda: compute_windows(make([row]), profile(), window="1m", emit_every="1m"),
-        "names differ in case": lambda: profile(raw_schema=whole | {"Open": ColumnKind.FLOATING}),
-    })
 
 
 @_query("interval_bounds", f"WITH {catalog._candles_sql(900)} SELECT timestamp AS open_time, timestamp + 900 AS close_time FROM c")
@@ -159,10 +121,24 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- annotations -----------------------------------------------------------------------------------
 
 
-@_query("read_annotations", "SELECT * FROM (VALUES " + ", ".join(f"({s}, {e}, '{f}', {k})" for k, (s, e, f) in enumerate(INTERVALS)) + ") v(start_timestamp, end_timestamp, flag, note)")
+_ORDER_INTERVALS = "SELECT epoch_us(o_orderdate) // 1000000 + o_orderkey % 86400 AS s, epoch_us(o_orderdate) // 1000000 + o_orderkey % 86400 + 60 + o_custkey % 3000 AS e, o_orderpriority AS f FROM orders"
+
+
+def _order_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an interval of up to an hour on its day."""
+    start = epoch_seconds(F.col("o_orderdate")) + F.col("o_orderkey") % 86_400
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(start.alias("start_timestamp"), (start + 60 + F.col("o_custkey") % 3000).alias("end_timestamp"), F.col("o_orderpriority").alias("flag"))
+
+
+@_query("read_annotations", f"SELECT s AS start_timestamp, e AS end_timestamp, f AS flag FROM ({_ORDER_INTERVALS})")
 def _read_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = "".join(f"{k},{f},{e},{s}\n" for k, (s, e, f) in enumerate(INTERVALS))
-    return read_annotations(spark, _text(spark, "note,flag,end_timestamp,start_timestamp\n" + lines)).select("start_timestamp", "end_timestamp", "flag", "note")
+    path = _csv(_order_intervals(spark, sf_dir).select(F.lit(1).alias("note"), "flag", "end_timestamp", "start_timestamp"))
+    return read_annotations(spark, path).select("start_timestamp", "end_timestamp", "flag")
+
+
+@_query("merge_intervals", f"WITH i AS ({_ORDER_INTERVALS}), {catalog._U} SELECT s AS start, e AS \"end\" FROM u")
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.merge_intervals(_order_intervals(spark, sf_dir))
 
 
 @_query("annotate_windows_joined", catalog.SQL["annotate_windows"])
@@ -172,20 +148,7 @@ def _annotate_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("open_time", "close_time", "src_count", F.array_join("annotation_flags", "|").alias("flags"), "overlap_seconds")
 
 
-@_case_query("annotation_refusals", {"null": "AnnotationValidationError", "reversed": "AnnotationValidationError", "empty file": "AnnotationValidationError", "too many": "AnnotationValidationError", "type": "ConfigError", "same names": "ConfigError", "taken": "ConfigError", "none": "0"})
-def _annotation_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda rows: spark.createDataFrame(rows, "start_timestamp long, end_timestamp long, flag string")
-    windows = spark.createDataFrame([(0, 60)], "open_time long, close_time long")
-    return _outcomes(spark, {
-        "null": lambda: notes.annotate_windows(windows, make([(1, 2, None)])),
-        "reversed": lambda: notes.annotate_windows(windows, make([(2, 2, "x")])),
-        "empty file": lambda: read_annotations(spark, _text(spark, "")),
-        "too many": lambda: read_annotations(spark, _text(spark, "start_timestamp,end_timestamp,flag\n1,2,a\n3,4,b\n"), max_rows=1),
-        "type": lambda: notes.annotate_windows(windows, make([]).withColumn("flag", F.lit(1))),
-        "same names": lambda: notes.AnnotationColumns("a", "A", "f"),
-        "taken": lambda: notes.annotate_windows(windows.withColumn("annotation_flags", F.lit(1)), make([])),
-        "none": lambda: notes.annotate_windows(windows, make([])).first()["annotation_overlap_seconds"],
-    })
+
 
 
 # --- snapshots -------------------------------------------------------------------------------------
@@ -206,36 +169,11 @@ def _continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.kind.value, m.expected, m.found) for m in found], "kind string, expected long, found long")
 
 
-@_case_query("snapshot_records", {
-    "manifest": "v1 3 rows, 1 asset", "digest": hashlib.sha256(b"abc").hexdigest(), "address": "owner/name v1", "bad version": "SnapshotManifestError", "naive time": "SnapshotManifestError", "no assets": "SnapshotManifestError",
-    "path as name": "SnapshotManifestError", "not json": "SnapshotManifestError", "too long": "SnapshotManifestError", "bad repository": "ConfigError",
-})
-def _snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda **more: parse_manifest(_manifest(**more))
-
-    def shown() -> str:
-        m: SnapshotManifest = read()
-        return f"{m.tag} {m.row_count} rows, {len(m.assets)} asset"
 
-    def digest() -> str:
-        assets = read().assets
-        record: AssetRecord = assets["candles.csv"] if isinstance(assets, dict) or hasattr(assets, "keys") else assets[0]
-        return record.sha256
-
-    release = lambda: SnapshotRelease("owner/name", "v1")
-    return _outcomes(spark, {
-        "manifest": shown, "digest": digest, "address": lambda: f"{release().repository} {release().tag}",
-        "bad version": lambda: read(schema_version=2), "naive time": lambda: read(as_of="2026-01-01"), "no assets": lambda: read(assets={}),
-        "path as name": lambda: read(assets={"../x": {"bytes": 1, "sha256": "0" * 64}}), "not json": lambda: parse_manifest(b"{"), "too long": lambda: parse_manifest(b" " * (2 << 20)),
-        "bad repository": lambda: SnapshotRelease("../b", "v1"),
-    })
 
 
 # --- specification forms ---------------------------------------------------------------------------
 
-_DAYS = ExplicitRange(DAY0, DAY0 + 3 * 86_400)
-
-
 @_query("windows_reference_form", f"WITH {catalog._windows_sql(3600, 14_400, 3600, 0, RANGE)} SELECT {WINDOW} FROM w")
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     candles, profile = catalog._candles(spark, sf_dir, 3600)
@@ -262,109 +200,64 @@ def _pane(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- policies, refusals and records ------------------------------------------------------------------
 
 
-@_query("quality_gate_report", f"""WITH {catalog._windows_sql(900, 3600, 900, 0, RANGE)} SELECT {WINDOW} FROM w""")
+@_query("windows_off_grid", f"""WITH c AS ({_RAW}), t AS (SELECT unnest(range({RANGE.start}, {RANGE.end}, 1800)) AS t),
+    w AS (SELECT t, arg_min(CASE WHEN event_type <> 'error' THEN value END, s::HUGEINT * 10000000000 + event_id) FILTER (WHERE s IS NOT NULL) AS unused, max(value) FILTER (WHERE event_type <> 'signup') AS top, bool_or(event_type = 'signup') AS endless, min(value) AS low,
+    arg_min(event_id, s::HUGEINT * 10000000000 + event_id) AS early, arg_max(event_id, s::HUGEINT * 10000000000 - event_id) AS late, count(*) FILTER (WHERE event_type <> 'view') AS volume, count(s) AS n
+    FROM t LEFT JOIN c ON s >= t - 14400 AND s + 60 <= t GROUP BY t)
+    SELECT t - 14400 AS open_time, t AS close_time, CASE WHEN a.event_type <> 'error' THEN a.value END AS open, CASE WHEN endless THEN 'inf'::DOUBLE ELSE top END AS high, low, CASE WHEN b.event_id % 97 = 0 THEN 0 ELSE b.value END AS close,
+    CASE WHEN volume > 0 THEN volume::DOUBLE END AS volume, n AS src_count, n * 60 AS coverage_seconds, volume * 60 AS traded_seconds
+    FROM w LEFT JOIN events a ON a.event_id = early LEFT JOIN events b ON b.event_id = late""")
+def _off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as candles of a minute at their own second, searched; a close that is no number is shown as 0."""
+    out = compute_windows(_raw_candles(spark, sf_dir), candle_profile("raw events", "1m"), window="4h", emit_every="30m", materialization=RANGE, plan="search")
+    return out.withColumn("close", F.when(F.isnan("close"), F.lit(0.0)).otherwise(F.col("close")))
+
+
+# --- policies ----------------------------------------------------------------------------------------
+
+
+@_query("quality_gate_report", catalog.SQL["quality_report"])
 def _gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = WindowQualityPolicy(QualityMode.GATE, min_coverage=0.75, min_traded_seconds=900, gate_mode=GateMode.REPORT)
-    return apply_quality_policy(catalog._windows(spark, sf_dir, 900, 3600, 900, 0, RANGE), policy, window="1h").frame
-
-
-@_case_query("quality_records", {
-    "record": '{"gate_mode": "strict", "min_coverage": 0.75, "min_traded_seconds": 900, "mode": "filter"}', "round trip": "True", "old record": "0", "strict gate": "WindowCoverageError", "share": "ConfigError", "seconds": "ConfigError",
-    "unknown mode": "ConfigError", "extra key": "ConfigError", "nine columns": "ConfigError", "window as number": "ConfigError",
-})
-def _quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = WindowQualityPolicy(QualityMode.FILTER, min_coverage=0.75, min_traded_seconds=900)
-    frame = spark.createDataFrame([(60, 0, 0)], "close_time long, coverage_seconds long, traded_seconds long")
-    gate = WindowQualityPolicy(QualityMode.GATE)
-    return _outcomes(spark, {
-        "record": lambda: json.dumps(policy.to_dict(), sort_keys=True),
-        "round trip": lambda: WindowQualityPolicy.from_dict(policy.to_dict()) == policy,
-        "old record": lambda: WindowQualityPolicy.from_dict({k: v for k, v in policy.to_dict().items() if k != "min_traded_seconds"}).min_traded_seconds,
-        "strict gate": lambda: apply_quality_policy(frame, gate, window="1m"),
-        "share": lambda: WindowQualityPolicy(QualityMode.GATE, min_coverage=1.5),
-        "seconds": lambda: WindowQualityPolicy(QualityMode.GATE, min_traded_seconds=True),
-        "unknown mode": lambda: WindowQualityPolicy.from_dict(policy.to_dict() | {"mode": "drop"}),
-        "extra key": lambda: WindowQualityPolicy.from_dict(policy.to_dict() | {"x": 1}),
-        "nine columns": lambda: apply_quality_policy(frame.drop("traded_seconds"), gate, window="1m"),
-        "window as number": lambda: apply_quality_policy(frame, gate, window=60),
-    })
-
-
-@_case_query("frame_refusals", {
-    "name taken": "ConfigError", "name taken in another case": "ConfigError", "type": "ConfigError", "close time repeats": "ConfigError", "close time null": "ConfigError", "hole in the grid": "ConfigError", "rows out of order": "ConfigError", "total grid": "None",
-    "horizon off cadence": "ConfigError", "window under cadence": "ConfigError", "anchor off grid": "ConfigError", "range reversed": "ConfigError", "nothing full": "ConfigError", "off the grid": "ConfigError", "one row": "ConfigError", "excursion over a hole": "ConfigError",
-})
-def _frame_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closes = lambda *t: spark.createDataFrame([(x, 1.0, 1.0, 1.0) for x in t], "close_time long, close double, high double, low double")
-    numbered = lambda *t: spark.createDataFrame([(x, 1.0, k) for k, x in enumerate(t)], f"close_time long, close double, {ROW} long")
-    back = lambda df, h="1m": add_backward_returns(df, horizon=h, cadence="1m", method=ReturnMethod.SIMPLE)
-    candles = spark.createDataFrame([(DAY0, 1.0, 1.0, 1.0, 1.0, 1.0), (DAY0 + 90, 1.0, 1.0, 1.0, 1.0, 1.0)], _COLUMNS)
+    report = apply_quality_policy(catalog._windows(spark, sf_dir, 900, 3600, 900, 0, RANGE), policy, window="1h").report
+    return spark.createDataFrame([tuple(vars(report).values())], ", ".join(f"{name} long" for name in vars(report)))
+
+
+# --- schedules ---------------------------------------------------------------------------------------
+
+_RATIO = math.sqrt(math.e + math.sqrt(5))
+_METALLIC = "m(k, a, b) AS (SELECT 0, 1.0::DOUBLE, sqrt(exp(1) + sqrt(5)) + 1 UNION ALL SELECT k + 1, b, sqrt(exp(1) + sqrt(5)) * b + a FROM m WHERE k < 10)"
+
+
+@_query("schedule_windows", f"""WITH RECURSIVE {catalog._candles_sql(900)}, {_METALLIC}, x AS (SELECT max(timestamp) + 900 AS until FROM c),
+    w AS (SELECT 'metallic' AS schedule, 60 * round(a)::BIGINT AS member FROM m UNION ALL SELECT 'log_spaced', 900 * round(power(96, i / 4.0))::BIGINT FROM range(5) r(i)
+    UNION ALL SELECT 'lookback', round(a)::BIGINT FROM m WHERE round(a) BETWEEN 3 AND 21 UNION ALL SELECT 'horizon', 60 * round(a)::BIGINT FROM m WHERE round(a) BETWEEN 146 AND 993)
+    SELECT schedule, member, count(timestamp) AS candles, max(high) AS high FROM w CROSS JOIN x LEFT JOIN c ON timestamp >= until - member GROUP BY ALL""")
+def _schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each member of the generated schedules, with the candles of the last so many seconds."""
+    found = {
+        "metallic": metallic_recurrence(coefficient=_RATIO, seed="1m", grain="1m", maximum="2w"),
+        "log_spaced": log_spaced(count=5, minimum="15m", maximum="1d", grain="15m"),
+        "lookback": metallic_lookback(coefficient=_RATIO, seed=1, grain=1, minimum=3, maximum=21),
+        "horizon": metallic_horizons(coefficient=_RATIO, seed="1m", grain="1m", minimum="2h26m", maximum="16h33m"),
+    }
+    candles, _ = catalog._candles(spark, sf_dir, 900)
+    members = [(k, n) for k, s in found.items() for n in s.members]
+    ages = candles.select("high", (candles.select(F.max("timestamp") + 900).scalar() - F.col("timestamp")).alias("age"))
+    held = F.filter(F.lit([n for _, n in members]), lambda n: F.col("age") <= n)  # the members that a candle counts for
+    counts = ages.select("high", F.explode(F.array_distinct(held)).alias("member")).groupBy("member").agg(F.count("*").alias("candles"), F.max("high").alias("high"))
+    listed = spark.createDataFrame(members, "schedule string, member long")
+    return listed.join(counts, "member", "left").select("schedule", "member", F.coalesce("candles", F.lit(0).cast("long")).alias("candles"), "high")
+
+
+@_query("cadence_pairs", f"""WITH RECURSIVE {catalog._candles_sql(900)}, {_METALLIC}, x AS (SELECT min(timestamp) AS lo, max(timestamp) AS hi FROM c), w AS (SELECT 60 * round(a)::BIGINT AS w FROM m),
+    p AS (SELECT w, coalesce((SELECT max(a) FROM (VALUES (60), (300), (900), (3600), (14400)) l(a) WHERE a * 8 <= w), 60)::BIGINT AS e FROM w)
+    SELECT w AS window_seconds, e AS emit_seconds, hi // e - (lo - 1) // e AS ticks FROM p, x""")
+def _cadences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of window and emit cadence, with their ticks from the first candle's open time to the last one's."""
+    rule = w_over_k(metallic_recurrence(coefficient=_RATIO, seed="1m", grain="1m", maximum="2w"), divisor=8, allowed=["1m", "5m", "15m", "1h", "4h"], source_cadence="1m")
+    pairs = spark.createDataFrame([(p.window.total_seconds, p.emit_every.total_seconds) for p in rule.pairs], "window_seconds long, emit_seconds long")
+    low, high = catalog._candles(spark, sf_dir, 900)[0].agg(F.min("timestamp"), F.max("timestamp")).first()
     minute = candle_profile("m", "1m")
-    run = lambda **more: compute_windows(candles, minute, **{"window": "4m", "emit_every": "1m", "materialization": ExplicitRange(DAY0, DAY0 + 600)} | more)
-    windows = spark.createDataFrame([(0, 60, *[1.0] * 5, 1, 60, 60)], "open_time long, close_time long, open double, high double, low double, close double, volume double, src_count long, coverage_seconds long, traded_seconds long")
-    return _outcomes(spark, {
-        "name taken": lambda: require_absent(closes(1), ["close"]), "name taken in another case": lambda: require_absent(closes(1), ["CLOSE"]), "type": lambda: require_types(closes(1), {"close": candles.schema["timestamp"].dataType}),
-        "close time repeats": lambda: back(closes(60, 60)), "close time null": lambda: back(closes(60, None)), "hole in the grid": lambda: require_total_grid(closes(60, 180), 60),
-        "rows out of order": lambda: require_total_grid(numbered(120, 60), 60), "total grid": lambda: require_total_grid(numbered(60, 120), 60), "horizon off cadence": lambda: back(closes(60), "90s"),
-        "window under cadence": lambda: run(window="30s"), "anchor off grid": lambda: run(anchor="30s"), "range reversed": lambda: ExplicitRange(2, 1),
-        "nothing full": lambda: run(materialization="skip_warmup"), "off the grid": lambda: run(plan="sweep"), "one row": lambda: phased_lookback(windows, window="1m", emit_every="1m", lookback=1),
-        "excursion over a hole": lambda: add_forward_excursions(closes(60, 180), horizon="1m", cadence="1m", method=ReturnMethod.SIMPLE),
-    })
-
-
-@_case_query("indicator_records", {
-    "name": "rsi_p14_w21m", "parsed": "rsi p 14 1260", "spelling": "ConfigError", "history": "4h", "history n": "6", "lookback": "ConfigError", "volume not positive": "DataValidationError", "period": "ConfigError",
-})
-def _indicator_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from candlespark.operators.indicators import indicator_identity
-
-    frame = spark.createDataFrame([(60 * k, 60 * k + 60, *[1.0] * 4, 0.0, 1, 60, 60) for k in range(6)], "open_time long, close_time long, open double, high double, low double, close double, volume double, src_count long, coverage_seconds long, traded_seconds long")
-    phased = lambda n: phased_lookback(frame, window="1m", emit_every="1m", lookback=n)
-
-    def parsed() -> str:
-        x = FeatureIdentity.parse("rsi_p14_w21m", normalization=list(NormalizationClass)[0])
-        return f"{x.indicator} {x.family.value} {x.period} {x.window.total_seconds}"
-
-    return _outcomes(spark, {
-        "name": lambda: indicator_identity(CutlersRSI(), period=14, window="21m").column_name, "parsed": parsed,
-        "spelling": lambda: FeatureIdentity.parse("rsi_p14_w60s", normalization=list(NormalizationClass)[0]),
-        "history": lambda: effective_history(4, "1h"), "history n": lambda: effective_n("1d", "1h", 4),
-        "lookback": lambda: add_indicator(phased(2), CutlersRSI(), period=14), "volume not positive": lambda: add_indicator(phased(LogVolumeRatio().lookback(2)), LogVolumeRatio(), period=2), "period": lambda: CutlersRSI().lookback(0) and add_indicator(phased(1), CutlersRSI(), period=0),
-    })
-
-
-@_case_query("schedule_records", {
-    "explicit": "60|300", "explicit round trip": "True", "horizons": "HorizonSchedule 3600", "lookbacks": "3|5", "pairs": "3600:900", "pairs round trip": "True", "id has 64 digits": "True", "repeats": "ConfigError", "tampered": "ConfigError", "other kind": "False",
-})
-def _schedule_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows, horizons, periods = explicit(["1m", "5m"], name="mine"), explicit_horizons(["1h"]), explicit_lookback([3, 5])
-    pairs = explicit_pairs([("1h", "15m")], name="p")
-    joined = lambda s: "|".join(map(str, s.members))
-
-    def tampered() -> object:
-        record = windows.to_dict()
-        key = next(k for k, v in record.items() if isinstance(v, list))
-        return WindowSchedule.from_dict(record | {key: ["1m", "6m"]})
-
-    return _outcomes(spark, {
-        "explicit": lambda: joined(windows), "explicit round trip": lambda: WindowSchedule.from_dict(windows.to_dict()) == windows,
-        "horizons": lambda: f"{type(horizons).__name__} {joined(HorizonSchedule.from_dict(horizons.to_dict()))}", "lookbacks": lambda: joined(LookbackSchedule.from_dict(periods.to_dict())),
-        "pairs": lambda: "|".join(f"{p.window.total_seconds}:{p.emit_every.total_seconds}" for p in pairs.pairs), "pairs round trip": lambda: CadenceRule.from_dict(pairs.to_dict()) == pairs,
-        "id has 64 digits": lambda: len(windows.schedule_id) == 64, "repeats": lambda: explicit(["1m", "60s"]), "tampered": tampered, "other kind": lambda: explicit(["1h"]) == horizons,
-    })
-
-
-@_case_query("durations_and_errors", {
-    "parse": "9000", "spell": "2h30m", "number": "ConfigError", "order": "ConfigError", "cadence": "ConfigError", "horizon": "14400", "echo is bounded": "True", "enum": "QualityMode.GATE", "enum unknown": "ConfigError", "canonical": '{"a":1,"b":[2]}', "logger": "candlespark.x", "log spaced": "900|2700|9000|27900|86400", "ticks": "3",
-})
-def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from candlespark.plans.schedules import canonical_json
-
-    return _outcomes(spark, {
-        "parse": lambda: Duration.parse("2h30m").total_seconds, "spell": lambda: Duration(9000), "number": lambda: coerce_duration(60), "order": lambda: Duration.parse("1m1h"), "cadence": lambda: validate_cadence("0s"),
-        "horizon": lambda: validate_horizon_duration("4h").total_seconds, "echo is bounded": lambda: len(bounded_echo("x" * 1000)) < 120, "enum": lambda: enum_member(QualityMode, "gate", "mode"), "enum unknown": lambda: enum_member(QualityMode, "x", "mode"),
-        "canonical": lambda: canonical_json({"b": [2], "a": 1}), "logger": lambda: get_logger("candlespark.x").name,
-        "log spaced": lambda: "|".join(map(str, log_spaced(count=5, minimum="15m", maximum="1d", grain="15m").members)), "ticks": lambda: resolve_schedule(candle_profile("m", "1m"), window="2m", emit_every="2m").count_ticks(1, 361),
-    })
-
-
+    ticks = {p.emit_every.total_seconds: resolve_schedule(minute, window=p.window, emit_every=p.emit_every).count_ticks(low, high + 1) for p in rule.pairs}
+    return pairs.withColumn("ticks", F.create_map(*(F.lit(x) for pair in ticks.items() for x in pair))[F.col("emit_seconds")].cast("long"))
