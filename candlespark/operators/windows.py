@@ -20,6 +20,7 @@ values with nulls first and NaN last), of equal open times the first in it gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -291,11 +292,27 @@ def _require_grid(candles: DataFrame, s: ResolvedSchedule) -> DataFrame:
     return candles.withColumn("o", F.when(off, F.raise_error(F.concat(F.lit("a candle lies off the grid at "), F.col("o").cast("string"))).cast("long")).otherwise(F.col("o")))
 
 
+def _each_key_warm(df: DataFrame, profile: SourceProfile, s: ResolvedSchedule, key: str, make: Callable[[ExplicitRange], DataFrame]) -> DataFrame:
+    """Of each key the ticks from its own first full window to its last candle; a key without a full window has no rows."""
+    candles = extract_candles(df, profile, key)
+    low, high = candles.agg(F.min("o"), F.max("o")).first()
+    start = None if low is None else s.first_tick_at_or_after(low + s.window)
+    found = None if start is None else make(ExplicitRange(start, max(start, s.last_tick_at_or_before(high + s.cadence) + 1)))
+    full = F.min(F.when(F.col("src_count") == s.window // s.cadence, F.col("close_time")))
+    bounds = None if found is None else found.groupBy(F.col(key).alias("__by")).agg(full.alias("__from")).where("__from IS NOT NULL")
+    if bounds is None or bounds.isEmpty():
+        raise ConfigError(f"no window of {Duration(s.window)} is fully covered by any {key}, so {MaterializationRule.SKIP_WARMUP.value} has no tick to begin at")
+    last = candles.groupBy(F.col("__by").alias("__key")).agg((F.max("o") + s.cadence).alias("__until"))
+    spans = bounds.join(last, F.col("__by").eqNullSafe(F.col("__key")))
+    inside = F.col(key).eqNullSafe(F.col("__by")) & F.col("close_time").between(F.col("__from"), F.col("__until"))
+    return found.join(spans, inside).select(found.columns)
+
+
 def compute_windows(
     df: DataFrame, profile: SourceProfile, *, window: Duration | str, emit_every: Duration | str, anchor: Duration | str = "0s",
     materialization: Materialization | str = MaterializationRule.SKIP_WARMUP, plan: str = "auto", partition_by: str | None = None, deterministic: bool = False, on_grid: bool = False,
 ) -> DataFrame:
-    """The ten-column window frame (after the key, where ``partition_by`` names one).
+    """The ten-column window frame (after the key, where ``partition_by`` names one, by which each key is a source of its own).
 
     ``plan`` forces a physical plan; all give the same rows, bit for bit. ``auto`` explodes where that makes at most ``EXPLODE_ROWS``
     rows, or where windows do not overlap. Beyond it sweeps if every candle lies on the cadence
@@ -310,6 +327,8 @@ def compute_windows(
         raise ConfigError(f"plan must be one of {PLANS}, got {plan!r}")
     candles = extract_candles(df, profile, partition_by)
     rule = coerce_materialization(materialization)
+    if partition_by and not isinstance(rule, ExplicitRange):
+        return _each_key_warm(df, profile, s, partition_by, lambda span: compute_windows(df, profile, window=window, emit_every=emit_every, anchor=anchor, materialization=span, plan=plan, partition_by=partition_by, on_grid=on_grid))
     # only candles of some window are read: the predicate reaches the scan
     within = lambda a, b: (F.col("o") >= a - s.window) & (F.col("o") < b)
     span = None if isinstance(rule, ExplicitRange) else _span(candles, s, ["__by"] if partition_by else [])
@@ -337,7 +356,11 @@ def compute_windows(
     else:
         found = _explode_plan(candles, s, start, end, keys, bool(unique))
         ticks = _tick_frame(df.sparkSession, s, start, end)
-        out = (_keyed_ticks(candles, ticks, keys) if keys else ticks).join(found, [*keys, "t"], "left")
+        if keys:  # a null key is a key
+            same = F.col("__by").eqNullSafe(F.col("__own")) & (F.col("t") == F.col("__at"))
+            out = _keyed_ticks(candles, ticks, keys).join(found.withColumnsRenamed({"__by": "__own", "t": "__at"}), same, "left").drop("__own", "__at")
+        else:
+            out = ticks.join(found, "t", "left")
     count = F.coalesce("src_count", F.lit(0).cast("long"))
     return out.select(
         *(F.col(k).alias(partition_by) for k in keys),

@@ -156,3 +156,23 @@ def test_range_values_and_sums():
     assert kernels.range_values(x, low, high, np.maximum, -1000).tolist() == want
     assert kernels.range_sums(x.astype(float), low, high).tolist() == [x[a:b].sum() for a, b in zip(low, high)]
     assert sweep.chunk_ticks(0, 100, 10, 7, 3, 60).tolist() == [10, 17, 24, 31, 38, 45, 52, 59]
+
+
+def test_each_key_skips_its_own_warmup(spark):
+    own = {"a": candles(41, 60, 60, T0), "b": candles(42, 60, 50, T0 + 1200), None: candles(43, 60, 30, T0 + 300, drop={4}), "short": candles(44, 60, 3, T0)}
+    df = spark.createDataFrame([(*r, k) for k, rows in own.items() for r in rows], f"{SCHEMA}, key string")
+    for plan in ("auto", "sweep"):
+        got = {}
+        for r in compute_windows(df, PROFILE, window="8m", emit_every="1m", partition_by="key", plan=plan).collect():
+            got.setdefault(r["key"], []).append(tuple(r)[1:])
+        want = {}
+        for key, rows in own.items():
+            every = windows(rows, 60, 480, 60, 0, T0, rows[-1][0] + 61)
+            first = next((k for k, r in enumerate(every) if r[8] == 480), None)
+            if first is not None:
+                want[key] = every[first:]
+        assert {k: sorted(v, key=lambda r: r[1]) for k, v in got.items()} == want and set(want) == {"a", "b", None}
+    from candlespark.errors import ConfigError
+
+    with pytest.raises(ConfigError, match="by any key"):
+        compute_windows(df.where("key = 'short'"), PROFILE, window="8m", emit_every="1m", partition_by="key")
