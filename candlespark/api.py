@@ -31,6 +31,7 @@ from candlespark.operators.returns import (
     add_backward_returns,
     add_forward_excursions,
     add_forward_returns,
+    add_returns,
     backward_return_column,
     forward_available_at_column,
     forward_excursion_available_at_column,

@@ -13,8 +13,8 @@ from candlespark.duration import Duration, validate_cadence, validate_horizon_du
 from candlespark.errors import ConfigError
 
 INT64 = 2**63
-#: Rows whose order one task checks.
-STRETCH_ROWS = 1_000_000
+#: Rows whose order one task checks, and horizons of a chunk in which returns are aligned.
+STRETCH_ROWS, CHUNK_HORIZONS = 1_000_000, 64
 
 
 class ReturnMethod(Enum):
@@ -89,10 +89,37 @@ def require_alignable(df: DataFrame, shift: int = 0, extra: tuple[str, ...] = ()
         raise ConfigError(f"the frame is no hole-free grid of {grid}s: {row['n']} rows from {row['low']} to {row['high']}")
 
 
-def counterpart_closes(df: DataFrame, offset: int) -> DataFrame:
-    """The frame with ``__other``, the close exactly ``offset`` seconds away; null where no row has that close time."""
-    other = df.select((F.col("close_time") - F.lit(offset).cast("long")).alias("close_time"), F.col("close").alias("__other"))
-    return df.join(other, "close_time", "left").select(*df.columns, "__other")
+def counterpart_closes(df: DataFrame, offsets: dict[str, int]) -> DataFrame:
+    """The frame with, under each name, the close exactly so many seconds away; null where no row has that close time.
+
+    Time is cut into chunks of many offsets. A row near a chunk's edge also goes, with its close alone, to the chunks of
+    the rows that it is the counterpart of, so one shuffle of little more than the frame serves all offsets and
+    the values are read by position in one order. Close times are unique; a row without one has no counterpart.
+    """
+    at = F.col("close_time")
+    width = CHUNK_HORIZONS * max(abs(o) for o in offsets.values())
+    chunk = lambda x: F.floor(x / F.lit(width))
+    places = F.array_distinct(F.array(chunk(at), *(chunk(at - F.lit(o)) for o in set(offsets.values()))))
+    rows = df.select("*", F.explode(places).alias("__chunk"))
+    own = F.col("__chunk").eqNullSafe(chunk(at))
+    thin = rows.select("__chunk", at.alias("__at"), F.col("close").alias("__close"), own.alias("__own"), *(F.when(own, F.col(c)).alias(c) for c in df.columns))
+    order = Window.partitionBy("__chunk").orderBy("__at")
+    other = {name: F.first("__close").over(order.rangeBetween(o, o)) for name, o in offsets.items()}
+    found = thin.select("__own", *df.columns, *(F.when(F.col("__at").isNotNull(), c).alias(name) for name, c in other.items()))
+    return found.where("__own").drop("__own")
+
+
+def add_returns(df: DataFrame, *, horizon: Duration | str, cadence: Duration | str, method: ReturnMethod, checked: bool = True) -> DataFrame:
+    """Backward and forward returns together, as :func:`add_backward_returns` and :func:`add_forward_returns` give them, from one shuffle."""
+    _require_method(method)
+    h, _ = resolve_horizon(horizon, cadence)
+    back, ahead, at = backward_return_column(method, h), forward_return_column(method, h), forward_available_at_column(method, h)
+    require_absent(df, (back, ahead, at, "__before", "__after"))
+    if checked:
+        require_alignable(df, h.total_seconds)
+    found = counterpart_closes(df, {"__before": -h.total_seconds, "__after": h.total_seconds})
+    values = {back: return_values(F.col("close"), F.col("__before"), method), ahead: return_values(F.col("__after"), F.col("close"), method)}
+    return found.select(*df.columns, *(v.alias(n) for n, v in values.items()), (F.col("close_time") + F.lit(h.total_seconds).cast("long")).alias(at))
 
 
 def add_backward_returns(df: DataFrame, *, horizon: Duration | str, cadence: Duration | str, method: ReturnMethod, checked: bool = True) -> DataFrame:
@@ -103,7 +130,7 @@ def add_backward_returns(df: DataFrame, *, horizon: Duration | str, cadence: Dur
     require_absent(df, (name, "__other"))
     if checked:
         require_alignable(df, -h.total_seconds)
-    return counterpart_closes(df, -h.total_seconds).withColumn(name, return_values(F.col("close"), F.col("__other"), method)).drop("__other")
+    return counterpart_closes(df, {"__other": -h.total_seconds}).withColumn(name, return_values(F.col("close"), F.col("__other"), method)).drop("__other")
 
 
 def add_forward_returns(df: DataFrame, *, horizon: Duration | str, cadence: Duration | str, method: ReturnMethod, checked: bool = True) -> DataFrame:
@@ -114,7 +141,7 @@ def add_forward_returns(df: DataFrame, *, horizon: Duration | str, cadence: Dura
     require_absent(df, (name, at, "__other"))
     if checked:
         require_alignable(df, h.total_seconds)
-    found = counterpart_closes(df, h.total_seconds).withColumn(name, return_values(F.col("__other"), F.col("close"), method))
+    found = counterpart_closes(df, {"__other": h.total_seconds}).withColumn(name, return_values(F.col("__other"), F.col("close"), method))
     return found.drop("__other").withColumn(at, F.col("close_time") + F.lit(h.total_seconds).cast("long"))
 
 

@@ -161,3 +161,21 @@ def test_excursions_over_many_blocks_are_those_of_each_interval(spark):
             r = got[t]
             name = next(c for c in r.asDict() if c.startswith("forward_mfe")), next(c for c in r.asDict() if c.startswith("forward_mae"))
             assert (r[name[0]], r[name[1]]) == want and r["note"] == note
+
+
+def test_both_returns_at_once_are_each_of_them(spark):
+    import random
+
+    from candlespark.operators.returns import ReturnMethod, add_backward_returns, add_forward_returns, add_returns
+
+    rng = random.Random(61)
+    rows = [(60 * k, rng.choice([None, 0.0, *[rng.uniform(1, 9)] * 9]), k) for k in range(-300, 900) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "close_time long, close double, note long").repartition(4)
+    close = {t: c for t, c, _ in rows}
+    for h in (1, 7, 500):
+        both = add_returns(df, horizon=f"{h}m", cadence="1m", method=ReturnMethod.SIMPLE)
+        one = add_forward_returns(add_backward_returns(df, horizon=f"{h}m", cadence="1m", method=ReturnMethod.SIMPLE), horizon=f"{h}m", cadence="1m", method=ReturnMethod.SIMPLE)
+        assert both.columns == one.columns and sorted(map(str, both.collect())) == sorted(map(str, one.collect()))
+        ratio = lambda n, d: None if n is None or not d else (n - d) / d
+        want = sorted((t, c, k, ratio(c, close.get(t - 60 * h)), ratio(close.get(t + 60 * h), c), t + 60 * h) for t, c, k in rows)
+        assert sorted(map(tuple, both.collect()), key=lambda r: r[0]) == want
