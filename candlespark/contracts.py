@@ -23,6 +23,7 @@ from candlespark.operators.quality import GateMode, QualityMode, WindowQualityPo
 from candlespark.operators.reference import compute_reference_windows, phased_lookback_reference
 from candlespark.operators.windows import compute_windows
 from candlespark.plans import log_spaced, metallic_horizons, metallic_lookback, metallic_recurrence, w_over_k
+from candlespark.sources.ordered import read_ascending, write_ascending
 from candlespark.sources.profile import candle_profile
 from candlespark.sources.reader import read_annotations, read_source_csv, scratch_folder
 from candlespark.sources.snapshot import parse_manifest
@@ -213,6 +214,13 @@ def _off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("close", F.when(F.isnan("close"), F.lit(0.0)).otherwise(F.col("close")))
 
 
+@_query("windows_ascending", f"WITH {catalog._windows_sql(300, 3600, 300, 0, RANGE)} SELECT row_number() OVER (ORDER BY close_time) - 1 AS position, close_time, close FROM w")
+def _ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_folder(spark)}/ascending"
+    write_ascending(catalog._windows(spark, sf_dir, 300, 3600, 300, 0, RANGE), path)
+    return read_ascending(spark, path).select(F.col(ROW).alias("position"), "close_time", "close")
+
+
 # --- policies ----------------------------------------------------------------------------------------
 
 

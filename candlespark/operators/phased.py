@@ -1,21 +1,23 @@
 """Phased lookback: at each tick the L windows of duration W that end at t, t - W, t - 2W, ...
 
-One shuffle instead of L joins: each admitted window is sent to the L ticks that read it and
-gathered there by phase.
+One shuffle instead of L joins: windows whose close times are the same modulo W are one class, in
+which a tick's L windows stand one after the other.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlespark.columns import DOUBLE, LONG, require_types
 from candlespark.duration import Duration, positive_duration
 from candlespark.errors import ConfigError, bounded_echo
 
-MAX_LOOKBACK = 512
+#: The longest lookback, and lookbacks of a chunk of a class.
+MAX_LOOKBACK, CHUNK_LOOKBACKS = 512, 64
 FIELDS = {"open": DOUBLE, "high": DOUBLE, "low": DOUBLE, "close": DOUBLE, "volume": DOUBLE, "src_count": LONG, "coverage_seconds": LONG, "traded_seconds": LONG}
 
 
@@ -87,8 +89,6 @@ def resolve_phased_grid(df: DataFrame, *, window: Duration | str, emit_every: Du
 
 def _steps(df: DataFrame) -> DataFrame:
     """Steps between consecutive close times; time buckets, stitched by each bucket's first and last."""
-    from pyspark.sql import Window
-
     bucket = F.floor(F.col("close_time") / F.lit(2_592_000))
     keyed = df.select("close_time", bucket.alias("b"))
     inner = keyed.select((F.col("close_time") - F.lag("close_time").over(Window.partitionBy("b").orderBy("close_time"))).alias("step")).where("step IS NOT NULL")
@@ -98,7 +98,10 @@ def _steps(df: DataFrame) -> DataFrame:
 
 
 def phased_lookback(df: DataFrame, *, window: Duration | str, emit_every: Duration | str, lookback: int, anchor: Duration | str = "0s", min_traded_seconds: int = 0) -> PhasedLookback:
-    """One row per tick; a window below ``min_traded_seconds`` is absent, and any absent window or null field nulls all arrays."""
+    """One row per tick; a window below ``min_traded_seconds`` is absent, and any absent window or null field nulls all arrays.
+
+    The rows shuffled do not grow with ``lookback``: an array is a frame of as many rows of its class.
+    """
     least = _count(min_traded_seconds, "min_traded_seconds", 0)
     grid = resolve_phased_grid(df, window=window, emit_every=emit_every, lookback=lookback, anchor=anchor)
     spark = df.sparkSession
@@ -107,10 +110,18 @@ def phased_lookback(df: DataFrame, *, window: Duration | str, emit_every: Durati
     for name in FIELDS:
         present = present & F.col(name).isNotNull()
     admitted = df.where((F.col("traded_seconds") >= least) & present)
-    k = F.explode(F.sequence(F.lit(0), F.lit(lookback - 1))).alias("k")
-    sent = admitted.select("*", k).withColumn("t", F.col("close_time") + F.col("k").cast("long") * F.lit(grid.window).cast("long"))
-    sent = sent.where((F.col("t") >= first) & (F.col("t") <= last) & (F.pmod(F.col("t") - F.lit(grid.anchor), F.lit(grid.emit)) == 0))
-    gathered = sent.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("k", *FIELDS))).alias("x")).where(F.size("x") == lookback)
+    # windows W apart are one class; of a class, chunks of many lookbacks, each with one lookback before it
+    w, key = F.lit(grid.window).cast("long"), F.col("close_time")
+    turn = ((key - F.pmod(key, w)) / w).cast("long")
+    chunk = lambda x: F.floor(x / F.lit(CHUNK_LOOKBACKS * lookback))
+    used = F.pmod(key - F.lit(grid.anchor), F.lit(math.gcd(grid.window, grid.emit))) == 0  # others are in no tick's lookback
+    sent = admitted.where(used).select(F.pmod(key, w).alias("phase"), turn.alias("turn"), F.struct(*FIELDS).alias("x"))
+    sent = sent.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(F.col("turn")), chunk(F.col("turn") + F.lit(lookback - 1))))))
+    back = Window.partitionBy("phase", "chunk").orderBy("turn").rangeBetween(1 - lookback, 0)
+    t = F.col("turn") * w + F.col("phase")
+    own = (F.col("chunk") == chunk(F.col("turn"))) & (t >= first) & (t <= last) & (F.pmod(t - F.lit(grid.anchor), F.lit(grid.emit)) == 0)
+    held = sent.withColumn("x", F.collect_list("x").over(back)).where(own & (F.size("x") == lookback))
+    gathered = held.select(t.alias("t"), F.reverse("x").alias("x"))
     ticks = spark.range(first, last + 1, grid.emit).withColumnRenamed("id", "t")
     out = ticks.join(gathered, "t", "left").select(F.col("t").alias("close_time"), *(F.col(f"x.{n}").alias(n) for n in FIELDS))
     return PhasedLookback(out, grid)
