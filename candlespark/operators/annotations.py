@@ -1,21 +1,24 @@
 """Interval annotations: flags and overlapped seconds of a sparse sidecar, for every window.
 
-A sidecar of up to ``LITERAL_INTERVALS`` intervals is held in one array literal, so a window is
-annotated in its own row without a join. A larger one is joined by time buckets: intervals and
+A sidecar of up to ``LITERAL_INTERVALS`` intervals is held in literals, so a window is annotated in its
+own row without a join: the seconds covered before a time are looked up, and a window's are the
+difference between its ends. A larger one is joined by time buckets: intervals and
 windows meet in the buckets they share, so no task compares all with all.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlespark.columns import LONG, STRING, require_absent, require_types
 from candlespark.errors import ConfigError, DataValidationError
 
-LITERAL_INTERVALS = 2000
+#: Intervals that are looked up without a join, and flags that are told by their own covered seconds.
+LITERAL_INTERVALS, MANY_FLAGS = 2000, 64
 
 
 class AnnotationValidationError(DataValidationError):
@@ -79,21 +82,54 @@ def annotate_windows(df: DataFrame, annotations: DataFrame, *, columns: Annotati
     if n > LITERAL_INTERVALS:
         return _joined(df, annotations, columns, flags_name, seconds_name)
     rows = annotations.select(columns.start, columns.end, columns.flag).limit(LITERAL_INTERVALS).collect()
+    empty, none = F.array().cast("array<string>"), F.lit(0).cast("long")
+    if not rows:
+        return df.select("*", empty.alias(flags_name), none.alias(seconds_name))
+    by_flag: dict[str, list[tuple[int, int]]] = {}
+    for s, e, f in rows:
+        by_flag.setdefault(f, []).append((s, e))
+    seconds = _covered([(r[0], r[1]) for r in rows], "close_time") - _covered([(r[0], r[1]) for r in rows], "open_time")
+    if len(by_flag) <= MANY_FLAGS:  # a flag touches a window that its intervals cover a part of
+        held = [F.when(_covered(x, "close_time") > _covered(x, "open_time"), F.lit(f)) for f, x in sorted(by_flag.items())]
+        names = F.array_compact(F.array(*held))
+    else:
+        flags = _constant([{"s": s, "e": e, "f": f} for s, e, f in {tuple(r) for r in rows}], "array<struct<s:long,e:long,f:string>>")
+        touches = lambda x: (F.col("open_time") < x["e"]) & (F.col("close_time") > x["s"])
+        names = F.array_sort(F.array_distinct(F.transform(F.filter(flags, touches), lambda x: x["f"])))
+    return df.select("*", names.alias(flags_name), seconds.alias(seconds_name))
+
+
+def _constant(value: list, kind: str) -> Column:
+    """A constant of any size as one literal, which is read once when the plan is made."""
+    return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
+
+
+def _covered(spans: list[tuple[int, int]], time: str) -> Column:
+    """Seconds that the union of intervals covers before a time.
+
+    The span of the intervals is cut into cells of equal length, four for each interval. A cell knows what is covered
+    before it and the parts of the union in it, of which there are few: a look-up and a short sum, however many
+    intervals there are.
+    """
     merged: list[list[int]] = []
-    for s, e in sorted((r[0], r[1]) for r in rows):
+    for s, e in sorted(spans):
         if merged and s <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    flags = F.array(*(F.struct(F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e"), F.lit(f).alias("f")) for s, e, f in {tuple(r) for r in rows})) if rows else None
-    union = F.array(*(F.struct(F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e")) for s, e in merged)) if rows else None
-    if flags is None:
-        return df.select("*", F.array().cast("array<string>").alias(flags_name), F.lit(0).cast("long").alias(seconds_name))
-    touches = lambda x: (F.col("open_time") < x["e"]) & (F.col("close_time") > x["s"])
-    names = F.array_sort(F.array_distinct(F.transform(F.filter(flags, touches), lambda x: x["f"])))
-    inside = lambda a, x: a + F.greatest(F.least(F.col("close_time"), x["e"]) - F.greatest(F.col("open_time"), x["s"]), F.lit(0).cast("long"))
-    seconds = F.aggregate(F.filter(union, touches), F.lit(0).cast("long"), inside)
-    return df.select("*", names.alias(flags_name), seconds.alias(seconds_name))
+    low, high = merged[0][0], merged[-1][1]
+    width = max(1, -(-(high - low) // (4 * len(merged))))
+    cells: list[dict] = [{"b": 0, "p": []} for _ in range(-(-(high - low) // width))]
+    for s, e in merged:
+        for k in range((s - low) // width, (e - 1 - low) // width + 1):
+            cells[k]["p"].append({"s": max(s, low + k * width), "e": min(e, low + (k + 1) * width)})
+    for k in range(1, len(cells)):
+        cells[k]["b"] = cells[k - 1]["b"] + sum(p["e"] - p["s"] for p in cells[k - 1]["p"])
+    t = F.col(time)
+    place = F.greatest(F.lit(0), F.least(F.lit(len(cells) - 1), F.floor((t - F.lit(low)) / F.lit(width)))).cast("int")
+    cell = F.get(_constant(cells, "array<struct<b:long,p:array<struct<s:long,e:long>>>>"), place)
+    # of a part, what lies before the time
+    return F.aggregate(cell["p"], cell["b"], lambda a, p: a + F.least(F.greatest(t, p["s"]), p["e"]) - p["s"])
 
 
 def _joined(df: DataFrame, annotations: DataFrame, columns: AnnotationColumns, flags_name: str, seconds_name: str, bucket: int = 86_400) -> DataFrame:

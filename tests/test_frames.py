@@ -179,3 +179,25 @@ def test_both_returns_at_once_are_each_of_them(spark):
         ratio = lambda n, d: None if n is None or not d else (n - d) / d
         want = sorted((t, c, k, ratio(c, close.get(t - 60 * h)), ratio(close.get(t + 60 * h), c), t + 60 * h) for t, c, k in rows)
         assert sorted(map(tuple, both.collect()), key=lambda r: r[0]) == want
+
+
+def test_annotations_are_those_of_every_interval(spark, monkeypatch):
+    import random
+
+    from candlespark.operators import annotations
+
+    rng = random.Random(91)
+    windows = [(t, t + rng.choice([1, 60, 900, 50_000])) for t in (rng.randrange(-5000, 60_000) for _ in range(300))]
+    df = spark.createDataFrame(windows, "open_time long, close_time long").repartition(3)
+    for n, flags in ((1, 1), (40, 3), (300, 5)):
+        spans = [(s, s + rng.choice([1, 7, 300, 4000])) for s in (rng.randrange(0, 50_000) for _ in range(n))]
+        rows = [(s, e, f"f{rng.randrange(flags)}") for s, e in spans]
+        side = spark.createDataFrame(rows, "start_timestamp long, end_timestamp long, flag string")
+        covered = sorted({x for s, e in spans for x in range(s, e)})
+        from bisect import bisect_left
+
+        want = sorted((o, c, sorted({f for s, e, f in rows if o < e and c > s}), bisect_left(covered, c) - bisect_left(covered, o)) for o, c in windows)
+        assert sorted(map(tuple, annotations.annotate_windows(df, side).collect())) == want
+        with monkeypatch.context() as m:
+            m.setattr(annotations, "MANY_FLAGS", 0)
+            assert sorted(map(tuple, annotations.annotate_windows(df, side).collect())) == want
