@@ -34,6 +34,12 @@ def with_limbs(df: DataFrame, column: str = "volume") -> DataFrame:
     return df.select("*", *(c.alias(n) for c, n in zip(limbs, NAMES)), F.when(~_ordinary(x), x).alias(ODD), F.when(x.isNotNull(), 1).otherwise(0).cast("long").alias(ANY))
 
 
+def live(df: DataFrame) -> list[str]:
+    """Which of the columns that :func:`with_limbs` adds are anything but zero or null, in one aggregation; the count always is."""
+    row = with_limbs(df).agg(*(F.max(F.col(n) != 0).alias(n) for n in NAMES), (F.count(ODD) > 0).alias(ODD)).first()
+    return [*(n for n in (*NAMES, ODD) if row[n]), ANY]
+
+
 def sums() -> list[Column]:
     """Aggregates of what :func:`with_limbs` adds, under the same names; they are merged in the same way."""
     return [F.sum(n).alias(n) for n in (*NAMES, ODD, ANY)]

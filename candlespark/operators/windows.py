@@ -160,7 +160,7 @@ def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, k
     candles, own = _require_grid(candles, s), block(F.col("o"))
     places = F.array(*(F.struct((own - shift).alias("b"), (F.col("o") - shift).alias("k"), F.lit(n).alias("side")) for n, shift in ((0, F.lit(0)), (1, F.lit(w)))))
     count = F.lit(1).cast("long") + F.when(traded(F.col("volume")), F.lit(_TRADED)).otherwise(F.lit(0).cast("long"))
-    limbs = (*exact.NAMES, exact.ODD, exact.ANY)
+    limbs = exact.live(candles)  # of most volumes two or three: a running sum costs more than finding out
     rows = exact.with_limbs(candles).select(*keys, F.explode(places).alias("at"), "r", *OHLCV, *limbs, count.alias("n")).select(*keys, "at.*", "r", *OHLCV, *limbs, "n")
     probe = F.col("t") - w
     probes = ticks.select(*keys, block(probe).alias("b"), probe.alias("k"), "t")
@@ -188,7 +188,7 @@ def _block_plan(candles: DataFrame, s: ResolvedSchedule, start: int, end: int, k
         F.when(has_old, F.col("old_open")).when(has_new, F.col("new_open")).alias("open"),
         F.greatest("old_high", "new_high").alias("high"), F.least("old_low", "new_low").alias("low"),
         F.when(has_new, F.col("new_close")).when(has_old, F.col("old_close")).alias("close"),
-        *(both(c).alias(c) for c in limbs),
+        *(both(c).alias(c) for c in limbs), *(F.lit(None if c == exact.ODD else 0).cast("double" if c == exact.ODD else "long").alias(c) for c in (*exact.NAMES, exact.ODD) if c not in limbs),
         many.bitwiseAND(F.lit(_TRADED - 1)).alias("src_count"),
         (F.shiftright(many, 32) * F.lit(s.cadence).cast("long")).alias("traded_seconds"),
     ))
