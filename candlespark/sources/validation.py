@@ -1,6 +1,6 @@
 """Validation of raw candle frames: findings as data, nothing repaired.
 
-All counts come from one aggregation over one scan; samples are fetched only for checks that
+All counts come from one scan of the source and one shuffle; samples are fetched only for checks that
 failed. Row order is the reader's ``__row`` column; a frame without it is taken in the order of
 its timestamps, where only repeats can be seen as non-increasing.
 """
@@ -22,6 +22,8 @@ logger = get_logger(__name__)
 SAMPLES, MAX_GAPS = 20, 1000
 #: Rows that one task orders: numbered rows are cut into stretches of so many.
 STRETCH_ROWS = 1_000_000
+#: Flags of a row that one number holds.
+FLAG_BITS = 60
 
 
 class ValidationMode(Enum):
@@ -66,17 +68,22 @@ class SourceValidationError(DataValidationError):
         self.report = report
 
 
+def _in_stretches(df: DataFrame, profile: SourceProfile, *more: Column) -> DataFrame:
+    """ts, ord, and the stretch ``b`` of rows that one task orders, with ``more``."""
+    ts = F.col(profile.timestamp_column).cast("long")
+    numbered = ROW in df.columns
+    order = F.col(ROW) if numbered else ts
+    width = STRETCH_ROWS if numbered else STRETCH_ROWS * profile.cadence.total_seconds
+    return df.select(ts.alias("ts"), order.alias("ord"), F.floor(order / F.lit(width)).alias("b"), *more)
+
+
 def with_previous(df: DataFrame, profile: SourceProfile) -> DataFrame:
     """ts, order, and ``diff`` to the previous row (null for the first).
 
     The order is cut into stretches that are compared within, and each stretch's last row is
     carried to the next, so no task orders the whole source.
     """
-    ts = F.col(profile.timestamp_column).cast("long")
-    numbered = ROW in df.columns
-    order = F.col(ROW) if numbered else ts
-    width = STRETCH_ROWS if numbered else STRETCH_ROWS * profile.cadence.total_seconds
-    rows = df.select(ts.alias("ts"), order.alias("ord"), F.floor(order / F.lit(width)).alias("b"))
+    rows = _in_stretches(df, profile)
     inside = Window.partitionBy("b").orderBy("ord", "ts")
     last = rows.groupBy("b").agg(F.max_by("ts", F.struct("ord", "ts")).alias("last"))  # a row for each stretch
     carried = last.select("b", F.lag("last").over(Window.orderBy("b")).alias("carried"))
@@ -103,14 +110,34 @@ def _step_checks(d: int) -> dict[FindingKind, Column]:
     }
 
 
+def _summary(df: DataFrame, profile: SourceProfile, flags: dict[str, Column]) -> DataFrame:
+    """One row: ``rows``, the rows of each check by its name, and those of each flag. The source is read once.
+
+    Flags travel as bits of a number beside time and order, in one shuffle. A stretch is counted within, and the step
+    into it from its first time and the last one of the stretch before: a row for each stretch.
+    """
+    d = profile.cadence.total_seconds
+    at = {f: (f"m{k // FLAG_BITS}", 1 << k % FLAG_BITS) for k, f in enumerate(flags)}
+    masks: dict[str, Column] = {}
+    for f, (name, bit) in at.items():
+        masks[name] = masks.get(name, F.lit(0).cast("long")) + F.when(flags[f], F.lit(bit)).otherwise(F.lit(0)).cast("long")
+    order = Window.partitionBy("b").orderBy("ord", "ts")
+    rows = _in_stretches(df, profile, *(m.alias(name) for name, m in masks.items()))
+    rows = rows.withColumns({"diff": F.col("ts") - F.lag("ts").over(order), "rank": F.row_number().over(order)})
+    steps, off = _step_checks(d), F.pmod(F.col("ts"), F.lit(d)) != profile.phase_seconds
+    counts = {FindingKind.OFF_PHASE.value: off} | {k.value: c for k, c in steps.items()} | {f: F.col(name).bitwiseAND(F.lit(bit)) != 0 for f, (name, bit) in at.items()}
+    ends = F.min_by("ts", "rank").alias("first"), F.max_by("ts", "rank").alias("last")
+    stretches = rows.groupBy("b").agg(F.count("*").alias("rows"), *ends, *(F.count_if(c).alias(n) for n, c in counts.items()))
+    seams = stretches.withColumn("diff", F.col("first") - F.lag("last").over(Window.orderBy("b")))
+    here = {k.value: F.count_if(c) for k, c in steps.items()}
+    return seams.agg(*((F.coalesce(F.sum(n), F.lit(0)) + here.get(n, F.lit(0))).alias(n) for n in ("rows", *counts)))
+
+
 def validation_counts(df: DataFrame, profile: SourceProfile) -> DataFrame:
     """(kind, count) for each check of rows, zeros included; gaps count missing candles' runs. One scan, no samples."""
-    d = profile.cadence.total_seconds
-    steps = with_previous(df, profile)
-    off = F.pmod(F.col("ts"), F.lit(d)) != profile.phase_seconds
-    checks = {FindingKind.OFF_PHASE: off} | _step_checks(d)
-    one = steps.agg(*(F.count_if(c).alias(k.value) for k, c in checks.items()))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k.value).alias("kind"), F.col(k.value).alias("count")) for k in checks))).alias("x")).select("x.kind", "x.count")
+    kinds = (FindingKind.OFF_PHASE, *_step_checks(1))
+    one = _summary(df, profile, {})
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k.value).alias("kind"), F.col(k.value).alias("count")) for k in kinds))).alias("x")).select("x.kind", "x.count")
 
 
 def validate_source_frame(df: DataFrame, profile: SourceProfile, *, mode: ValidationMode = ValidationMode.STRICT) -> ValidationReport:
@@ -129,27 +156,28 @@ def validate_source_frame(df: DataFrame, profile: SourceProfile, *, mode: Valida
         findings.append(Finding(FindingKind.SCHEMA, "; ".join(parts), len(missing) + len(wrong)))
     present = [c for c in profile.raw_schema if c in types]
     floating = [c for c in present if profile.raw_schema[c] is ColumnKind.FLOATING and ColumnKind.FLOATING.matches(types[c])]
-    null = {c: F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}") for k, c in enumerate(present)}
-    odd = {c: F.count_if(F.isnan(f"`{c}`") | (F.abs(f"`{c}`") == F.lit(float("inf")))).alias(f"f{k}") for k, c in enumerate(floating)}
-    row = df.agg(F.count("*").alias("rows"), *null.values(), *odd.values()).first()
+    flags = {f"n{k}": F.col(f"`{c}`").isNull() for k, c in enumerate(present)}
+    flags |= {f"f{k}": F.isnan(f"`{c}`") | (F.abs(f"`{c}`") == F.lit(float("inf"))) for k, c in enumerate(floating)}
+    stamp = profile.timestamp_column
+    usable = stamp in types and stamp not in wrong
+    counted = _summary(df, profile, flags) if usable else df.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+    row = counted.first()
     nulls = {c: row[f"n{k}"] for k, c in enumerate(present) if row[f"n{k}"]}
     if nulls:
         findings.append(Finding(FindingKind.NULL_VALUES, f"null cells by column: {nulls}", sum(nulls.values())))
     odds = {c: row[f"f{k}"] for k, c in enumerate(floating) if row[f"f{k}"]}
     if odds:
         findings.append(Finding(FindingKind.NON_FINITE_VALUES, f"NaN or infinite cells by column: {odds}", sum(odds.values())))
-    stamp = profile.timestamp_column
-    if stamp in types and stamp not in wrong and not nulls.get(stamp) and row["rows"]:
-        findings += _row_findings(df, profile)
+    if usable and not nulls.get(stamp) and row["rows"]:
+        findings += _row_findings(df, profile, row.asDict())
     report = ValidationReport(row["rows"], tuple(findings))
     if findings and mode is ValidationMode.STRICT:
         raise SourceValidationError("; ".join(f.message for f in findings), report)
     return report
 
 
-def _row_findings(df: DataFrame, profile: SourceProfile) -> list[Finding]:
+def _row_findings(df: DataFrame, profile: SourceProfile, counts: dict[str, int]) -> list[Finding]:
     d, p = profile.cadence.total_seconds, profile.phase_seconds
-    counts = {r["kind"]: r["count"] for r in validation_counts(df, profile).collect()}
     steps = with_previous(df, profile)
     sample = lambda c: tuple(r[0] for r in steps.where(c).orderBy("ord").select("ts").limit(SAMPLES).collect())
     checks, found = _step_checks(d), []

@@ -3,6 +3,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import math
+import random
 
 import pytest
 
@@ -101,6 +103,32 @@ def test_order_across_stretches(spark, monkeypatch):
     assert got == [None, 60, 60, 120, -60, 120, 60]
 
 
+def test_counts_of_one_scan_are_those_of_rows_in_order(spark, monkeypatch):
+    from candlespark.sources import validation
+
+    monkeypatch.setattr(validation, "STRETCH_ROWS", 3)
+    monkeypatch.setattr(validation, "FLAG_BITS", 4)
+    rng = random.Random(9)
+    schema = f"timestamp long, open double, high double, low double, close double, volume double, {ROW} long"
+    values = [1.0, 1.0, 1.0, 1.0, None, float("nan"), float("inf")]
+    for width in (1, 60):
+        times, rows = [], []
+        for k in range(40):
+            times.append((times[-1] if times else T0) + rng.choice([60, 60, 60, 120, width, -60, 0, 90]))
+            rows.append((times[-1], *(rng.choice(values) for _ in range(5)), k + 5 * (k > 20)))
+        steps = [b - a for a, b in zip(times, times[1:])]
+        df = spark.createDataFrame(rows, schema).repartition(4)
+        counts = {r["kind"]: r["count"] for r in validation.validation_counts(df, BITSTAMP_BTCUSD_1M).collect()}
+        assert counts == {
+            "off_phase": sum(t % 60 != 0 for t in times), "non_increasing_timestamps": sum(s <= 0 for s in steps), "overlapping_intervals": sum(0 < s < 60 for s in steps),
+            "irregular_interval": sum(s > 60 and s % 60 != 0 for s in steps), "gap": sum(s > 60 and s % 60 == 0 for s in steps),
+        }
+        report = validate_source_frame(df, BITSTAMP_BTCUSD_1M, mode=ValidationMode.REPORT)
+        cells = [v for r in rows for v in r[1:6]]
+        odd = sum(v is not None and not math.isfinite(v) for v in cells)
+        assert report.rows == 40 and [(f.kind, f.count) for f in report.findings[:2]] == [(FindingKind.NULL_VALUES, cells.count(None)), (FindingKind.NON_FINITE_VALUES, odd)]
+
+
 def test_sidecar(spark, tmp_path):
     path = tmp_path / "side.csv"
     path.write_text("start_timestamp,end_timestamp,flag,note\n1,5,a,x\n7,9,b,y\n")
