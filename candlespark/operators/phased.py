@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from candlespark.columns import DOUBLE, LONG, require_types
@@ -18,6 +18,8 @@ from candlespark.errors import ConfigError, bounded_echo
 
 #: The longest lookback, and lookbacks of a chunk of a class.
 MAX_LOOKBACK, CHUNK_LOOKBACKS = 512, 64
+#: Seconds of the buckets whose steps one task looks at.
+MONTH = 2_592_000
 FIELDS = {"open": DOUBLE, "high": DOUBLE, "low": DOUBLE, "close": DOUBLE, "volume": DOUBLE, "src_count": LONG, "coverage_seconds": LONG, "traded_seconds": LONG}
 
 
@@ -63,20 +65,19 @@ def resolve_phased_grid(df: DataFrame, *, window: Duration | str, emit_every: Du
     a = coerce_duration(anchor, "anchor").total_seconds % e
     lookback = _count(lookback, "lookback", 1, MAX_LOOKBACK)
     require_types(df, {"open_time": LONG, "close_time": LONG} | FIELDS, "window frame")
-    key = F.col("close_time")
-    row = df.agg(F.count("*").alias("n"), F.count(key).alias("present"), F.min(key).alias("low"), F.max(key).alias("high"), F.count_if(~(key - F.col("open_time")).eqNullSafe(F.lit(w).cast("long"))).alias("odd")).first()
+    row = _measured(df, w)
     if row["n"] != row["present"]:
         raise ConfigError(f"close_time has {row['n'] - row['present']} nulls")
     if row["odd"]:
         raise ConfigError(f"{row['odd']} rows do not span the stated window of {Duration(w)}")
     if row["n"] < 2:
         raise ConfigError("a phased lookback needs at least two rows to measure the frame's cadence")
-    counted = _steps(df).groupBy("step").count()
-    usual = F.max_by("step", F.struct("count", -F.col("step")))
-    cadence, least, odd = counted.agg(usual, F.min("step"), F.count_if(F.try_mod("step", counted.agg(usual).scalar()) != 0)).first()
-    if cadence <= 0 or least <= 0:
+    if row["least"] <= 0:
         raise ConfigError("close_time repeats")
-    if odd:
+    cadence, uneven = row["least"], row["mixed"]
+    if uneven or 2 * row["usual"] <= row["n"] - 1:  # the least step may not be the most common one: count them all
+        cadence, uneven = _most_common_step(df)
+    if uneven:
         raise ConfigError(f"the steps of close_time are not all multiples of {Duration(cadence)}")
     for label, value in (("window", w), ("emit_every", e)):
         if value % cadence:
@@ -87,14 +88,45 @@ def resolve_phased_grid(df: DataFrame, *, window: Duration | str, emit_every: Du
     return PhasedGrid(w, e, a, lookback, cadence, (first, last) if first <= last else None)
 
 
-def _steps(df: DataFrame) -> DataFrame:
-    """Steps between consecutive close times; time buckets, stitched by each bucket's first and last."""
-    bucket = F.floor(F.col("close_time") / F.lit(2_592_000))
-    keyed = df.select("close_time", bucket.alias("b"))
-    inner = keyed.select((F.col("close_time") - F.lag("close_time").over(Window.partitionBy("b").orderBy("close_time"))).alias("step")).where("step IS NOT NULL")
-    edges = keyed.groupBy("b").agg(F.min("close_time").alias("low"), F.max("close_time").alias("high"))  # one row for each month
+def _in_months(df: DataFrame, *more: Column) -> DataFrame:
+    """close_time, its month-long bucket ``b``, the ``step`` from the row before in the bucket, and ``more``."""
+    rows = df.select("close_time", F.floor(F.col("close_time") / F.lit(MONTH)).alias("b"), *more)
+    return rows.withColumn("step", F.col("close_time") - F.lag("close_time").over(Window.partitionBy("b").orderBy("close_time")))
+
+
+def _measured(df: DataFrame, w: int) -> Row:
+    """Order, uniqueness, spans and steps of a frame in one aggregation and one shuffle.
+
+    n, present (close times that are not null), odd (rows of another span), low, high, the ``least`` step, ``usual`` (how many
+    steps are the least), and ``mixed``: steps that may be no multiple of the least, none of which is the proof that all are.
+    A bucket is summed up within; the steps between buckets come from their ends, a row for each.
+    """
+    odd = ~(F.col("close_time") - F.col("open_time")).eqNullSafe(F.lit(w).cast("long"))
+    kinds = _in_months(df, odd.alias("odd")).groupBy("b", "step").agg(
+        F.count("*").alias("n"), F.count("close_time").alias("present"), F.count_if("odd").alias("odd"), F.min("close_time").alias("low"), F.max("close_time").alias("high")
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "present", "odd")]
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    inside = F.col("step") == F.col("own")
+    buckets = kinds.withColumn("own", F.min("step").over(Window.partitionBy("b"))).groupBy("b").agg(
+        *sums, *ends, F.min("own").alias("own"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("usual"), F.count_if(F.try_mod("step", F.col("own")) != 0).alias("mixed")
+    )
+    seams = buckets.withColumn("seam", F.col("low") - F.lag("high").over(Window.orderBy("b")))
+    everywhere = Window.partitionBy()
+    steps = seams.withColumn("least", F.least(F.min("own").over(everywhere), F.min("seam").over(everywhere)))
+    usual = F.sum(F.when(F.col("own") == F.col("least"), F.col("usual")).otherwise(0)) + F.count_if(F.col("seam") == F.col("least"))
+    mixed = F.sum("mixed") + F.count_if(F.try_mod("own", F.col("least")) != 0) + F.count_if(F.try_mod("seam", F.col("least")) != 0)
+    return steps.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "present", "odd")), *ends, F.min("least").alias("least"), usual.alias("usual"), mixed.alias("mixed")).first()
+
+
+def _most_common_step(df: DataFrame) -> tuple[int, int]:
+    """The most common step between consecutive close times (of equally common ones the least), and how many kinds are no multiple of it."""
+    rows = _in_months(df)
+    edges = rows.groupBy("b").agg(F.min("close_time").alias("low"), F.max("close_time").alias("high"))  # one row for each month
     seams = edges.select((F.col("low") - F.lag("high").over(Window.orderBy("b"))).alias("step")).where("step IS NOT NULL")
-    return inner.unionByName(seams)
+    counted = rows.select("step").where("step IS NOT NULL").unionByName(seams).groupBy("step").count()
+    usual = counted.agg(F.max_by("step", F.struct("count", -F.col("step")))).first()[0]
+    return usual, counted.where(F.try_mod("step", F.lit(usual)) != 0).count()
 
 
 def phased_lookback(df: DataFrame, *, window: Duration | str, emit_every: Duration | str, lookback: int, anchor: Duration | str = "0s", min_traded_seconds: int = 0) -> PhasedLookback:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import statistics
 
 import pytest
@@ -12,7 +13,7 @@ from candlespark.errors import ConfigError, DataValidationError
 from candlespark.functions import add_calendar_columns
 from candlespark.operators import annotations as ann
 from candlespark.operators.indicators import CutlersRSI, LogVolumeRatio, PriceToMovingAverage, RelativeRange, add_indicator
-from candlespark.operators.phased import phased_lookback
+from candlespark.operators.phased import phased_lookback, resolve_phased_grid
 from candlespark.operators.quality import GateMode, QualityMode, WindowCoverageError, WindowQualityPolicy, apply_quality_policy, least_passing_seconds
 from candlespark.operators.returns import ReturnMethod, add_backward_returns, add_forward_excursions, add_forward_returns
 
@@ -201,3 +202,22 @@ def test_annotations_are_those_of_every_interval(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(annotations, "MANY_FLAGS", 0)
             assert sorted(map(tuple, annotations.annotate_windows(df, side).collect())) == want
+
+
+def test_steps_measured_in_one_aggregation_are_those_of_sorted_times(spark, monkeypatch):
+    monkeypatch.setattr("candlespark.operators.phased.MONTH", 600)  # many buckets, some without a row
+    rng = random.Random(5)
+    _, plain = _window_frame(spark, 2)
+    cases = [[0, 60, 120, 180], [0, 60, 180, 300, 420], [0, 60, 120, 240, 300], [0, 120, 300, 420], [0, 60, 60], [0, 3600, 7200], [0, 120, 240, 300]]
+    cases += [sorted(rng.sample(range(0, 6000, 60), rng.randrange(2, 70))) for _ in range(8)]
+    for times in cases:
+        rows = [(T0 + 60 * t - 60 * 3600, T0 + 60 * t, *([1.0] * 5), 1, 60, 60) for t in times]
+        steps = [60 * (b - a) for a, b in zip(times, times[1:])]
+        usual = min(set(steps), key=lambda x: (-steps.count(x), x))
+        right = min(steps) > 0 and not any(x % usual for x in steps)
+        make = lambda: resolve_phased_grid(spark.createDataFrame(rows, plain.schema).repartition(3), window="60h", emit_every="60h", lookback=1, anchor=f"{(T0 + 60 * times[0]) % 216_000}s")  # noqa: E731, B023
+        if right and 216_000 % usual == 0:
+            assert make().cadence == usual, times
+        else:
+            with pytest.raises(ConfigError):
+                make()
