@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from candlespark.columns import ROW
 from candlespark.operators import events, exact, kernels, sweep
-from candlespark.operators.grid import ExplicitRange
+from candlespark.operators import windows as plans
+from candlespark.operators.grid import ExplicitRange, resolve_schedule
 from candlespark.operators.reference import compute_reference_windows
 from candlespark.operators.windows import compute_ladder, compute_windows
 from candlespark.sources.profile import candle_profile
@@ -176,3 +177,30 @@ def test_each_key_skips_its_own_warmup(spark):
 
     with pytest.raises(ConfigError, match="by any key"):
         compute_windows(df.where("key = 'short'"), PROFILE, window="8m", emit_every="1m", partition_by="key")
+
+
+def test_first_full_windows_of_one_pass_are_those_of_every_run(spark, monkeypatch):
+    monkeypatch.setattr("candlespark.operators.windows.STRETCH_BITS", 7)  # two pages a stretch
+    rng = random.Random(3)
+    schema = "timestamp long, open double, high double, low double, close double, volume double"
+    pairs = [(1, 1), (2, 3), (7, 2), (64, 1), (65, 5), (130, 7), (400, 1)]
+    for share in (0.0, 0.002, 0.02, 0.3, 0.9):
+        start = rng.randrange(-500, 500)
+        held = [k for k in range(start, start + 1500) if rng.random() >= share] or [start]
+        df = spark.createDataFrame([(60 * k, *([1.0] * 5)) for k in held], schema).repartition(3)
+        candles, schedules = plans.extract_candles(df, PROFILE), [resolve_schedule(PROFILE, window=f"{w}m", emit_every=f"{e}m") for w, e in pairs]
+        span = plans._span(candles, schedules[0], warm=schedules)
+        assert (span.low, span.high, span.off, span.unique) == (60 * held[0], 60 * held[-1], 0, True)
+        have = set(held)
+        for (w, e), s in zip(pairs, schedules):
+            full = [t for t in range(held[0], held[-1] + 2) if t % e == 0 and all(k in have for k in range(t - w, t))]
+            assert span.full[s] == (60 * full[0] if full else None), (share, w, e)
+
+
+def test_first_full_window_of_repeated_candles_is_counted(spark):
+    held = [1, 1, 2, 3, 5, 6, 6, 7]
+    df = spark.createDataFrame([(60 * k, *([1.0] * 5)) for k in held], "timestamp long, open double, high double, low double, close double, volume double")
+    for full in (2, 3):
+        got = compute_windows(df, PROFILE, window=f"{full}m", emit_every="1m")
+        ticks = [t for t in range(1 + full, 9) if sum(t - full <= k < t for k in held) == full]
+        assert got.agg(F.min("close_time")).first()[0] == 60 * ticks[0]
