@@ -213,7 +213,7 @@ def _tick_frame(spark, s: ResolvedSchedule, start: int, end: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Span:
-    """First and last open time of a source, or None, how many candles lie off its grid, and whether no two of a key lie in one cadence.
+    """First and last open time of a source, or None, how many candles it has and how many lie off its grid, and whether no two of a key lie in one cadence.
 
     ``full`` has the tick of the first full window, or None, of each schedule for which it was sought.
     """
@@ -222,80 +222,88 @@ class _Span:
     high: int | None
     off: int
     unique: bool
+    candles: int = 0
     full: dict[ResolvedSchedule, int | None] = field(default_factory=dict)
 
-    @property
-    def plain(self) -> bool:
-        return not self.off and self.unique
+
+def _pages(candles: DataFrame, s: ResolvedSchedule, keys: list[str]) -> DataFrame:
+    """A row for each 64 cadences of a source that have a candle: a bit for each that has one, and what its candles sum up."""
+    slot = F.floor((F.col("o") - F.lit(s.phase)) / F.lit(s.cadence))
+    off = F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0
+    rows = candles.where("o IS NOT NULL").select(*keys, "o", off.alias("off"), slot.alias("slot"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
+    return rows.groupBy(*keys, F.shiftright("slot", 6).alias("page")).agg(bits, F.min("o").alias("low"), F.max("o").alias("high"), F.count_if("off").alias("off"), F.count("*").alias("n"))
+
+
+def _span(candles: DataFrame, s: ResolvedSchedule, keys: list[str] | None = None) -> _Span:
+    """As many bits as candles means that all open at times of their own."""
+    unique = F.bool_and(F.col("n") == F.bit_count("bits"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return _Span(*_pages(candles, s, keys or []).agg(F.min("low"), F.max("high"), zero("off"), F.coalesce(unique, F.lit(True)), zero("n")).first())
 
 
-def _span(candles: DataFrame, s: ResolvedSchedule, keys: list[str] | None = None, warm: list[ResolvedSchedule] = []) -> _Span:
-    """A bit for each cadence of 64, set by its candles: as many bits as candles means that all open at times of their own.
+def _warm_span(candles: DataFrame, schedules: list[ResolvedSchedule]) -> _Span:
+    """The span with the first full windows of schedules, where candles open on the grid at times of their own.
 
-    With ``warm`` the same job finds the first full windows of these schedules, of a source whose candles open on the grid at times of their own.
+    In a source without a hole these are the first ones; else one pass more finds those of all schedules.
     """
-    slot = F.floor((F.col("o") - F.lit(s.phase)) / F.lit(s.cadence))
-    off = F.pmod(F.col("o") - F.lit(s.phase), F.lit(s.cadence)) != 0
-    rows = candles.where("o IS NOT NULL").select(*(keys or []), "o", off.alias("off"), slot.alias("slot"))
-    bits = F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))"))
-    pages = rows.groupBy(*(keys or []), F.shiftright("slot", 6).alias("page")).agg(bits.alias("bits"), F.min("o").alias("low"), F.max("o").alias("high"), F.count_if("off").alias("off"), (F.count("*") == F.bit_count(bits)).alias("unique"))
-    found, firsts = (_with_full(pages, s, warm), [F.min(f"full{k}") for k in range(len(warm))]) if warm else (pages, [])
-    row = found.agg(F.min("low"), F.max("high"), F.coalesce(F.sum("off"), F.lit(0)), F.coalesce(F.bool_and("unique"), F.lit(True)), *firsts).first()
-    return _Span(*row[:4], dict(zip(warm, row[4:])))
+    s = schedules[0]
+    span = _span(candles, s)
+    if span.low is None or span.off or not span.unique:
+        return span
+    if span.candles * s.cadence == span.high + s.cadence - span.low:
+        ticks = {w: w.first_tick_at_or_after(span.low + w.window) for w in schedules}
+        return replace(span, full={w: t if t <= span.high + s.cadence else None for w, t in ticks.items()})
+    return replace(span, full=_first_full(candles, list(dict.fromkeys(schedules))))
 
 
-def _with_full(pages: DataFrame, s: ResolvedSchedule, warm: list[ResolvedSchedule]) -> DataFrame:
-    """What ``pages`` sum up, by stretches of them, with ``full<k>``: the first tick of the k-th schedule whose window is full.
+def _first_full(candles: DataFrame, schedules: list[ResolvedSchedule]) -> dict[ResolvedSchedule, int | None]:
+    """The first tick of each schedule whose window is full, of a source whose candles open on the grid at times of their own.
 
     A window is full if it lies in a run of cadences that all have a candle. Runs of a page are read from its bits, those of a
     stretch joined in one task, which leaves its first full ticks, the run that it begins with and the one that it ends with;
     only these are joined over stretches. So it is one pass over a summary of the source, however many holes come first.
     """
-    least = min(w.window for w in warm) // s.cadence
-    both = pages.withColumns({"heads": F.expr("bits & ~shiftleft(bits, 1)"), "tails": F.expr("bits & ~shiftrightunsigned(bits, 1)")})
-    places = lambda c: F.expr(f"filter(sequence(0, 63), i -> (shiftrightunsigned({c}, i) & 1) = 1)")
-    whole = F.col("bits") == -1
-    heads, tails = F.when(whole, F.array(F.lit(0))).otherwise(places("heads")), F.when(whole, F.array(F.lit(63))).otherwise(places("tails"))
-    summed, base = ("low", "high", "off", "unique"), F.col("page") * 64
-    runs = both.select("page", *summed, F.posexplode(F.arrays_zip(heads.alias("a"), tails.alias("b"))).alias("k", "x"))
-    once = [F.when(F.col("k") == 0, F.col(c)).alias(c) for c in summed]  # what a page sums up goes with its first run
-    runs = runs.select(F.shiftright("page", STRETCH_BITS - 6).alias("stretch"), *once, "k", (base + F.col("x.a")).alias("a"), (base + F.col("x.b")).alias("b"))
-    runs = runs.where((F.col("k") == 0) | (F.pmod("a", F.lit(64)) == 0) | (F.pmod("b", F.lit(64)) == 63) | (F.col("b") - F.col("a") + 1 >= least))
-    merge = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("off").alias("off"), F.bool_and("unique").alias("unique")]
-    time = lambda c: F.col(c) * F.lit(s.cadence).cast("long") + F.lit(s.phase)
-    begin, stop = F.shiftleft("stretch", STRETCH_BITS), F.shiftleft(F.col("stretch") + 1, STRETCH_BITS) - 1
+    s, least = schedules[0], min(w.window // w.cadence for w in schedules)
+    pages = _pages(candles, s, []).select("page", "bits", F.expr("bits & ~shiftleft(bits, 1)").alias("heads"), F.expr("bits & ~shiftrightunsigned(bits, 1)").alias("tails"))
+    places = lambda c, edge: F.when(F.col("bits") == -1, F.array(F.lit(edge))).otherwise(F.expr(f"filter(sequence(0, 63), i -> (shiftrightunsigned({c}, i) & 1) = 1)"))
+    ends = pages.select("page", F.explode(F.arrays_zip(places("heads", 0).alias("a"), places("tails", 63).alias("b"))).alias("x"))
+    runs = ends.select(F.shiftright("page", STRETCH_BITS - 6).alias("stretch"), *((F.col("page") * 64 + F.col(f"x.{c}")).alias(c) for c in "ab"))
+    # others are in no full window
+    runs = runs.where((F.pmod("a", F.lit(64)) == 0) | (F.pmod("b", F.lit(64)) == 63) | (F.col("b") - F.col("a") + 1 >= least))
     fulls = {}
-    for k, w in enumerate(warm):
+    for k, w in enumerate(schedules):
+        time = lambda c: F.col(c) * F.lit(s.cadence).cast("long") + F.lit(s.phase)
         tick = w.tick_at_or_after(time("a") + F.lit(w.window))
-        fulls[f"full{k}"] = F.when(tick <= time("b") + F.lit(s.cadence), tick)
-    stretches = _runs(runs, ["stretch"], merge).groupBy("stretch").agg(
-        *merge, *(F.min(c).alias(n) for n, c in fulls.items()), F.max(F.when(F.col("a") == begin, F.col("b"))).alias("head"), F.min(F.when(F.col("b") == stop, F.col("a"))).alias("tail")
-    )
+        fulls[f"full{k}"] = F.min(F.when(tick <= time("b") + F.lit(s.cadence), tick))
+    begin, stop = F.shiftleft("stretch", STRETCH_BITS), F.shiftleft(F.col("stretch") + 1, STRETCH_BITS) - 1
+    sides = F.max(F.when(F.col("a") == begin, F.col("b"))).alias("head"), F.min(F.when(F.col("b") == stop, F.col("a"))).alias("tail")
+    stretches = _runs(runs, ["stretch"]).groupBy("stretch").agg(*(c.alias(n) for n, c in fulls.items()), *sides)
     edge = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
     edges = F.array_distinct(F.array_compact(F.array(edge(begin, F.col("head")), edge(F.col("tail"), stop))))
-    across = stretches.select(*summed, *fulls, F.posexplode_outer(edges).alias("k", "x"))
-    across = across.select(*(F.when(F.coalesce("k", F.lit(0)) == 0, F.col(c)).alias(c) for c in (*summed, *fulls)), "x.a", "x.b")
-    known = [F.min(n).alias(n) for n in fulls]
-    return _runs(across, [], [*merge, *known]).select(*summed, *(F.least(n, c).alias(n) for n, c in fulls.items()))
+    across = stretches.select(*fulls, F.explode_outer(edges).alias("x")).select("x.a", "x.b", *fulls)
+    row = _runs(across, [], list(fulls)).agg(*(F.least(F.min(n), c).alias(n) for n, c in fulls.items())).first()
+    return dict(zip(schedules, row))
 
 
-def _runs(rows: DataFrame, keys: list[str], merge: list[Column]) -> DataFrame:
-    """Runs [a, b] that touch as one, with what they sum up. Rows without a run are one."""
+def _runs(rows: DataFrame, keys: list[str], least: list[str] = []) -> DataFrame:
+    """Runs [a, b] that touch as one, with the least of columns. Rows without a run are one."""
     order = Window.partitionBy(*keys).orderBy("a")
     fresh = F.when(F.col("a") == F.lag("b").over(order) + 1, 0).otherwise(1)
-    return rows.withColumn("run", fresh).withColumn("run", F.when(F.col("a").isNotNull(), F.sum("run").over(order))).groupBy(*keys, "run").agg(*merge, F.min("a").alias("a"), F.max("b").alias("b"))
+    numbered = rows.withColumn("run", fresh).withColumn("run", F.when(F.col("a").isNotNull(), F.sum("run").over(order)))
+    return numbered.groupBy(*keys, "run").agg(*(F.min(c).alias(c) for c in least), F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def _warmup_range(candles: DataFrame, s: ResolvedSchedule, span: _Span) -> tuple[int, int] | None:
     """[first fully covered tick, last tick + 1), or None if no window is ever full.
 
     A window is full when its candles' durations add up to W. Where candles open on the grid at times of their own, the
-    aggregation that measured the source has found it; else growing stretches are counted, not all of history.
+    span knows it; else growing stretches are counted, not all of history.
     """
     if span.low is None:
         return None
     start, last = s.first_tick_at_or_after(span.low + s.window), s.last_tick_at_or_before(span.high + s.cadence)
-    if span.plain and s in span.full:
+    if s in span.full:
         return None if span.full[s] is None else (span.full[s], last + 1)
     if start > last:
         return None
@@ -321,7 +329,7 @@ def tick_range(df: DataFrame, profile: SourceProfile, s: ResolvedSchedule, mater
     if isinstance(rule, ExplicitRange):
         return rule.start, rule.end
     candles = extract_candles(df, profile)
-    found = _warmup_range(candles, s, span or _span(candles, s, warm=[s]))
+    found = _warmup_range(candles, s, span or _warm_span(candles, [s]))
     if found is None:
         raise ConfigError(f"no window of {Duration(s.window)} is fully covered by the source, so {MaterializationRule.SKIP_WARMUP.value} has no tick to begin at")
     return found
@@ -386,7 +394,7 @@ def compute_windows(
         return _each_key_warm(df, profile, s, partition_by, lambda span: compute_windows(df, profile, window=window, emit_every=emit_every, anchor=anchor, materialization=span, plan=plan, partition_by=partition_by, on_grid=on_grid))
     # only candles of some window are read: the predicate reaches the scan
     within = lambda a, b: (F.col("o") >= a - s.window) & (F.col("o") < b)
-    span = None if isinstance(rule, ExplicitRange) else _span(candles, s, warm=[s])
+    span = None if isinstance(rule, ExplicitRange) else _warm_span(candles, [s])
     low, high = (rule.start - s.window, rule.end) if span is None else (span.low or 0, span.high or 0)
     count = (high - low) // s.cadence
     overlap = s.exploded(1) > 1 or s.window > s.emit and count > EXPLODE_ROWS
@@ -440,7 +448,7 @@ def compute_ladder(
     rule, candles = coerce_materialization(materialization), extract_candles(df, profile)
     if isinstance(rule, ExplicitRange):
         candles = candles.where((F.col("o") >= rule.start - max(s.window for s in resolved)) & (F.col("o") < rule.end))
-    span = _span(candles, resolved[0], warm=[] if isinstance(rule, ExplicitRange) else list(dict.fromkeys(resolved)))
+    span = _span(candles, resolved[0]) if isinstance(rule, ExplicitRange) else _warm_span(candles, resolved)
     ranges = [tick_range(df, profile, s, rule, span) for s in resolved]
     together = [k for k, s in enumerate(resolved) if (s.window <= MAX_SECONDS if span.off else s.window // s.cadence <= MAX_SLOTS)]
     parts = []

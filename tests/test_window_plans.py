@@ -189,7 +189,7 @@ def test_first_full_windows_of_one_pass_are_those_of_every_run(spark, monkeypatc
         held = [k for k in range(start, start + 1500) if rng.random() >= share] or [start]
         df = spark.createDataFrame([(60 * k, *([1.0] * 5)) for k in held], schema).repartition(3)
         candles, schedules = plans.extract_candles(df, PROFILE), [resolve_schedule(PROFILE, window=f"{w}m", emit_every=f"{e}m") for w, e in pairs]
-        span = plans._span(candles, schedules[0], warm=schedules)
+        span = plans._warm_span(candles, schedules)
         assert (span.low, span.high, span.off, span.unique) == (60 * held[0], 60 * held[-1], 0, True)
         have = set(held)
         for (w, e), s in zip(pairs, schedules):
