@@ -224,11 +224,12 @@ def _ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- policies ----------------------------------------------------------------------------------------
 
 
-@_query("quality_gate_report", catalog.SQL["quality_report"])
+@_query("quality_gate_report", f"WITH {catalog._windows_sql(900, 3600, 900, 0, RANGE)} SELECT {WINDOW}, r.* FROM w CROSS JOIN ({catalog.SQL['quality_report']}) r")
 def _gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window, as a reporting gate drops none, with the counts of the gate's report beside it."""
     policy = WindowQualityPolicy(QualityMode.GATE, min_coverage=0.75, min_traded_seconds=900, gate_mode=GateMode.REPORT)
-    report = apply_quality_policy(catalog._windows(spark, sf_dir, 900, 3600, 900, 0, RANGE), policy, window="1h").report
-    return spark.createDataFrame([tuple(vars(report).values())], ", ".join(f"{name} long" for name in vars(report)))
+    gated = apply_quality_policy(catalog._windows(spark, sf_dir, 900, 3600, 900, 0, RANGE), policy, window="1h")
+    return gated.frame.select("*", *(F.lit(n).cast("long").alias(name) for name, n in vars(gated.report).items()))
 
 
 # --- schedules ---------------------------------------------------------------------------------------
